@@ -38,6 +38,14 @@ def plain(value):
     return value
 
 
+KINDS = {"INTEGER": "whole", "BIGINT": "whole", "int": "whole", "bigint": "whole", "VARCHAR": "text", "string": "text",
+         "BOOLEAN": "flag", "boolean": "flag", "DOUBLE": "double", "double": "double"}
+
+
+def kinds_of(pairs):
+    return sorted((name, KINDS.get(str(kind), str(kind))) for name, kind in pairs)
+
+
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
@@ -50,8 +58,9 @@ def difference(spark, con, folder, query, check):
     cursor = con.execute(check)
     names = [d[0] for d in cursor.description]
     want = rows_of(names, cursor.fetchall())
-    if sorted(names) != sorted(df.columns):
-        return f"columns {sorted(df.columns)} against {sorted(names)}"
+    kinds = kinds_of(df.dtypes), kinds_of((d[0], d[1]) for d in cursor.description)
+    if kinds[0] != kinds[1]:
+        return f"columns {set(kinds[0]) - set(kinds[1])} against {set(kinds[1]) - set(kinds[0])}"
     if got != want:
         extra = [r for r in got if r not in want][:3] if len(got) < 20000 else []
         missing = [r for r in want if r not in got][:3] if len(got) < 20000 else []

@@ -55,11 +55,11 @@ def test_chain(table, width, mode):
                 opens="wide" if mode == "opens" else None).collect()
     expect, state = {}, {}
     for key, ts, i, size, bad in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        a = state.get(key)
+        a = found = state.get(key)
         new = a is None or ts - a[0] > width or (mode == "force" and bad)
         if mode == "opens" and size == 0:
             new = False
         if new:
             a = state[key] = (ts, i)
-        expect[i] = (new, a and a[0], a and a[1])
-    assert {r["id"]: (r["is_anchor"], r["anchor"], r["anchor_id"]) for r in got} == expect
+        expect[i] = (new, found and found[0], a and a[0], a and a[1])
+    assert {r["id"]: (r["is_anchor"], r["anchor_before"], r["anchor"], r["anchor_id"]) for r in got} == expect

@@ -129,8 +129,9 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
     The first row of a key is an anchor; the next anchor is the first later row
     whose ``coord`` (a whole number that never falls in order) is more than
     ``width`` above the current anchor's, or whose ``force`` flag is set. Rows with
-    ``opens`` false are never anchors. Adds ``is_anchor``, ``anchor`` (its coord)
-    and ``anchor_<p>`` for each whole-number payload column.
+    ``opens`` false are never anchors. Adds ``is_anchor``, ``anchor_before`` (coord of
+    the anchor the row found), ``anchor`` (coord of the one it left) and
+    ``anchor_<p>`` for each whole-number payload column.
 
     Where a chain stands after a slice depends on where it stood before it. Each
     slice therefore reports its exit as a step function of the entry - the anchors
@@ -189,9 +190,11 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
                 at = nxt[at]
             last = np.maximum.accumulate(np.where(mark, np.arange(len(c)), -1))
             segment = segment.append_column("is_anchor", pa.array(mark))
-            for i, name in enumerate(["anchor", *[f"anchor_{p}" for p in payload]]):
-                value = np.where(last >= 0, values[i][np.maximum(last, 0)], 0 if entry is None else entry[i])
-                missing = (last < 0) if entry is None else None
+            found = np.append(-1, last[:-1])
+            for at, value, name in zip([found, *[last] * len(values)], [c, *values], added_names[1:]):
+                start_value = 0 if entry is None else entry[0 if at is found else added_names.index(name) - 2]
+                value = np.where(at >= 0, value[np.maximum(at, 0)], start_value)
+                missing = (at < 0) if entry is None else None
                 segment = segment.append_column(name, pa.array(value, type=pa.int64(), mask=missing))
             done.append(segment)
         return pa.concat_tables(done).select(out_names)
@@ -203,8 +206,8 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
     crossing = summary.withColumn("_n", several).where("_n > 1").drop("_n")
     entries = crossing.groupBy(*(keys or [F.lit(0)])).applyInPandas(compose, entry_schema)
     entries = entries.where(F.col("entry").isNotNull())
-    added = [T.StructField("is_anchor", T.BooleanType()), T.StructField("anchor", T.LongType()),
-             *[T.StructField(f"anchor_{p}", T.LongType()) for p in payload]]
+    added_names = ["is_anchor", "anchor_before", "anchor", *[f"anchor_{p}" for p in payload]]
+    added = [T.StructField(n, T.LongType() if i else T.BooleanType()) for i, n in enumerate(added_names)]
     out_schema = T.StructType([*cut_df.schema, *added])
     out_names = out_schema.names
     return (cut_df.groupBy(SLICE).cogroup(entries.groupBy(SLICE)).applyInArrow(finish, out_schema))

@@ -230,7 +230,7 @@ def rate_windows(samples: DataFrame, stream: str, order: list[str], ts_ms: str,
     fresh = F.when(F.col("elapsed_ms") * 2 > window_ms,
                    F.col("window_bytes") * 8 / (F.col("elapsed_ms") / 1000) / bits)
     rows = running(rows, [stream], order, lasts={"rate": fresh})
-    rows = rows.drop("_before", "_opens", "anchor", "anchor__before", "is_anchor")
+    rows = rows.drop("_before", "_opens", "anchor", "anchor_before", "anchor__before", "is_anchor")
     return rows.withColumn("rate_text", friendly(F.col("rate"), "HZ", 1000))
 
 
@@ -249,4 +249,4 @@ def thin_log(samples: DataFrame, stream: str, order: list[str], size: str, sampl
     budget = interval_seconds * sample_rate * bits * channels // 8
     rows = rows.withColumn("_first", F.col("total_bytes") == F.col("step_bytes"))
     rows = chain(rows, [stream], order, "total_bytes", budget, force="_first")
-    return rows.withColumn("should_log", F.col("is_anchor")).drop("_first", "anchor", "is_anchor")
+    return rows.withColumn("should_log", F.col("is_anchor")).drop("_first", "anchor", "anchor_before", "is_anchor")

@@ -1,4 +1,4 @@
 """Registered queries, one module per area."""
 
-from tidewatch.plans import calls, monitor, requests  # noqa: F401
+from tidewatch.plans import calls, monitor, requests, services, sessions, tasks  # noqa: F401
 from tidewatch.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -48,7 +48,7 @@ _FILTERED_SQL = """(coalesce(level, 4) <= 2 OR ((contains(service_name, 'svc_0')
 
 @query("service_volume", f"""
 WITH {DERIVED}, g AS (
-  SELECT service, count(*) AS events, sum(CASE WHEN success THEN 0 ELSE 1 END) AS failures,
+  SELECT service, count(*) AS events, CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) AS BIGINT) AS failures,
     CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_total
   FROM derived WHERE {_FILTERED_SQL} GROUP BY service)
 SELECT *, {v.friendly('value_total', 'B', 1024)} AS volume FROM g""")

@@ -269,7 +269,7 @@ def http_outcome(spark, folder):
 
 @query("http_outcome_rate", f"""
 WITH {v.REQ}, c AS (SELECT host, req_id, {_STATUS} AS status FROM req)
-SELECT host, count(*) AS calls, sum(CASE WHEN coalesce(status, 0) = 200 AND req_id % 7 = 0 THEN 1 ELSE 0 END) AS succeeded
+SELECT host, count(*) AS calls, CAST(sum(CASE WHEN coalesce(status, 0) = 200 AND req_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS succeeded
 FROM c GROUP BY host""")
 def http_outcome_rate(spark, folder):
     rid = F.col("req_id")
