@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import cut, running
 from tidewatch.functions.text import blank, contains_any, nth_part, present, replace_first
-from tidewatch.sources.tables import rule_table
 
 # Answers every gateway gives by itself.
 ROBOTS_PATH = "/robots.txt"
@@ -141,24 +140,42 @@ def conditional_rewrite(rows: DataFrame, modules: list[tuple[str, Column, dict[s
 
 # --------------------------------------------------------------------- routing
 
-def domain_routes(spark: SparkSession, requests: DataFrame, routes: list[tuple[int, str, str]]) -> DataFrame:
-    """Add ``ord`` and ``handler`` of the first route that matches the domain.
+def domain_routes(requests: DataFrame, routes: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Add ``domain`` and the ``ord`` and ``handler`` of the first route that matches it.
 
-    A route is an exact domain or ``*.`` and a suffix, which also matches the bare
-    suffix itself. Each distinct domain is expanded into the few route names it
-    could match, so this is an equality join on distinct domains: a domain that
-    holds most of the requests costs no more than any other.
+    Routes have ``ord``, ``route`` and ``handler``. A route is an exact domain, or ``*.``
+    and a suffix, which also matches the bare suffix itself. ``by`` names columns
+    both sides share, such as a snapshot number. Each distinct domain is expanded
+    into the few route names it could match, so this is an equality join on distinct
+    domains: a domain that holds most of the requests costs no more than any other.
     """
-    table = rule_table(spark, routes, "ord int, route string, handler string")
-    domain = domain_of(F.col("host"))
+    by = list(by)
+    requests = requests.withColumn("domain", domain_of(F.col("host")))
     labels = F.split("domain", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    distinct = requests.select(domain.alias("domain")).distinct()
-    names = distinct.select("domain", F.explode(F.array_append(suffixes, F.col("domain"))).alias("route"))
-    matched = names.join(table, "route").groupBy("domain").agg(F.min(F.struct("ord", "handler")).alias("m"))
-    found = matched.select("domain", "m.ord", "m.handler")
-    return requests.withColumn("domain", domain).join(found, "domain", "left")
+    distinct = requests.select(*by, "domain").distinct()
+    names = distinct.select(*by, "domain", F.explode(F.array_append(suffixes, F.col("domain"))).alias("route"))
+    matched = names.join(routes, [*by, "route"]).groupBy(*by, "domain").agg(F.min(F.struct("ord", "handler")).alias("m"))
+    found = matched.select(*by, "domain", "m.ord", "m.handler")
+    return requests.join(found, [*by, "domain"], "left")
+
+
+REMOTE_ORD = 1000
+
+
+def routes_at_loads(loads: DataFrame, local: DataFrame, remote: DataFrame, loaded: Column) -> DataFrame:
+    """Routes in force after each load: the local ones, and the remote if it went well.
+
+    Every load starts from the local routes again, so a failed one drops the remote
+    routes of the load before it. Remote routes are tried after the local ones.
+    """
+    def of_each(rows: DataFrame, routes: DataFrame) -> DataFrame:
+        listed = routes.agg(F.collect_list(F.struct("ord", "route", "handler")).alias("routes")).scalar()
+        return rows.select(*loads.columns, F.inline(listed))
+
+    later = of_each(loads.where(loaded), remote).withColumn("ord", F.col("ord") + REMOTE_ORD)
+    return of_each(loads, local).unionByName(later)
 
 
 def alias_rewrite(host: Column, url: Column, aliases: list[str], canonical: str) -> Column:

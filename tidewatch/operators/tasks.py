@@ -56,3 +56,14 @@ def progress(reports: DataFrame, task: str, step: str, done_at: int = 100) -> Da
     """Highest reported step per task and whether it is done."""
     return reports.groupBy(task).agg(F.max(step).alias("progress"), F.count(F.lit(1)).alias("reports"),
                                      (F.max(step) >= done_at).alias("done"))
+
+
+def poll_once(tasks: DataFrame, runners: DataFrame, results: DataFrame, readonly: bool = False) -> DataFrame:
+    """One pass of every runner: take its first task and record how it ended.
+
+    ``results`` holds ``id``, ``success`` and ``reason`` of the task runs; running the task
+    itself happens elsewhere.
+    """
+    taken = next_tasks(tasks, runners).where("state = 'task'").select("id")
+    runs = taken.join(tasks.select("id", "task_id", "rerun"), "id").join(results, "id")
+    return record_outcomes(runs, readonly)

@@ -80,3 +80,15 @@ def call_stack_paths(spark, folder):
     calls = chunks(spark, folder).select(
         "conn", seq.alias("node"), F.when(seq > 0, F.floor((seq - 1) / 2)).cast("bigint").alias("parent"), entry.alias("entry"))
     return tr.call_stacks(calls, ["conn"])
+
+
+@query("task_poll_stream", f"""
+WITH {v.TASK}, first AS (SELECT * FROM task WHERE outstanding QUALIFY row_number() OVER (PARTITION BY runtime ORDER BY queued_us, id) = 1)
+SELECT id, task_id, 'outcome' AS action, ok AS success, CASE WHEN NOT ok THEN 'failed ' || id END AS reason, true AS written FROM first
+UNION ALL SELECT id, task_id, 'requeue', NULL, NULL, true FROM first WHERE rerun""")
+def task_poll_stream(spark, folder):
+    queue = tasks(spark, folder)
+    runners = queue.select("runtime").distinct().withColumn("package", F.lit("pkg"))
+    failed = F.concat(F.lit("failed "), F.col("id").cast("string"))
+    results = queue.select("id", F.col("ok").alias("success"), F.when(~F.col("ok"), failed).alias("reason"))
+    return t.poll_once(queue, runners, results)
