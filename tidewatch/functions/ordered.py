@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.session import checkpointed
+from tidewatch.session import checkpointed, with_tasks
+
+with_tasks(__name__)
 
 SLICE = "_slice"
 

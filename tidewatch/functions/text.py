@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters the reference language counts as white space.
+# Fixed value: the characters the reference language counts as white space, as a
+# pattern and as a list.
 WHITE_SPACE = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")
+WHITE_CHARS = ("\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
 def text(value: Column) -> Column:
@@ -78,7 +81,7 @@ def contains_any(value: Column, needles: list[str]) -> Column:
 
 
 def trim_white(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    return F.btrim(value, F.lit(WHITE_CHARS))
 
 
 def nth_part(value: Column, separator: str, n: int) -> Column:

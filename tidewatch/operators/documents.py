@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.functions.text import WHITE_SPACE, text, trim_white
 from tidewatch.operators.requests import first_match
+from tidewatch.session import with_tasks
+
+with_tasks(__name__)
 
 # Markers of the text protocol between nodes.
 ROW, COMMA, QUERY_SEP = "__ROW__", "__COMMA__", "__QUERY_SEP__"
@@ -24,12 +31,13 @@ AGE_UNITS = [("sec", 60), ("min", 60), ("hour", 24), ("day", 30), ("month", 12),
 # ----------------------------------------------------------------------- records
 
 def json_records(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Parse a JSON column; a missing id or bad JSON is a failed outcome."""
-    v = F.try_parse_json(json_col)
+    """Parse a JSON column into ``record``; a missing id or bad JSON is a failed outcome."""
+    rows = rows.withColumn("record", F.try_parse_json(json_col))
+    known, parsed = F.col(id_col).isNotNull(), F.col("record").isNotNull()
     reason = first_match([
-        (F.col(id_col).isNull(), F.lit("please specify either an object or a string to loadById")),
-        (v.isNull(), F.concat(F.lit("cannot parse "), F.coalesce(json_col, F.lit("null"))))], F.lit(None).cast("string"))
-    return rows.withColumns({"record": v, "success": F.col(id_col).isNotNull() & v.isNotNull(), "reason": reason})
+        (~known, F.lit("please specify either an object or a string to loadById")),
+        (~parsed, F.concat(F.lit("cannot parse "), F.coalesce(json_col, F.lit("null"))))], F.lit(None).cast("string"))
+    return rows.withColumns({"success": known & parsed, "reason": reason})
 
 
 def json_type(value: Column) -> Column:
@@ -44,21 +52,58 @@ def json_type(value: Column) -> Column:
 def json_nodes(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Every node below the top of each record: id, dotted path, type and text value.
 
-    One level is unfolded per round, until no level has containers left.
+    A record may be nested to any depth, so each is unfolded by a small helper in
+    one pass over Arrow batches; unreadable records have no nodes.
     """
-    tvf = rows.sparkSession.tvf
-    level = rows.select(F.col(id_col), F.lit("").alias("path"), F.try_parse_json(json_col).alias("v"))
-    found = []
-    while True:
-        inner = level.lateralJoin(tvf.variant_explode(F.col("v").outer()))
-        name = F.coalesce("key", text(F.col("pos")))
-        path = F.when(F.col("path") == "", name).otherwise(F.concat("path", F.lit("."), name))
-        nodes = inner.select(id_col, path.alias("path"), F.col("value").alias("v"), json_type(F.col("value")).alias("type"))
-        found.append(nodes.select(id_col, "path", "type", F.when(
-            ~F.col("type").isin("array", "object"), F.try_variant_get("v", "$", "string")).alias("value")))
-        level = nodes.where(F.col("type").isin("array", "object")).select(id_col, "path", "v")
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+    id_field = rows.schema[id_col]
+    schema = T.StructType([id_field, T.StructField("path", T.StringType()), T.StructField("type", T.StringType()),
+                           T.StructField("value", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def unfold(batches):
+        for batch in batches:
+            ids, paths, types, values = [], [], [], []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for path, kind, value in _nodes(body):
+                    ids.append(key)
+                    paths.append(path)
+                    types.append(kind)
+                    values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([ids, paths, types, values], arrow)],
+                                             schema=arrow)
+
+    return rows.select(id_col, json_col).mapInArrow(unfold, schema)
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _nodes(body: str | None):
+    """(path, type, text) of each node below the top of a JSON text, outermost first."""
+    try:
+        todo = [("", json.loads(body, parse_constant=_refuse))]
+    except (TypeError, ValueError):
+        return
+    while todo:
+        path, value = todo.pop()
+        inner = list(enumerate(value)) if isinstance(value, list) else list(value.items()) if isinstance(value, dict) else []
+        if path:
+            yield path, _KINDS[type(value)], None if isinstance(value, (list, dict)) else _scalar_text(value)
+        todo += [(f"{path}.{name}" if path else str(name), child) for name, child in reversed(inner)]
+
+
+_KINDS = {list: "array", dict: "object", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+
+
+def _scalar_text(value):
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    return repr(value)
 
 
 def json_to_flat(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -74,35 +119,60 @@ def json_quote(value: Column) -> Column:
 def flat_to_json(flat: DataFrame, id_col: str) -> DataFrame:
     """Nested JSON text per id from (id, path, value, ord); values are JSON text.
 
-    The later of two equal paths wins, and a scalar wins over paths below it.
-    Levels are folded from the deepest up; a group is one object of one record.
+    The later of two equal paths wins, keys stand in the order they first came, and
+    a path below a scalar is dropped unless the scalar counts as absent. One
+    shuffle brings the rows of a record together; a group is one record.
+    """
+    entry = F.struct("ord", "path", "value")
+    return flat.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
+        id_col, _nested("entries").alias("json"))
+
+
+@F.pandas_udf(T.StringType())
+def _nested(records: pd.Series) -> pd.Series:
+    return records.map(_build)
+
+
+def _build(entries) -> str:
+    top: dict = {}
+    for e in entries:
+        *parents, last = e["path"].split(".")
+        spot = top
+        for name in parents:
+            inner = spot.get(name)
+            if not isinstance(inner, dict):
+                if inner is not None and inner not in _ABSENT:
+                    spot = None
+                    break
+                inner = spot[name] = {}
+            spot = inner
+        if spot is not None:
+            spot[last] = e["value"]
+    return _written(top)
+
+
+# JSON texts of the values that count as absent.
+_ABSENT = ('""', "0", "false", "null")
+
+
+def _written(node) -> str:
+    if not isinstance(node, dict):
+        return node
+    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v)}" for k, v in node.items()) + "}"
+
+
+def expand_typed(rows: DataFrame, value: str) -> DataFrame:
+    """Parse values that start with ``json:``; each bad value has a reason of its own.
+
+    Adds ``success``, ``type``, ``expanded`` (text) and ``reason``.
     """
-    latest = flat.groupBy(id_col, "path").agg(F.max_by("value", "ord").alias("value"))
-    nodes = latest.select(id_col, F.split("path", r"\.").alias("path"), "value")
-    depth = nodes.agg(F.max(F.size("path"))).first()[0] or 0
-    built = None
-    for d in range(depth, 0, -1):
-        level = nodes.where(F.size("path") == d).withColumn("scalar", F.lit(1))
-        if built is not None:
-            level = level.unionByName(built)
-            level = level.groupBy(id_col, "path").agg(F.max_by("value", "scalar").alias("value"))
-        parent = F.slice("path", F.lit(1), F.lit(d - 1))
-        member = F.struct(F.get("path", F.lit(d - 1)).alias("name"), "value")
-        members = F.transform(F.array_sort(F.collect_list(member)),
-                              lambda m: F.concat(json_quote(m["name"]), F.lit(":"), m["value"]))
-        built = level.groupBy(id_col, parent.alias("path")).agg(
-            F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("value"), F.lit(0).alias("scalar"))
-    return flat.select(id_col, F.lit("{}").alias("json")) if built is None else built.select(id_col, F.col("value").alias("json"))
-
-
-def expand_typed(value: Column) -> dict[str, Column]:
-    """Parse values that start with ``json:``; each bad value has a reason of its own."""
     typed = F.startswith(value, F.lit("json:"))
-    v = F.when(typed, F.try_parse_json(F.substring(value, F.lit(6), F.length(value))))
-    bad = typed & v.isNull()
-    return {"success": ~F.coalesce(bad, F.lit(False)), "type": F.when(typed, json_type(v)).otherwise("string"),
-            "expanded": F.when(typed, F.to_json(v)).otherwise(value),
-            "reason": F.when(bad, F.concat(F.lit("cannot parse "), value))}
+    rows = rows.withColumn("_v", F.when(typed, F.try_parse_json(F.substring(value, F.lit(6), F.length(value)))))
+    bad = F.coalesce(typed & F.col("_v").isNull(), F.lit(False))
+    return rows.withColumns({
+        "success": ~bad, "type": F.when(typed, json_type(F.col("_v"))).otherwise("string"),
+        "expanded": F.when(typed, F.to_json("_v")).otherwise(F.col(value)),
+        "reason": F.when(bad, F.concat(F.lit("cannot parse "), value))}).drop("_v")
 
 
 def merge_rows(base: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,12 +229,15 @@ PRINTABLE = r"""a-zA-Z0-9\-@.<>="'_\\&,/"""
 def printable(value: Column) -> Column:
     """Trimmed text without the characters outside the printable set."""
     keep = PRINTABLE + WHITE_SPACE[1:-1]
-    return F.regexp_replace(trim_white(value), f"[^{keep}]", "")
+    return F.regexp_replace(trim_white(value), f"[^{keep}]+", "")
 
 
 def clean_breaks(value: Column, replacement: str = "", keep: bool = False) -> Column:
     """Drop each CR and LF, or keep it, and put a replacement text after it."""
-    return F.regexp_replace(value, "([\r\n])", ("$1" if keep else "") + replacement.replace("\\", "\\\\").replace("$", "\\$"))
+    if not replacement:
+        return value if keep else F.translate(value, "\r\n", "")
+    by = ("$1" if keep else "") + replacement.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(value, "([\r\n])", by)
 
 
 def no_capitals(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import chain, cut, running
 from tidewatch.functions.text import blank, contains_any, fixed_length, friendly, text
+from tidewatch.session import checkpointed
 from tidewatch.sources.tables import rule_table
 
 DEFAULT_LEVEL = 4
@@ -40,33 +41,30 @@ class MonitorConfig:
     colours: bool = False
 
 
-def normalise_payload(payload: Column) -> dict[str, Column]:
-    """Columns level, key and msg of an event given as JSON text.
+def normalise_events(events: DataFrame, payload: str) -> DataFrame:
+    """Add ``level``, ``key`` and the variant ``msg`` of events given as JSON text.
 
     Nothing gives empty data, a scalar becomes ``msg.data``, an object without msg,
     key or level becomes the msg, a text msg becomes ``{"data": text}``, and the
-    level defaults to 4. ``msg`` is a variant.
+    level defaults to 4.
     """
-    v = F.try_parse_json(payload)
-    is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-    msg = F.try_variant_get(v, "$.msg", "variant")
-    key = F.try_variant_get(v, "$.key", "string")
-    level = F.try_variant_get(v, "$.level", "int")
-    empty_msg = msg.isNull() | F.is_variant_null(msg)
-    falsy = empty_msg & (F.coalesce(key, F.lit("")) == "") & (F.coalesce(level, F.lit(0)) == 0)
+    rows = events.withColumn("_v", F.try_parse_json(payload))
+    rows = rows.withColumns({"_kind": F.schema_of_variant("_v"), "_msg": F.try_variant_get("_v", "$.msg", "variant"),
+                             "_key": F.try_variant_get("_v", "$.key", "string"),
+                             "_level": F.try_variant_get("_v", "$.level", "int")})
+    rows = rows.withColumn("_msg_kind", F.coalesce(F.schema_of_variant("_msg"), F.lit("VOID")))
+    is_object, no_msg = F.startswith("_kind", F.lit("OBJECT")), F.col("_msg_kind") == "VOID"
+    bare = no_msg & (F.coalesce("_key", F.lit("")) == "") & (F.coalesce("_level", F.lit(0)) == 0)
     wrap = lambda c: F.parse_json(F.to_json(F.create_map(F.lit("data"), c)))
-    chosen = (F.when(v.isNull() | F.is_variant_null(v), F.parse_json(F.lit('{"data":""}')))
-              .when(~is_object, wrap(F.try_variant_get(v, "$", "string")))
-              .when(falsy, v)
-              .when(empty_msg, F.parse_json(F.lit("{}")))
-              .when(F.schema_of_variant(msg) == "STRING", wrap(F.try_variant_get(msg, "$", "string")))
-              .otherwise(msg))
-    kept = is_object & ~falsy
-    return {
-        "level": F.coalesce(F.when(kept & (level != 0), level), F.lit(DEFAULT_LEVEL)),
-        "key": F.when(kept, key),
-        "msg": chosen,
-    }
+    msg = (F.when(F.coalesce("_kind", F.lit("VOID")) == "VOID", F.parse_json(F.lit('{"data":""}')))
+           .when(~is_object, wrap(F.try_variant_get("_v", "$", "string")))
+           .when(bare, F.col("_v")).when(no_msg, F.parse_json(F.lit("{}")))
+           .when(F.col("_msg_kind") == "STRING", wrap(F.try_variant_get("_msg", "$", "string")))
+           .otherwise(F.col("_msg")))
+    kept = is_object & ~bare
+    rows = rows.withColumns({"level": F.coalesce(F.when(kept & (F.col("_level") != 0), F.col("_level")), F.lit(DEFAULT_LEVEL)),
+                             "key": F.when(kept, F.col("_key")), "msg": msg})
+    return rows.drop("_v", "_kind", "_msg", "_key", "_level", "_msg_kind")
 
 
 def overlay(events: DataFrame, fill: dict[str, Column | str]) -> DataFrame:
@@ -219,7 +217,8 @@ def rate_windows(samples: DataFrame, stream: str, order: list[str], ts_ms: str,
                    sums={"total_bytes": F.col("step_bytes")})
     rows = rows.withColumns({"_before": F.col("total_bytes") - F.col("step_bytes"),
                              "_opens": F.col("step_bytes") > 0})
-    rows = chain(rows, [stream], order, ts_ms, window_ms, ["_before"], opens="_opens")
+    # The rows of the chain are read twice below, so they are written once.
+    rows = checkpointed(chain(rows, [stream], order, ts_ms, window_ms, ["_before"], opens="_opens"))
     age = F.col(ts_ms) - F.col("anchor")
     elapsed = F.when(age > window_ms, 0).otherwise(F.coalesce(age, F.lit(0)))
     rows = rows.withColumns({

@@ -16,9 +16,6 @@ OPERATORS, CONTEXT, VERBOSE = "__operators__", "__contextName__", "__verbose__"
 EQUAL = "equal"
 VALUE = "assertionValue"
 
-Violation = "struct<ord:int,path:string,op:string,reason:string>"
-
-
 @dataclass(frozen=True)
 class Expectation:
     """One leaf of a condition: column path, operator and expected value."""
@@ -147,7 +144,7 @@ def _compare(column: Column, kind: str, e: Expectation, context: str) -> Column:
 
 def _variant_violation(value: Column, e: Expectation, context: str) -> Column:
     """Expectations on open JSON: type, null, empty, and equality of scalars."""
-    wanted, schema = kind_of(e.expected), F.schema_of_variant(value)
+    wanted, schema = kind_of(e.expected), F.col(f"`_kind of {e.name}`")
     kind = first_match([(value.isNull(), F.lit("undefined")), (schema == "STRING", F.lit("string")),
                         (schema == "BOOLEAN", F.lit("boolean")),
                         ((schema == "VOID") | F.rlike(schema, F.lit("^(ARRAY|OBJECT)<")), F.lit("object"))], F.lit("number"))
@@ -176,12 +173,22 @@ def check(rows: DataFrame, condition: dict | str | float) -> DataFrame:
     context = " "
     if isinstance(condition, dict) and condition.get(CONTEXT):
         context = f"[{condition[CONTEXT]}] "
-    # A violation is null where the row passes, so filtering leaves the broken ones in order.
-    found = [F.struct(F.lit(i).alias("ord"), F.lit(e.name).alias("path"), F.lit(e.op).alias("op"),
-                      violation(rows.schema, e, context).alias("reason")).cast(Violation)
-             for i, e in enumerate(flatten(condition))]
-    rows = rows.withColumn("violations", F.filter(F.array(*found), lambda v: v["reason"].isNotNull()))
-    return rows.withColumn("first_violation", F.get("violations", F.lit(0)))
+    expectations = flatten(condition)
+    rows = _with_kinds(rows, expectations)
+    reasons = [f"_v{i}" for i in range(len(expectations))]
+    rows = rows.withColumns({r: violation(rows.schema, e, context) for r, e in zip(reasons, expectations)})
+    found = [F.struct(F.lit(i).alias("ord"), F.lit(e.name).alias("path"), F.lit(e.op).alias("op"), F.col(r).alias("reason"))
+             for i, (r, e) in enumerate(zip(reasons, expectations))]
+    first = F.coalesce(*[F.when(F.col(r).isNotNull(), f) for r, f in zip(reasons, found)])
+    every = F.filter(F.array(*found), lambda v: v["reason"].isNotNull())
+    helpers = [c for c in rows.columns if c.startswith("_kind of ")]
+    return rows.withColumns({"violations": every, "first_violation": first}).drop(*reasons, *helpers)
+
+
+def _with_kinds(rows: DataFrame, expectations: list[Expectation]) -> DataFrame:
+    """Type texts of the open JSON columns, worked out once per row."""
+    found = {e.name: _column(rows.schema, e.path) for e in expectations}
+    return rows.withColumns({f"_kind of {n}": F.schema_of_variant(c[0]) for n, c in found.items() if c and c[1] == "variant"})
 
 
 def violations(rows: DataFrame, condition: dict | str | float, keys: list[str]) -> DataFrame:

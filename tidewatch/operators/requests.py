@@ -328,35 +328,38 @@ def sent_method(method: Column, body: Column) -> Column:
     return F.when(present(method), method).otherwise(F.when(present(body), "POST").otherwise("GET"))
 
 
-def http_outcome(endpoint: Column) -> dict[str, Column]:
-    """Outcome of a JSON call.
+def http_outcome(calls: DataFrame, endpoint: str) -> DataFrame:
+    """Add ``sent_method``, ``network_ok``, ``final_status``, ``success`` and ``reason`` of JSON calls.
 
     Reads ``method``, ``body``, ``error`` (network error or null), ``error_status``
     (status to answer a network error with, or null), ``status`` and ``response``.
     """
-    error, status = F.col("error"), F.col("status")
+    calls = calls.withColumns({"sent_method": sent_method(F.col("method"), F.col("body")),
+                               "_reply": F.try_parse_json("response")})
+    calls = calls.withColumns({
+        "_kind": F.schema_of_variant("_reply"),
+        "_said_ok": F.coalesce(F.try_variant_get("_reply", "$.success", "boolean"), F.lit(False))})
+    error, status, sent = F.col("error"), F.col("status"), F.col("sent_method")
     resolved = error.isNotNull() & F.col("error_status").isNotNull()
-    needs_body = sent_method(F.col("method"), F.col("body")).isin("POST", "PUT") & F.col("body").isNull()
+    needs_body = sent.isin("POST", "PUT") & F.col("body").isNull()
     final = F.when(error.isNotNull(), F.col("error_status")).otherwise(status)
-    reply = F.try_parse_json("response")
-    is_object = F.startswith(F.schema_of_variant(reply), F.lit("OBJECT"))
-    success = F.coalesce(F.try_variant_get(reply, "$.success", "boolean"), F.lit(False))
-    no_network = F.concat(F.lit("Can not establish a network connection to "), endpoint)
+    is_object = F.startswith("_kind", F.lit("OBJECT"))
+    network_error = F.concat(F.lit("http request error: "), error)
     reason = first_match([
-        (needs_body, F.concat(F.lit("please specify a body string for request method: "),
-                              sent_method(F.col("method"), F.col("body")))),
-        (error.isNotNull() & ~resolved, F.concat(F.lit("http request error: "), error)),
-        (resolved & (final != 200), F.concat(F.lit("http request error: "), error)),
-        ((status != 200) & ((status == 0) | ~present(blank(F.col("response")))), no_network),
+        (needs_body, F.concat(F.lit("please specify a body string for request method: "), sent)),
+        (error.isNotNull() & ~resolved, network_error), (resolved & (final != 200), network_error),
+        ((status != 200) & ((status == 0) | ~present(blank(F.col("response")))),
+         F.concat(F.lit("Can not establish a network connection to "), endpoint)),
         (status != 200, F.col("response")),
-        (reply.isNull(), F.concat(F.lit("cannot parse response from gateway "), endpoint)),
+        (F.col("_reply").isNull(), F.concat(F.lit("cannot parse response from gateway "), endpoint)),
         (~is_object, F.concat(F.lit("non outcome object returned from gateway "), endpoint)),
-        (~success, F.try_variant_get(reply, "$.reason", "string")),
+        (~F.col("_said_ok"), F.try_variant_get("_reply", "$.reason", "string")),
     ], F.lit(None).cast("string"))
-    good = ~needs_body & error.isNull() & (status == 200) & F.coalesce(is_object & success, F.lit(False))
-    return {"sent_method": sent_method(F.col("method"), F.col("body")),
-            "network_ok": ~needs_body & (error.isNull() | resolved),
-            "final_status": F.when(~needs_body, final), "success": good, "reason": F.when(~good, reason)}
+    good = ~needs_body & error.isNull() & (status == 200) & F.coalesce(is_object & F.col("_said_ok"), F.lit(False))
+    calls = calls.withColumns({"network_ok": ~needs_body & (error.isNull() | resolved),
+                               "final_status": F.when(~needs_body, final), "success": F.coalesce(good, F.lit(False)),
+                               "reason": reason})
+    return calls.withColumn("reason", F.when(~F.col("success"), F.col("reason"))).drop("_reply", "_kind", "_said_ok")
 
 
 def count_by(rows: DataFrame, *names: str) -> DataFrame:

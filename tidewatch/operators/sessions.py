@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.ordered import SLICE, chain, cut, running
 from tidewatch.functions.text import blank, replace_first
 from tidewatch.operators.requests import first_match
+from tidewatch.session import checkpointed
 
 CRLF = "\r\n"
 
@@ -92,18 +93,19 @@ def content_length_frames(chunks: DataFrame, conn: str, seq: str, text: str, sli
     a value is as large as the message it holds and no larger.
     """
     cut_rows = cut(chunks.select(conn, seq, text), [conn], [seq], slices)
-    rows = running(cut_rows, [conn], [seq], sums={"_chars": F.length(text)}, previous={"_near": (F.right(text, F.lit(3)), 3)})
     near = F.concat(F.right(F.array_join("_near", ""), F.lit(3)), F.col(text))
-    heads = (rows.where(F.contains(near, F.lit(CRLF + CRLF))).groupBy(conn).agg(F.min(seq).alias("_head")))
+    marks = running(cut_rows, [conn], [seq], sums={"_chars": F.length(text)}, previous={"_near": (F.right(text, F.lit(3)), 3)})
+    marks = checkpointed(marks.select(conn, seq, "_chars", F.contains(near, F.lit(CRLF + CRLF)).alias("_blank")))
+    heads = marks.where("_blank").groupBy(conn).agg(F.min(seq).alias("_head"))
     joined = lambda df: df.groupBy(conn).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(seq, text))), lambda c: c[text]), "").alias("_text"))
-    head_text = joined(rows.join(heads, conn).where(F.col(seq) <= F.col("_head")))
+    head_text = joined(cut_rows.join(heads, conn).where(F.col(seq) <= F.col("_head")))
     head = F.element_at(F.split("_text", CRLF + CRLF, 2), 1)
     length = F.regexp_extract(F.lower(head), "content-length: *([0-9]+)", 1)
     heads = head_text.select(conn, F.length(head).alias("_body_at"), length.try_cast("bigint").alias("content_length"))
     needed = F.col("_body_at") + 4 + F.col("content_length")
-    ends = (rows.join(heads, conn).where(F.col("_chars") >= needed).groupBy(conn).agg(F.min(seq).alias("done_seq")))
-    whole = joined(rows.join(ends, conn).where(F.col(seq) <= F.col("done_seq")))
+    ends = (marks.join(heads, conn).where(F.col("_chars") >= needed).groupBy(conn).agg(F.min(seq).alias("done_seq")))
+    whole = joined(cut_rows.join(ends, conn).where(F.col(seq) <= F.col("done_seq")))
     found = chunks.select(conn).distinct().join(heads, conn, "left").join(ends, conn, "left").join(whole, conn, "left")
     body = F.substring("_text", F.col("_body_at") + 5, F.col("content_length"))
     complete = F.col("done_seq").isNotNull()
@@ -158,7 +160,10 @@ def match_script(chunks: DataFrame, conn: str, seq: str, text: str, expected: li
         return (F.when(F.contains(text, F.lit(needle)), F.col(seq))
                 .when(j > 0, F.get("_near", F.size("_near") - j)["s"]))
 
-    hits = rows.select(conn, seq, *[latest_start(e).alias(f"_h{i}") for i, e in enumerate(expected)])
+    names = [f"_h{i}" for i in range(len(expected))]
+    hits = rows.select(conn, seq, *[latest_start(e).alias(n) for n, e in zip(names, expected)])
+    # Every step reads the matches again, so they are written once; other chunks are done with.
+    hits = checkpointed(hits.where(F.coalesce(*names).isNotNull()))
     state = chunks.groupBy(conn).agg(F.max(F.when(F.col(text) != "", F.col(seq))).alias("_end"))
     state = state.withColumns({"matched": F.lit(0), "done_seq": F.lit(None).cast("bigint")})
     for i in range(len(expected)):

@@ -89,8 +89,8 @@ def json_type_profile(spark, folder):
 
 @query("flat_to_json", f"""
 WITH {v.MON}
-SELECT event_id, '{{"a":{{"b":{{"deep":' || k || '}},"k":' || k || '}},"m":' ||
-  CASE WHEN k % 2 = 0 THEN '"late \\"' || k || '\\""' ELSE '"early"' END || ',"z":' || CASE WHEN k % 3 = 0 THEN '"scalar"' ELSE '{{"x":1}}' END || '}}' AS json
+SELECT event_id, '{{"m":' || CASE WHEN k % 2 = 0 THEN '"late \\"' || k || '\\""' ELSE '"early"' END || ',"a":{{"k":' || k || ',"b":{{"deep":' || k
+  || '}}}},"z":' || CASE WHEN k % 3 = 0 THEN '"scalar"' ELSE '{{"x":1}}' END || '}}' AS json
 FROM mon""")
 def flat_to_json(spark, folder):
     k = F.col("k")
@@ -118,7 +118,7 @@ SELECT event_id, path, event_id % 5 <> 1 AS success, CASE event_id % 5 WHEN 0 TH
 def typed_value_expand(spark, folder):
     rows = table(spark, folder, "events").select(
         "event_id", F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string")).alias("path"), F.expr(_TYPED).alias("value"))
-    return rows.select("event_id", "path", *[c.alias(n) for n, c in d.expand_typed(F.col("value")).items()])
+    return d.expand_typed(rows, "value").drop("value")
 
 
 @query("augment_merge", f"""

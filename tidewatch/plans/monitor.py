@@ -73,11 +73,9 @@ SELECT event_id, CASE WHEN shape = 3 THEN 2 ELSE 4 END AS level,
 FROM p""")
 def log_event_normalise(spark, folder):
     events = monitor_events(spark, folder).select("event_id", F.expr(_PAYLOAD).alias("payload"))
-    events = events.select("event_id", *[c.alias(n) for n, c in m.normalise_payload(F.col("payload")).items()])
-    return events.select("event_id", "level", "key",
-                         F.try_variant_get("msg", "$.data", "string").alias("msg_data"),
-                         F.try_variant_get("msg", "$.k", "int").alias("msg_k"),
-                         F.try_variant_get("msg", "$.level", "int").alias("msg_level"))
+    return m.normalise_events(events, "payload").select(
+        "event_id", "level", "key", F.try_variant_get("msg", "$.data", "string").alias("msg_data"),
+        F.try_variant_get("msg", "$.k", "int").alias("msg_k"), F.try_variant_get("msg", "$.level", "int").alias("msg_level"))
 
 
 @query("fillin_enrich", f"""

@@ -292,8 +292,7 @@ def http_outcome(spark, folder):
         F.when(rid % 4 != 0, "body").alias("body"), F.when(rid % 13 == 0, "reset").alias("error"),
         F.when(rid % 26 == 0, 601).alias("error_status"), F.expr(_STATUS).alias("status"),
         F.expr(_RESPONSE).alias("response"))
-    outcome = r.http_outcome(F.col("host"))
-    return calls.select("req_id", *[c.alias(n) for n, c in outcome.items()])
+    return r.http_outcome(calls, "host").select("req_id", "sent_method", "network_ok", "final_status", "success", "reason")
 
 
 @query("http_outcome_rate", f"""
@@ -305,6 +304,6 @@ def http_outcome_rate(spark, folder):
     calls = requests(spark, folder).select(
         "host", F.lit("POST").alias("method"), F.lit("body").alias("body"), F.when(rid % 13 == 0, "reset").alias("error"),
         F.lit(None).cast("int").alias("error_status"), F.expr(_STATUS).alias("status"), F.expr(_RESPONSE).alias("response"))
-    calls = calls.withColumn("success", r.http_outcome(F.col("host"))["success"])
+    calls = r.http_outcome(calls, "host")
     return calls.groupBy("host").agg(F.count(F.lit(1)).alias("calls"),
                                      F.sum(F.when(F.col("success"), 1).otherwise(0)).alias("succeeded"))

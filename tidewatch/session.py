@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def with_tasks(module: str) -> None:
+    """Send the functions of a module along with the tasks that call them, so that
+    executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(cpus: int | str = 8, app: str = "tidewatch", **extra: str) -> SparkSession:
     """A local[n] session for tests and the benchmark."""
     builder = (
