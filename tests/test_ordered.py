@@ -63,3 +63,16 @@ def test_chain(table, width, mode):
             a = state[key] = (ts, i)
         expect[i] = (new, found and found[0], a and a[0], a and a[1])
     assert {r["id"]: (r["is_anchor"], r["anchor_before"], r["anchor"], r["anchor_id"]) for r in got} == expect
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10_000])
+def test_attach(spark, hot_rows):
+    from tidewatch.functions.skew import attach
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("key"))
+    per_key = rows.where("key <> 'k0'").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    got = {r.id: r.first for r in attach(rows, per_key, ["key"], "n", ["id"], hot_rows).collect()}
+    first = {}
+    for i in range(2000):
+        key = "hot" if i % 3 else f"k{i % 700}"
+        first.setdefault(key, i)
+        assert got[i] == (None if key == "k0" else first[key])

@@ -161,21 +161,20 @@ def domain_routes(requests: DataFrame, routes: DataFrame, by: list[str] = ()) ->
     return requests.join(found, [*by, "domain"], "left")
 
 
-REMOTE_ORD = 1000
+def routes_by_load(requests: DataFrame, local: DataFrame, loaded: DataFrame, load: str) -> DataFrame:
+    """Route each request by the routes of the load in force when it came.
 
-
-def routes_at_loads(loads: DataFrame, local: DataFrame, remote: DataFrame, loaded: Column) -> DataFrame:
-    """Routes in force after each load: the local ones, and the remote if it went well.
-
-    Every load starts from the local routes again, so a failed one drops the remote
-    routes of the load before it. Remote routes are tried after the local ones.
+    ``loaded`` holds the remote routes of every load that went well. Each load starts
+    from the local routes, so one that failed leaves only those. Local routes are
+    tried first. Adds ``source_rank`` (0 local, 1 remote), ``ord`` and ``handler``.
     """
-    def of_each(rows: DataFrame, routes: DataFrame) -> DataFrame:
-        listed = routes.agg(F.collect_list(F.struct("ord", "route", "handler")).alias("routes")).scalar()
-        return rows.select(*loads.columns, F.inline(listed))
-
-    later = of_each(loads.where(loaded), remote).withColumn("ord", F.col("ord") + REMOTE_ORD)
-    return of_each(loads, local).unionByName(later)
+    names = ["ord", "handler"]
+    near = domain_routes(requests, local).withColumnsRenamed({n: f"_{n}" for n in names})
+    both = domain_routes(near, loaded, by=[load])
+    is_local = F.col("_ord").isNotNull()
+    rank = F.when(is_local, 0).when(F.col("ord").isNotNull(), 1)
+    return both.withColumns({"source_rank": rank, **{n: F.when(is_local, F.col(f"_{n}")).otherwise(F.col(n)) for n in names}}
+                            ).drop("_ord", "_handler")
 
 
 def alias_rewrite(host: Column, url: Column, aliases: list[str], canonical: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.skew import attach
 from tidewatch.functions.text import nth_part, present
 from tidewatch.operators.requests import first_match
 
@@ -72,8 +73,10 @@ def fold_changes(changes: DataFrame, defaults: DataFrame) -> DataFrame:
     position = F.struct("ts_us", "event_id")
     base = F.col("op") != "increment"
     last = changes.groupBy("key").agg(
-        F.max(F.when(base, F.struct(position.alias("at"), "op", "value"))).alias("base"))
-    after = changes.where(~base).join(last, "key")
+        F.max(F.when(base, F.struct(position.alias("at"), "op", "value"))).alias("base"),
+        F.count(F.when(~base, 1)).alias("_rows"))
+    steps = changes.where(~base).select("key", "ts_us", "event_id")
+    after = attach(steps, last, ["key"], "_rows", ["ts_us", "event_id"])
     later = after.where(F.col("base").isNull() | (position > F.col("base.at")))
     counts = later.groupBy("key").agg(F.count(F.lit(1)).alias("increments"))
     started = defaults.withColumnRenamed("value", "default")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import SLICE, chain, cut, running
+from tidewatch.functions.skew import attach
 from tidewatch.functions.text import blank, replace_first
 from tidewatch.operators.requests import first_match
 from tidewatch.session import checkpointed
@@ -48,10 +49,10 @@ def session_lines(entries: DataFrame, session: str, handler: str, slices: int |
     Entries have the session column, ``ts_us``, ``msg``, ``action`` and ``socket``. Sessions
     are numbered in order of their start; times count whole seconds.
     """
-    starts = entries.groupBy(session).agg(F.min("ts_us").alias("start_us"))
+    starts = entries.groupBy(session).agg(F.min("ts_us").alias("start_us"), F.count(F.lit(1)).alias("_rows"))
     numbered = running(cut(starts, [], ["start_us", session], slices), [], ["start_us", session],
                        sums={"number": F.lit(1)}).drop(SLICE)
-    rows = entries.join(numbered, session)
+    rows = attach(entries, numbered, [session], "_rows", ["ts_us", "msg"])
     second = lambda c: F.floor(F.col(c) / 1_000_000)
     rows = rows.withColumns({
         "session_id": F.concat(F.lit(handler), F.col("number").cast("string")),
@@ -96,17 +97,23 @@ def content_length_frames(chunks: DataFrame, conn: str, seq: str, text: str, sli
     near = F.concat(F.right(F.array_join("_near", ""), F.lit(3)), F.col(text))
     marks = running(cut_rows, [conn], [seq], sums={"_chars": F.length(text)}, previous={"_near": (F.right(text, F.lit(3)), 3)})
     marks = checkpointed(marks.select(conn, seq, "_chars", F.contains(near, F.lit(CRLF + CRLF)).alias("_blank")))
-    heads = marks.where("_blank").groupBy(conn).agg(F.min(seq).alias("_head"))
+    heads = marks.groupBy(conn).agg(F.min(F.when(F.col("_blank"), F.col(seq))).alias("_head"), F.count(F.lit(1)).alias("_rows"))
     joined = lambda df: df.groupBy(conn).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(seq, text))), lambda c: c[text]), "").alias("_text"))
-    head_text = joined(cut_rows.join(heads, conn).where(F.col(seq) <= F.col("_head")))
+    chunk_rows = cut_rows.select(conn, seq, text)
+    head_text = joined(attach(chunk_rows, heads, [conn], "_rows", [seq]).where(F.col(seq) <= F.col("_head")))
     head = F.element_at(F.split("_text", CRLF + CRLF, 2), 1)
     length = F.regexp_extract(F.lower(head), "content-length: *([0-9]+)", 1)
-    heads = head_text.select(conn, F.length(head).alias("_body_at"), length.try_cast("bigint").alias("content_length"))
+    sizes = heads.select(conn, "_rows")
+    # Both tables below hold one row per connection and are read several times.
+    heads = checkpointed(head_text.select(conn, F.length(head).alias("_body_at"),
+                                          length.try_cast("bigint").alias("content_length")))
     needed = F.col("_body_at") + 4 + F.col("content_length")
-    ends = (marks.join(heads, conn).where(F.col("_chars") >= needed).groupBy(conn).agg(F.min(seq).alias("done_seq")))
-    whole = joined(cut_rows.join(ends, conn).where(F.col(seq) <= F.col("done_seq")))
-    found = chunks.select(conn).distinct().join(heads, conn, "left").join(ends, conn, "left").join(whole, conn, "left")
+    ends = checkpointed(attach(marks.select(conn, seq, "_chars"), sizes.join(heads, conn), [conn], "_rows", [seq])
+            .where(F.col("_chars") >= needed).groupBy(conn).agg(F.min(seq).alias("done_seq")))
+    whole = joined(attach(chunk_rows, sizes.join(ends, conn), [conn], "_rows", [seq])
+                   .where(F.col(seq) <= F.col("done_seq")))
+    found = sizes.select(conn).join(heads, conn, "left").join(ends, conn, "left").join(whole, conn, "left")
     body = F.substring("_text", F.col("_body_at") + 5, F.col("content_length"))
     complete = F.col("done_seq").isNotNull()
     reason = first_match([(complete, F.lit(None).cast("string")), (F.col("_body_at").isNull(), F.lit("no blank line")),
@@ -164,16 +171,18 @@ def match_script(chunks: DataFrame, conn: str, seq: str, text: str, expected: li
     hits = rows.select(conn, seq, *[latest_start(e).alias(n) for n, e in zip(names, expected)])
     # Every step reads the matches again, so they are written once; other chunks are done with.
     hits = checkpointed(hits.where(F.coalesce(*names).isNotNull()))
-    state = chunks.groupBy(conn).agg(F.max(F.when(F.col(text) != "", F.col(seq))).alias("_end"))
+    state = chunks.groupBy(conn).agg(F.max(F.when(F.col(text) != "", F.col(seq))).alias("_end"), F.count(F.lit(1)).alias("_rows"))
     state = state.withColumns({"matched": F.lit(0), "done_seq": F.lit(None).cast("bigint")})
     for i in range(len(expected)):
-        reached = state.where(F.col("matched") == i).select(conn, F.col("done_seq").alias("_at"))
-        later = F.col("_at").isNull() | (F.col(f"_h{i}") > F.col("_at"))
-        step = (hits.where(F.col(f"_h{i}").isNotNull()).select(conn, seq, f"_h{i}").join(reached, conn).where(later)
+        reached = state.where(F.col("matched") == i).select(conn, "_rows", F.lit(True).alias("_here"), F.col("done_seq").alias("_at"))
+        later = F.col("_here") & (F.col("_at").isNull() | (F.col(f"_h{i}") > F.col("_at")))
+        hit = hits.where(F.col(f"_h{i}").isNotNull()).select(conn, seq, f"_h{i}")
+        step = (attach(hit, reached, [conn], "_rows", [seq]).where(later)
                 .groupBy(conn).agg(F.min(seq).alias("_next")))
-        state = state.join(step, conn, "left").withColumns({
+        # One row per connection, written so that the next step starts from it.
+        state = checkpointed(state.join(step, conn, "left").withColumns({
             "matched": F.col("matched") + F.col("_next").isNotNull().cast("int"),
-            "done_seq": F.coalesce("_next", "done_seq")}).drop("_next")
+            "done_seq": F.coalesce("_next", "done_seq")}).drop("_next"))
     done = F.col("matched") == len(expected)
     late = done & (F.col("_end") > F.col("done_seq"))
     return state.select(conn, "matched", "done_seq", (done & ~late).alias("success"),

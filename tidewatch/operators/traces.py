@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import cut, running
+from tidewatch.functions.skew import attach
 from tidewatch.session import checkpointed
 
 NO_OUTCOME = 'WARNING, returning from a chain that did not have the "outcome" property set.'
@@ -21,7 +22,7 @@ def first_failures(traces: DataFrame, steps: DataFrame, order: list[str]) -> Dat
     position = F.struct(*order)
     ends = steps.groupBy("trace").agg(F.min(F.when(~F.col("ok"), position)).alias("_fail"),
                                       F.count(F.lit(1)).alias("total"))
-    before = (steps.join(ends.where("_fail IS NOT NULL").select("trace", "_fail"), "trace")
+    before = (attach(steps.select("trace", *order), ends, ["trace"], "total", order)
               .where(position < F.col("_fail")).groupBy("trace").agg(F.count(F.lit(1)).alias("_before")))
     rows = traces.join(ends, "trace", "left").join(before, "trace", "left")
     failed = F.col("_fail").isNotNull()

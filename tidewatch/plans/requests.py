@@ -124,24 +124,25 @@ RELOAD_SECONDS = 60
 WITH {v.REQ}, d AS (SELECT req_id, req_id * 7 // {RELOAD_SECONDS} AS load, split_part(host, ':', 1) AS domain FROM req),
 loads AS (SELECT DISTINCT load FROM d),
 local(ord, route, handler) AS (VALUES (1, '*.ththth.example.net', 'h1'), (2, 'therin.example.net', 'h2')),
-remote(ord, route, handler) AS (VALUES (1001, '*.example.com', 'h3'), (1002, '*.example.net', 'h4')),
-routes AS (SELECT load, ord, route, handler FROM loads, local
-  UNION ALL SELECT load, ord, route, handler || '.' || load FROM loads, remote WHERE load % 3 <> 1),
-m AS (SELECT req_id, min(ord) AS ord FROM d JOIN routes ON d.load = routes.load AND (domain = route
+remote(ord, route, handler) AS (VALUES (1, '*.example.com', 'h3'), (2, '*.example.net', 'h4')),
+routes AS (SELECT load, 0 AS source_rank, ord, route, handler FROM loads, local
+  UNION ALL SELECT load, 1, ord, route, handler || '.' || load FROM loads, remote WHERE load % 3 <> 1),
+m AS (SELECT req_id, min((source_rank, ord)) AS best FROM d JOIN routes ON d.load = routes.load AND (domain = route
     OR (starts_with(route, '*.') AND (ends_with(domain, substr(route, 2)) OR domain = substr(route, 3)))) GROUP BY req_id)
-SELECT d.req_id, d.load, domain, m.ord, handler FROM d LEFT JOIN m USING (req_id) LEFT JOIN routes ON routes.ord = m.ord AND routes.load = d.load""")
+SELECT d.req_id, d.load, domain, source_rank, ord, handler FROM d LEFT JOIN m USING (req_id)
+LEFT JOIN routes ON (routes.source_rank, routes.ord) = m.best AND routes.load = d.load""")
 def refreshing_dimension(spark, folder):
     load = F.floor(F.col("req_id") * 7 / RELOAD_SECONDS).cast("bigint")
     log = requests(spark, folder).select("req_id", load.alias("load"), "host")
     shape = "ord int, route string, handler string"
-    # Loads by number; every third one failed and left the local routes alone.
-    loads = log.select("load").distinct()
-    local, remote = rule_table(spark, ROUTES[:2], shape), rule_table(
-        spark, [(1, "*.example.com", "h3"), (2, "*.example.net", "h4")], shape)
-    routes = r.routes_at_loads(loads, local, remote, F.col("load") % 3 != 1)
-    routes = routes.withColumn("handler", F.when(F.col("ord") > 1000, F.concat("handler", F.lit("."), F.col("load").cast("string")))
-                               .otherwise(F.col("handler")))
-    return r.domain_routes(log, routes, by=["load"]).select("req_id", "load", "domain", "ord", "handler")
+    # Every third load failed; a good one brings two routes named after it.
+    loads = log.select("load").distinct().where(F.col("load") % 3 != 1)
+    named = lambda h: F.concat(F.lit(f"{h}."), F.col("load").cast("string"))
+    remote = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(route).alias("route"), named(h).alias("handler"))
+                       for i, route, h in [(1, "*.example.com", "h3"), (2, "*.example.net", "h4")]])
+    loaded = loads.select("load", F.inline(remote))
+    rows = r.routes_by_load(log, rule_table(spark, ROUTES[:2], shape), loaded, "load")
+    return rows.select("req_id", "load", "domain", "source_rank", "ord", "handler")
 
 
 @query("alias_rewrite", rf"""
