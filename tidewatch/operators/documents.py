@@ -228,14 +228,17 @@ PRINTABLE = r"""a-zA-Z0-9\-@.<>="'_\\&,/"""
 
 def printable(value: Column) -> Column:
     """Trimmed text without the characters outside the printable set."""
-    keep = PRINTABLE + WHITE_SPACE[1:-1]
-    return F.regexp_replace(trim_white(value), f"[^{keep}]+", "")
+    # Long runs of kept characters are matched as one. Wide spaces are kept too; they
+    # are looked up only for the rare other characters.
+    common, wide = WHITE_SPACE[1:-1].split(r"\x{1680}")
+    runs = rf"([{PRINTABLE}{common}]++)|(?:[^{PRINTABLE}{common}](?<![\x{{1680}}{wide}]))++"
+    return F.regexp_replace(trim_white(value), runs, "$1")
 
 
 def clean_breaks(value: Column, replacement: str = "", keep: bool = False) -> Column:
     """Drop each CR and LF, or keep it, and put a replacement text after it."""
     if not replacement:
-        return value if keep else F.translate(value, "\r\n", "")
+        return value if keep else F.replace(F.replace(value, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
     by = ("$1" if keep else "") + replacement.replace("\\", "\\\\").replace("$", "\\$")
     return F.regexp_replace(value, "([\r\n])", by)
 

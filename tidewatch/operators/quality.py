@@ -165,24 +165,30 @@ def _variant_violation(value: Column, e: Expectation, context: str) -> Column:
     return F.when(kind != wanted, mismatch).otherwise(rest)
 
 
-def check(rows: DataFrame, condition: dict | str | float) -> DataFrame:
-    """Add ``violations`` (all, in key order) and ``first_violation`` to each row.
-
-    All expectations are columns of one pass over the data.
-    """
+def _judged(rows: DataFrame, condition: dict | str | float) -> tuple[DataFrame, list[Column], list[str]]:
+    """Rows with one reason column per expectation, the violation structs, and helper names."""
     context = " "
     if isinstance(condition, dict) and condition.get(CONTEXT):
         context = f"[{condition[CONTEXT]}] "
     expectations = flatten(condition)
+    own = set(rows.columns)
     rows = _with_kinds(rows, expectations)
     reasons = [f"_v{i}" for i in range(len(expectations))]
     rows = rows.withColumns({r: violation(rows.schema, e, context) for r, e in zip(reasons, expectations)})
     found = [F.struct(F.lit(i).alias("ord"), F.lit(e.name).alias("path"), F.lit(e.op).alias("op"), F.col(r).alias("reason"))
              for i, (r, e) in enumerate(zip(reasons, expectations))]
-    first = F.coalesce(*[F.when(F.col(r).isNotNull(), f) for r, f in zip(reasons, found)])
+    return rows, found, [c for c in rows.columns if c not in own]
+
+
+def check(rows: DataFrame, condition: dict | str | float) -> DataFrame:
+    """Add ``violations`` (all, in key order) and ``first_violation`` to each row.
+
+    All expectations are columns of one pass over the data.
+    """
+    rows, found, helpers = _judged(rows, condition)
+    first = F.coalesce(*[F.when(f["reason"].isNotNull(), f) for f in found])
     every = F.filter(F.array(*found), lambda v: v["reason"].isNotNull())
-    helpers = [c for c in rows.columns if c.startswith("_kind of ")]
-    return rows.withColumns({"violations": every, "first_violation": first}).drop(*reasons, *helpers)
+    return rows.withColumns({"violations": every, "first_violation": first}).drop(*helpers)
 
 
 def _with_kinds(rows: DataFrame, expectations: list[Expectation]) -> DataFrame:
@@ -193,7 +199,8 @@ def _with_kinds(rows: DataFrame, expectations: list[Expectation]) -> DataFrame:
 
 def violations(rows: DataFrame, condition: dict | str | float, keys: list[str]) -> DataFrame:
     """One row per violated expectation."""
-    return check(rows, condition).select(*keys, F.inline("violations"))
+    rows, found, _ = _judged(rows, condition)
+    return rows.select(*keys, F.inline(F.array(*found))).where(F.col("reason").isNotNull())
 
 
 def outcome(rows: DataFrame, condition: dict | str | float, order: list[str]) -> DataFrame:
