@@ -34,8 +34,8 @@ SLICE = "_slice"
 def cut(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
     """Range-partition by (keys, order) and record the slice number of each row.
 
-    The result is checkpointed: a recomputed range partitioning may choose other
-    bounds, so slice numbers have to be written down once before they are used.
+    The result is written once: a recomputed range partitioning may choose other
+    bounds, so slice numbers have to be on record before they are used.
     Without ``slices`` the session's partition count and AQE's target size decide.
     """
     by = [F.col(c) for c in (*keys, *order)]
@@ -159,8 +159,9 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
 
     def summarise(key: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by(sort_by)
-        rows = []
-        for segment in _segments(part, keys):
+        rows, segments = [], list(_segments(part, keys))
+        # Only the first and the last key of a slice can go on in another one.
+        for segment in [segments[0], *segments[-1:]] if len(segments) > 1 else segments:
             c, (start, following, first_forced), values = arrays(segment)
             hi, exits = _exit_steps(c, width, start, following, first_forced)
             states = [[int(v[i]) for v in values] if i < len(c) else [] for i in exits]
