@@ -91,6 +91,11 @@ def latest_entries(entries: DataFrame, order: list[str], shown: dict[str, bool]
     return newest.withColumn("shown", F.col("type").isin(on))
 
 
+def entry_line() -> Column:
+    """A log entry as printed, from the columns ts, type, plugin and msg."""
+    return F.concat(F.lit("["), "ts", F.lit("] ("), "type", F.lit(")("), F.coalesce("plugin", F.lit("")), F.lit(") "), "msg")
+
+
 def log_snapshot(entries: DataFrame, order: list[str], columns: list[str], limit: int = MAX_LOG_LENGTH) -> DataFrame:
     """One JSON document with the newest entries first; at most ``limit`` of them."""
     newest = latest_entries(entries, order, limit=limit)

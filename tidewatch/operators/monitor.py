@@ -17,6 +17,13 @@ DEFAULT_LEVEL = 4
 # The fields of a rendered line, all shown by default.
 LINE_FIELDS = ("timestamp", "service", "context", "invokeString", "action", "device", "outcome", "misc")
 
+# The substring lists of a filter and the column each one tests.
+FILTERS = {"services": "service_name", "invokeStrings": "call", "devices": "device", "actions": "action_text"}
+
+# Texts of an event that carries an error, or a context it should not.
+ERROR_OUTCOME = "An errorObject is present and should be in the monitoring data"
+CONTEXT_WARNING = "remove context from log"
+
 # Terminal colour codes of the rendered fields.
 COLOURS = {
     "service": "[33m", "context": "[34m", "invokeString": "[0;94m", "action": "[36m",
@@ -40,6 +47,21 @@ class MonitorConfig:
     fields: dict[str, bool | dict] = field(default_factory=lambda: dict.fromkeys(LINE_FIELDS, True))
     colours: bool = False
 
+    @classmethod
+    def from_json(cls, config: dict) -> MonitorConfig:
+        """From a ``verbose`` block; names that start otherwise (``_services``) are inactive.
+
+        Every other name with a true value switches a key on.
+        """
+        known = ("forceUpToLevel", "extraInfoInLogs", "useANSIColors", "filter", "fieldsSchema")
+        filters = config.get("filter")
+        return cls(
+            force_up_to_level=config.get("forceUpToLevel"),
+            keys_on=[k for k, on in config.items() if on and k not in known],
+            filters={n: filters[n] for n in FILTERS if filters.get(n) is not None} if isinstance(filters, dict) else None,
+            fields=config.get("fieldsSchema") or dict.fromkeys(LINE_FIELDS, True),
+            colours=bool(config.get("useANSIColors")))
+
 
 def normalise_events(events: DataFrame, payload: str) -> DataFrame:
     """Add ``level``, ``key`` and the variant ``msg`` of events given as JSON text.
@@ -84,7 +106,9 @@ def derive_fields(events: DataFrame, misc: list[tuple[str, str]] = ()) -> DataFr
     """Display fields of monitoring events.
 
     ``misc`` lists (label, column) pairs of the remaining message entries in
-    order; label ``data`` is shown bare. Missing entries are left out.
+    order; label ``data`` is shown bare. Missing entries are left out. Two optional
+    columns are understood: ``error_object`` (text of an error, which is shown and
+    fails the outcome) and ``has_context`` (adds a warning to the line).
     """
     callee = F.concat(blank(F.col("callee")), blank(F.col("sub_method")))
     call = F.concat(blank(F.col("module")), F.lit("?"), blank(F.col("method")),
@@ -94,19 +118,25 @@ def derive_fields(events: DataFrame, misc: list[tuple[str, str]] = ()) -> DataFr
     device = F.concat(blank(F.col("src")),
                       F.when(F.size("dests") > 0, F.concat(F.lit("=>"), F.array_join("dests", "")))
                       .otherwise(""))
+    outcome = F.when(F.col("success").isNull(), "").when(F.col("success"), F.col("data")).otherwise(F.col("reason"))
+    success, misc = F.col("success"), list(misc)
+    if "error_object" in events.columns:
+        failed = F.col("error_object").isNotNull()
+        outcome = F.when(failed, ERROR_OUTCOME).otherwise(outcome)
+        success = F.when(failed, False).otherwise(success)
+        misc.append(("errorObject", "error_object"))
     entries = [F.when(F.col(c).isNotNull(),
                       F.concat(F.lit("" if label == "data" else f"{label}: "), text(F.col(c))))
                for label, c in misc]
+    rest = F.concat_ws(",", *entries) if entries else F.lit("")
+    if "has_context" in events.columns:
+        rest = F.concat(rest, F.when(F.col("has_context"), CONTEXT_WARNING).otherwise(""))
     return events.withColumns({
         "service": F.coalesce(F.when(F.col("service_name") != "", F.col("service_name")),
                               F.col("service_invoke"), F.lit("")),
         "context": F.concat(blank(F.col("usr")), F.lit("@"), blank(F.col("network"))),
-        "call": call,
-        "action_text": action,
-        "device": device,
-        "outcome_text": F.when(F.col("success").isNull(), "")
-        .when(F.col("success"), blank(F.col("data"))).otherwise(blank(F.col("reason"))),
-        "misc": F.concat_ws(",", *entries) if entries else F.lit(""),
+        "call": call, "action_text": action, "device": device,
+        "outcome_text": outcome, "success": success, "misc": rest,
     })
 
 
@@ -126,10 +156,8 @@ def key_on(config: MonitorConfig) -> Column:
 
 def filters_pass(config: MonitorConfig) -> Column:
     """Substring lists: any entry of a list, all lists. Services test the name only."""
-    tested = {"services": "service_name", "invokeStrings": "call", "devices": "device",
-              "actions": "action_text"}
     passes = F.lit(True)
-    for name, column in tested.items():
+    for name, column in FILTERS.items():
         if (config.filters or {}).get(name) is not None:
             passes = passes & contains_any(blank(F.col(column)), config.filters[name])
     return passes
@@ -149,6 +177,7 @@ def _field(config: MonitorConfig, name: str, value: Column, colour: Column | str
             return F.lit("")
         value = F.concat(F.lit(shape.get("prefix", "")), fixed_length(value, shape["len"]),
                          F.lit(shape.get("postfix", "")))
+    value = F.coalesce(value, F.lit("undefined"))
     if config.colours:
         code = colour if isinstance(colour, Column) else F.lit(COLOURS[name])
         return F.concat(F.lit("\x1b"), code, value, F.lit("\x1b[0m "))
@@ -170,6 +199,12 @@ def render_line(config: MonitorConfig) -> Column:
     )
 
 
+def stamped_line(config: MonitorConfig, ts_us: Column) -> Column:
+    """The line as printed without an ingestion service: day and time, then the fields."""
+    stamp = F.date_format(F.timestamp_micros(ts_us), "dd HH:mm:ss") if config.fields.get("timestamp") else F.lit("")
+    return F.concat(stamp, render_line(config))
+
+
 def volume_by(events: DataFrame, *by: str) -> DataFrame:
     """Events, failures, value total and its human-unit text per group."""
     grouped = events.groupBy(*by).agg(

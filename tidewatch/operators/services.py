@@ -113,6 +113,11 @@ def target_parts(url: Column) -> dict[str, Column]:
     return {"host": nth_part(authority, ":", 1), "port": nth_part(authority, ":", 2)}
 
 
+def target_url(host: Column, port: Column) -> Column:
+    """Target URL of a host and port, null where no target is set."""
+    return F.when(host.isNotNull(), F.concat(F.lit("http://"), host, F.lit(":"), port.cast("string")))
+
+
 def module_names(current: Column, legacy: Column, prefix: str) -> Column:
     """Configured modules with the legacy ones appended under a prefix."""
     empty = F.array().cast("array<string>")

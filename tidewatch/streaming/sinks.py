@@ -54,6 +54,13 @@ def deliver_lines(lines: DataFrame, checkpoint: str, every: str | None = None, p
     return _start(lines, work, checkpoint, every)
 
 
+def append_access_log(requests: DataFrame, path: str) -> None:
+    """Append the access rows of a finished request log to a table."""
+    if not path:
+        raise ValueError("Please define the table the access log is written to.")
+    access_rows(requests).write.mode("append").parquet(path)
+
+
 def record_access(requests: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append access-log rows to a table. A failed write is reported, requests go on."""
     if not path:
