@@ -125,7 +125,8 @@ SELECT req_id, 'app/' || lang || '/../top' AS canonical,
   CASE req_id % 3 WHEN 0 THEN 'pkg/' || lang WHEN 1 THEN '../../' || lang
     ELSE 'pkg/' || split_part(module, '/', 2) || '/' || lang || '/view' END AS resolved,
   CASE req_id % 4 WHEN 0 THEN '\' || split_part(module, '/', 2) || '\page'
-    WHEN 1 THEN CASE WHEN starts_with(split_part(module, '/', 2), lang) AND split_part(module, '/', 2) <> lang THEN NULL
+    -- An ancestor is matched as text, so a label that starts with the language is cut.
+    WHEN 1 THEN CASE WHEN starts_with(split_part(module, '/', 2), lang) THEN '\..\' || substr(split_part(module, '/', 2) || '\page', length(lang) + 2)
       ELSE '\..\..\' || split_part(module, '/', 2) || '\page' END
     WHEN 2 THEN '\..\' || split_part(module, '/', 2) || '\page' END AS relative
 FROM (SELECT i.*, lang FROM i JOIN b USING (req_id)) WHERE lang <> ''""")
