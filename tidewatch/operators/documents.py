@@ -123,20 +123,20 @@ def flat_to_json(flat: DataFrame, id_col: str) -> DataFrame:
     a path below a scalar is dropped unless the scalar counts as absent. One
     shuffle brings the rows of a record together; a group is one record.
     """
-    entry = F.struct("ord", "path", "value")
-    return flat.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
-        id_col, _nested("entries").alias("json"))
+    entries = F.array_sort(F.collect_list(F.struct("ord", "path", "value")))
+    rows = flat.groupBy(id_col).agg(entries.alias("_e"))
+    return rows.select(id_col, _nested(F.col("_e.path"), F.col("_e.value")).alias("json"))
 
 
 @F.pandas_udf(T.StringType())
-def _nested(records: pd.Series) -> pd.Series:
-    return records.map(_build)
+def _nested(paths: pd.Series, values: pd.Series) -> pd.Series:
+    return pd.Series([_written(_build(p, v)) for p, v in zip(paths, values)])
 
 
-def _build(entries) -> str:
+def _build(paths, values) -> dict:
     top: dict = {}
-    for e in entries:
-        *parents, last = e["path"].split(".")
+    for path, value in zip(paths, values):
+        *parents, last = path.split(".")
         spot = top
         for name in parents:
             inner = spot.get(name)
@@ -147,8 +147,8 @@ def _build(entries) -> str:
                 inner = spot[name] = {}
             spot = inner
         if spot is not None:
-            spot[last] = e["value"]
-    return _written(top)
+            spot[last] = value
+    return top
 
 
 # JSON texts of the values that count as absent.

@@ -39,13 +39,13 @@ def ssv_lines(rows: DataFrame, key: str) -> DataFrame:
     texts = rows.select(F.col(key).cast("bigint").alias("_key"), *[c.alias(n) for n, c in cells.items()])
     widths = texts.agg(F.struct(*[F.greatest(F.max(F.length(f"`{n}`")), F.lit(len(n))).alias(n) for n in cells]).alias("w"))
     w = widths.scalar()
-    padded = lambda value, n: F.rpad(value, F.coalesce(w.getField(n), F.lit(len(n))) + 1, F.lit(" "))
+    padded = lambda value, n: F.rpad(value, F.coalesce(F.col("_w").getField(n), F.lit(len(n))) + 1, F.lit(" "))
     one = rows.sparkSession.range(1)
     none = F.lit(None).cast("bigint")
-    header = one.select(F.lit(0).alias("section"), none.alias("key"),
+    header = one.withColumn("_w", w).select(F.lit(0).alias("section"), none.alias("key"),
                         F.concat(*[padded(F.lit(n), n) for n in cells]).alias("line"))
     gap = one.select(F.lit(1).alias("section"), none.alias("key"), F.lit("").alias("line"))
-    body = texts.select(F.lit(2).alias("section"), F.col("_key").alias("key"),
+    body = texts.withColumn("_w", w).select(F.lit(2).alias("section"), F.col("_key").alias("key"),
                         F.concat(*[padded(F.col(f"`{n}`"), n) for n in cells]).alias("line"))
     return header.unionByName(gap).unionByName(body)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import contains_any
 from tidewatch.operators import calls as c
 from tidewatch.operators.requests import count_by
 from tidewatch.plans import view_sql as v
@@ -160,7 +161,7 @@ def rule_classify(spark, folder):
     pattern = c.first_pattern(url, ["utm_.*feed", "", r"/(es|fr)/\d+", "#"])
     rows = table(spark, folder, "pages").select(
         pattern.alias("pattern"), c.first_equal(F.get(F.split(url, ":"), F.lit(0)), ["http", "https"]).alias("exact"),
-        c.contains_any(url, [".example.com", ".example.org"]).alias("has_any"), (pattern >= 0).alias("matches_any"),
+        contains_any(url, [".example.com", ".example.org"]).alias("has_any"), (pattern >= 0).alias("matches_any"),
         c.starts_with_any(url, ["https://www", "http://m."]).alias("starts_any"),
         F.endswith(url, F.lit("#top")).alias("ends"))
     return count_by(rows, *rows.columns)

@@ -231,7 +231,8 @@ SELECT age, count(*) AS n FROM b GROUP BY age""")
 def relative_time_bucket(spark, folder):
     events = table(spark, folder, "events").select(F.floor(micros(F.col("ts")) / 1_000_000).cast("bigint").alias("at"))
     reference = (events.agg(F.max("at").alias("m")).select(F.col("m") - 3600)).scalar()
-    return events.groupBy(d.age_text(reference - F.col("at")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    ages = events.select((reference - F.col("at")).alias("seconds"))
+    return ages.groupBy(d.age_text(F.col("seconds")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("datetime_parse", """
