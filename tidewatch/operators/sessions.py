@@ -18,19 +18,21 @@ def pair_pipes(chunks: DataFrame, closes: DataFrame) -> DataFrame:
     """Traffic and end of each pipe of two connections.
 
     Chunks have ``pipe``, ``side`` (s1 or s2), ``size`` and ``buffered`` (came before the
-    binding, so it is forwarded first); closes ``pipe``, ``side``, ``closed`` and
-    ``had_error``. Only the first close of a pipe counts.
+    binding, so it is forwarded first). ``closes`` has a row per connection: ``pipe``,
+    ``side``, ``closed`` (null while open) and ``had_error``. Only the first close of a
+    pipe counts; a pipe needs both sides.
     """
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("size"))), F.lit(0))
     s1, s2, buffered = F.col("side") == "s1", F.col("side") == "s2", F.col("buffered")
     traffic = chunks.groupBy("pipe").agg(
         total(s1).alias("bytes_s1_s2"), total(s2).alias("bytes_s2_s1"),
         total(s1 & buffered).alias("buffered_s1"), total(s2 & buffered).alias("buffered_s2"))
-    ends = closes.groupBy("pipe").agg(
-        F.min(F.struct("closed", "side", "had_error")).alias("first"), F.countDistinct("side").alias("sides"))
+    close = F.when(F.col("closed").isNotNull(), F.struct("closed", "side", "had_error"))
+    ends = closes.groupBy("pipe").agg(F.min(close).alias("first"), F.min("side").alias("one"), F.max("side").alias("other"))
+    alone = F.col("one").isNull() | (F.col("one") == F.col("other"))
     reason = first_match([
-        (F.col("sides").isNull(), F.lit("still open")),
-        (F.col("sides") < 2, F.concat(F.lit("Invalid socketId for "), F.when(F.col("first.side") == "s1", "s2").otherwise("s1"))),
+        (alone, F.concat(F.lit("Invalid socketId for "), F.when(F.col("one") == "s1", "s2").otherwise("s1"))),
+        (F.col("first").isNull(), F.lit("still open")),
         (F.col("first.had_error"), F.lit("hadError was set "))], F.lit(None).cast("string"))
     return (traffic.join(ends, "pipe", "left").withColumn("reason", reason)
             .select("pipe", "bytes_s1_s2", "bytes_s2_s1", "buffered_s1", "buffered_s2",

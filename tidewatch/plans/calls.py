@@ -99,8 +99,8 @@ _MODULE = r"regexp_extract(target, '^/([^?#]*)', 1)"
 
 @query("module_package_lookup", f"""
 WITH {v.REQ}, m AS (SELECT req_id, {_MODULE} AS path FROM req),
-first AS (SELECT path, min(split_part(path, '/', 1)) AS pkg FROM m WHERE req_id % 3 = 0 GROUP BY path),
-second AS (SELECT path, min(path[1]) AS pkg FROM m WHERE req_id % 3 = 1 GROUP BY path),
+first AS (SELECT path, min(CASE WHEN req_id % 3 = 0 THEN split_part(path, '/', 1) END) AS pkg FROM m GROUP BY path),
+second AS (SELECT path, min(CASE WHEN req_id % 3 = 1 THEN path[1] END) AS pkg FROM m GROUP BY path),
 w AS (SELECT req_id, CASE WHEN req_id % 7 = 0 THEN replace(path, '/', ':') ELSE path END AS path FROM m),
 j AS (SELECT req_id, w.path, coalesce(first.pkg, second.pkg) AS pkg FROM w LEFT JOIN first USING (path) LEFT JOIN second USING (path)),
 d AS (SELECT req_id, path, CASE WHEN strpos(path, ':') > 1 THEN path ELSE pkg || ':' || substr(path, length(pkg) + 2) END AS data FROM j)
@@ -108,16 +108,17 @@ SELECT req_id, path, data, data IS NOT NULL AS success, CASE WHEN data IS NULL T
   '[toInvokeString] Cannot determine package name for "' || path || '" automatically.' END AS reason FROM d""")
 def module_package_lookup(spark, folder):
     modules = requests(spark, folder).select("req_id", F.expr(_MODULE).alias("path"))
-    first = (modules.where(F.col("req_id") % 3 == 0).groupBy("path")
-             .agg(F.min(F.get(F.split("path", "/"), F.lit(0))).alias("pkg")))
-    second = modules.where(F.col("req_id") % 3 == 1).groupBy("path").agg(F.min(F.substring("path", 1, 1)).alias("pkg"))
+    # A path without a package in a map counts as not listed there.
+    known = lambda n, pkg: F.min(F.when(F.col("req_id") % 3 == n, pkg)).alias("pkg")
+    first = modules.groupBy("path").agg(known(0, F.get(F.split("path", "/"), F.lit(0))))
+    second = modules.groupBy("path").agg(known(1, F.substring("path", 1, 1)))
     paths = modules.withColumn("path", F.when(F.col("req_id") % 7 == 0, F.translate("path", "/", ":"))
                                .otherwise(F.col("path")))
     return c.qualify_modules(paths, first, second).select("req_id", "path", "data", "success", "reason")
 
 
 @query("path_canonical", rf"""
-WITH {v.REQ}, b AS (SELECT req_id, split_part(host, '.', 1) AS label, regexp_extract(target, '^/([a-z]+)', 1) AS lang FROM req),
+WITH {v.REQ}, b AS (SELECT req_id, split_part(host, '.', 1) AS label, coalesce(nullif(regexp_extract(target, '^/([a-z]+)', 1), ''), 'none') AS lang FROM req),
 i AS (SELECT req_id, 'app/' || label || '/../' || lang || '/x/../../top' AS path,
   CASE req_id % 3 WHEN 0 THEN '../' || lang WHEN 1 THEN '../../../../' || lang ELSE lang || '/view' END AS rel,
   'pkg/' || label || '/mod' AS module, '\site\' || lang || '\..\' || label || '\page' AS full,
@@ -130,12 +131,13 @@ SELECT req_id, 'app/' || lang || '/../top' AS canonical,
     WHEN 1 THEN CASE WHEN starts_with(split_part(module, '/', 2), lang) THEN '\..\' || substr(split_part(module, '/', 2) || '\page', length(lang) + 2)
       ELSE '\..\..\' || split_part(module, '/', 2) || '\page' END
     WHEN 2 THEN '\..\' || split_part(module, '/', 2) || '\page' END AS relative
-FROM (SELECT i.*, lang FROM i JOIN b USING (req_id)) WHERE lang <> ''""")
+FROM (SELECT i.*, lang FROM i JOIN b USING (req_id))""")
 def path_canonical(spark, folder):
     label = F.get(F.split("host", r"\."), F.lit(0))
-    lang = F.regexp_extract("target", "^/([a-z]+)", 1)
+    found = F.regexp_extract("target", "^/([a-z]+)", 1)
+    lang = F.when(found == "", "none").otherwise(found)
     rid = F.col("req_id")
-    b = requests(spark, folder).select("req_id", label.alias("label"), lang.alias("lang")).where("lang <> ''")
+    b = requests(spark, folder).select("req_id", label.alias("label"), lang.alias("lang"))
     cat = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     label, lang = F.col("label"), F.col("lang")
     path = cat("app/", label, "/../", lang, "/x/../../top")

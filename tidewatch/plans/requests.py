@@ -136,11 +136,11 @@ def refreshing_dimension(spark, folder):
     log = requests(spark, folder).select("req_id", load.alias("load"), "host")
     shape = "ord int, route string, handler string"
     # Every third load failed; a good one brings two routes named after it.
-    loads = log.select("load").distinct().where(F.col("load") % 3 != 1)
+    loads = log.select("load").distinct()
     named = lambda h: F.concat(F.lit(f"{h}."), F.col("load").cast("string"))
     remote = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(route).alias("route"), named(h).alias("handler"))
                        for i, route, h in [(1, "*.example.com", "h3"), (2, "*.example.net", "h4")]])
-    loaded = loads.select("load", F.inline(remote))
+    loaded = loads.select("load", F.inline(F.when(F.col("load") % 3 != 1, remote)))
     rows = r.routes_by_load(log, rule_table(spark, ROUTES[:2], shape), loaded, "load")
     return rows.select("req_id", "load", "domain", "source_rank", "ord", "handler")
 

@@ -19,18 +19,19 @@ WITH {v.CHUNK}, c AS (SELECT conn // 2 AS pipe, CASE WHEN conn % 2 = 0 THEN 's1'
 t AS (SELECT pipe, CAST(coalesce(sum(size) FILTER (side = 's1'), 0) AS BIGINT) AS bytes_s1_s2, CAST(coalesce(sum(size) FILTER (side = 's2'), 0) AS BIGINT) AS bytes_s2_s1,
     CAST(coalesce(sum(size) FILTER (side = 's1' AND buffered), 0) AS BIGINT) AS buffered_s1,
     CAST(coalesce(sum(size) FILTER (side = 's2' AND buffered), 0) AS BIGINT) AS buffered_s2 FROM c GROUP BY pipe),
-e AS (SELECT pipe, side, max(seq) AS closed, conn % 5 = 0 AS had_error FROM c WHERE conn % 11 <> 0 GROUP BY pipe, side, conn),
-f AS (SELECT pipe, arg_min(side, (closed, side)) AS first_close, arg_min(had_error, (closed, side)) AS had_error, count(*) AS sides FROM e GROUP BY pipe),
-r AS (SELECT t.*, first_close, CASE WHEN sides IS NULL THEN 'still open' WHEN sides < 2 THEN 'Invalid socketId for ' ||
-    CASE WHEN first_close = 's1' THEN 's2' ELSE 's1' END WHEN had_error THEN 'hadError was set ' END AS reason FROM t LEFT JOIN f USING (pipe))
+e AS (SELECT pipe, side, CASE WHEN conn % 11 <> 0 THEN max(seq) END AS closed, conn % 5 = 0 AS had_error FROM c GROUP BY pipe, side, conn),
+f AS (SELECT pipe, arg_min(side, (closed, side)) FILTER (closed IS NOT NULL) AS first_close,
+    arg_min(had_error, (closed, side)) FILTER (closed IS NOT NULL) AS had_error, count(*) AS sides FROM e GROUP BY pipe),
+r AS (SELECT t.*, first_close, CASE WHEN sides < 2 THEN 'Invalid socketId for ' || CASE WHEN pipe * 2 IN (SELECT conn FROM c) THEN 's2' ELSE 's1' END
+    WHEN first_close IS NULL THEN 'still open' WHEN had_error THEN 'hadError was set ' END AS reason FROM t LEFT JOIN f USING (pipe))
 SELECT *, reason IS NULL AS success FROM r""")
 def pipe_pairing(spark, folder):
     conn = F.col("conn")
     side = F.when(conn % 2 == 0, "s1").otherwise("s2")
     log = chunks(spark, folder).select(F.floor(conn / 2).cast("bigint").alias("pipe"), side.alias("side"), "conn", "seq",
                                        F.octet_length("payload").alias("size"), (F.col("seq") == 0).alias("buffered"))
-    closes = (log.where(conn % 11 != 0).groupBy("pipe", "side", "conn").agg(F.max("seq").alias("closed"))
-              .withColumn("had_error", conn % 5 == 0))
+    closes = log.groupBy("pipe", "side", "conn").agg(F.max("seq").alias("closed")).withColumns({
+        "closed": F.when(conn % 11 != 0, F.col("closed")), "had_error": conn % 5 == 0})
     return s.pair_pipes(log, closes)
 
 
