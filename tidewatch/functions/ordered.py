@@ -31,15 +31,28 @@ with_tasks(__name__)
 SLICE = "_slice"
 
 
+# A slice holds this many rows at most, give or take the error of the range
+# sampling, and small tables are not cut finer than the lower number.
+SLICE_ROWS, SMALL_SLICE_ROWS = 2_000_000, 50_000
+
+
+def slice_count(df: DataFrame) -> int:
+    """Slices for a table: as many as its rows need, else as the session's partitions."""
+    rows = df.count()
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // SLICE_ROWS), min(partitions, -(-rows // SMALL_SLICE_ROWS)))
+
+
 def cut(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
     """Range-partition by (keys, order) and record the slice number of each row.
 
     The result is written once: a recomputed range partitioning may choose other
-    bounds, so slice numbers have to be on record before they are used.
-    Without ``slices`` the session's partition count and AQE's target size decide.
+    bounds, so slice numbers have to be on record before they are used. Without
+    ``slices`` the number follows from a count of the rows. Pass only the columns that
+    are needed: the finishing step of a chain holds one slice in memory.
     """
     by = [F.col(c) for c in (*keys, *order)]
-    ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    ranged = df.repartitionByRange(slices or slice_count(df), *by)
     return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
