@@ -109,6 +109,35 @@ def test_nested_failure_has_five_levels(spark):
     assert got[0] == (5, "<0><1><2><3><4>") and got[4] == (1, "<4>")
 
 
+def test_a_cycle_of_calls_is_refused(spark):
+    calls = spark.createDataFrame([("t", i, (i + 1) % 3, "x") for i in range(3)], "trace string, node int, parent int, entry string")
+    with pytest.raises(ValueError, match="cycle"):
+        traces.call_stacks(calls, ["trace"])
+
+
+def test_hot_traces_and_keys(spark):
+    """One key with most rows, with the hot path forced by a low limit."""
+    from tidewatch.functions import skew
+    rows = [("hot" if i % 4 else f"t{i % 40}", i, i not in (61, 90, 80)) for i in range(400)]
+    steps = spark.createDataFrame(rows, "trace string, pos int, ok boolean")
+    names = sorted({r[0] for r in rows})
+    names_df = spark.createDataFrame([(n,) for n in names], "trace string")
+    limit, results = skew.attach.__defaults__, []
+    try:
+        for hot_rows in (3, 10 ** 9):
+            skew.attach.__defaults__ = (hot_rows,)
+            results.append({r.trace: (r.success, r.failed_step, r.counted, r.ignored)
+                            for r in traces.first_failures(names_df, steps, ["pos"]).collect()})
+    finally:
+        skew.attach.__defaults__ = limit
+    expect = {}
+    for n in names:
+        oks = [ok for t, _, ok in rows if t == n]
+        at = oks.index(False) + 1 if False in oks else None
+        expect[n] = (at is None, at, at or len(oks), len(oks) - (at or len(oks)))
+    assert results == [expect, expect]
+
+
 def test_script_over_chunk_borders(spark):
     """Random texts in short chunks against the rule written as a loop, with one hot connection."""
     rng = random.Random(11)

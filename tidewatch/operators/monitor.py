@@ -250,9 +250,9 @@ def rate_windows(samples: DataFrame, stream: str, order: list[str], ts_ms: str,
     steps = samples.withColumns({"step_bytes": _step(size, bits)})
     rows = running(cut(steps, [stream], order, slices), [stream], order,
                    sums={"total_bytes": F.col("step_bytes")})
-    rows = rows.withColumns({"_before": F.col("total_bytes") - F.col("step_bytes"),
-                             "_opens": F.col("step_bytes") > 0})
-    # The rows of the chain are read twice below, so they are written once.
+    # Chains and running values read their rows twice, so those are written once.
+    rows = checkpointed(rows.withColumns({"_before": F.col("total_bytes") - F.col("step_bytes"),
+                                          "_opens": F.col("step_bytes") > 0}))
     rows = checkpointed(chain(rows, [stream], order, ts_ms, window_ms, ["_before"], opens="_opens"))
     age = F.col(ts_ms) - F.col("anchor")
     elapsed = F.when(age > window_ms, 0).otherwise(F.coalesce(age, F.lit(0)))
@@ -281,6 +281,6 @@ def thin_log(samples: DataFrame, stream: str, order: list[str], size: str, sampl
     if sample_rate is None:
         return rows.withColumn("should_log", F.lit(True))
     budget = interval_seconds * sample_rate * bits * channels // 8
-    rows = rows.withColumn("_first", F.col("total_bytes") == F.col("step_bytes"))
+    rows = checkpointed(rows.withColumn("_first", F.col("total_bytes") == F.col("step_bytes")))
     rows = chain(rows, [stream], order, "total_bytes", budget, force="_first")
     return rows.withColumn("should_log", F.col("is_anchor")).drop("_first", "anchor", "anchor_before", "is_anchor")

@@ -63,7 +63,12 @@ def call_stacks(calls: DataFrame, keys: list[str]) -> DataFrame:
     known = calls.select(*keys, F.col("node").alias("above"), F.lit(True).alias("_known"))
     stacks = stacks.join(known, [*keys, "above"], "left")
     stacks = checkpointed(stacks.withColumn("above", F.when(F.col("_known"), F.col("above"))).drop("_known"))
+    nodes, reach = stacks.count(), 1
     while not stacks.where("above IS NOT NULL").isEmpty():
+        # After each round a stack holds twice as many levels; none has more than there are nodes.
+        if reach > nodes:
+            raise ValueError("the calls form a cycle")
+        reach *= 2
         upper = stacks.select(*keys, F.col("node").alias("above"), F.col("stack").alias("_upper"),
                               F.col("above").alias("_next"))
         grown = stacks.join(upper, [*keys, "above"], "left")
