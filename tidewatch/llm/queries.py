@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, decontaminate, licenses
+from tidewatch.llm import (
+    bpe, decontaminate, embeddings, language, licenses, lines, sharding, simhash, substrings, toxicity)
 from tidewatch.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,11 +25,42 @@ def query(name: str, check: str | None = None):
     return register
 
 
+@query("op1_simhash")
+def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicate_report(table(spark, folder, "documents"))
+
+
+@query("op2_language")
+def language_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_report(table(spark, folder, "documents"))
+
+
 @query("op3_license_scan")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_report(table(spark, folder, "documents"))
 
 
+@query("op4_line_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT r, source, p, ls[p] AS line, trim(ls[p], ' ' || chr(9) || chr(13)) AS body
+      FROM (SELECT r, source, ls, unnest(range(1, len(ls) + 1)) AS p FROM d WHERE text IS NOT NULL)),
+b AS (SELECT body FROM l WHERE body <> '' GROUP BY body HAVING count(DISTINCT source) >= 10),
+k AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE b.body IS NOT NULL) AS n_removed,
+             coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE b.body IS NULL), '') AS kept
+      FROM l LEFT JOIN b USING (body) GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+""")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(table(spark, folder, "documents"))
+
+
+@query("op5_sharding")
+def sharding_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
+
+
 @query("op6_decontamination", r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -65,6 +97,52 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op7_embeddings", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT a AS origin, b AS node FROM l UNION SELECT r.origin, l.b FROM reach r JOIN l ON l.a = r.node),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a),
+c AS (SELECT origin AS vec_id, min(node) AS low FROM reach GROUP BY origin)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+""")
+def embedding_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op8_toxicity")
+def toxicity_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op9_bpe")
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), VOCABULARY)
+
+
+@query("op10_substrings", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+w AS (
+  SELECT r, doc_id, s, array_to_string(ws[s:s + 12], ' ') AS g
+  FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM d WHERE len(ws) >= 13)),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+c AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM w JOIN m USING (g) WHERE least < doc_id),
+p AS (SELECT r, ws[p] AS word, p FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+k AS (
+  SELECT p.r, string_agg(p.word, ' ' ORDER BY p.p) AS kept, count(*) AS n_kept
+  FROM p LEFT JOIN c ON c.r = p.r AND c.p = p.p WHERE c.p IS NULL GROUP BY p.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+""")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeat_report(table(spark, folder, "documents"))
