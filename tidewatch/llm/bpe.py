@@ -194,10 +194,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.mapInArrow(run, out)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Ids and decoded text of every document, as digests."""
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """A row per document: number of tokens, digests of the ids and of the text they decode
+    to, and the ids if asked for."""
     both = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
     joined = F.array_join("ids", ",")
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), *["ids"] * keep_ids,
                        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
