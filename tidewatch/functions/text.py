@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.session import with_tasks
+
+with_tasks(__name__)
+
 # Fixed value: the characters the reference language counts as white space, as a
 # pattern and as a list.
 WHITE_SPACE = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -66,10 +72,48 @@ def friendly(number: Column, name: str, thousand: int = 1000) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A double as text without a trailing ``.0`` and without an exponent."""
-    plain = F.regexp_replace(text(value), r"\.0$", "")
-    wide = F.regexp_replace(text(value.cast("decimal(38,6)")), r"\.?0+$", "")
-    return F.when(F.abs(value) < 1e7, plain).otherwise(wide)
+    """A number as the reference language prints it: plain from 0.000001 up to below 1e21,
+    else with an exponent, and without a trailing ``.0``."""
+    shown = text(value)
+    sign, body = F.when(F.startswith(shown, F.lit("-")), "-").otherwise(""), F.ltrim(shown, F.lit("-"))
+    parts = F.split(body, "E")
+    mantissa, exponent = F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", ""), F.get(parts, F.lit(1)).try_cast("int")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    rest = F.substring(digits, exponent + 2, F.length(digits))
+    large = F.when(rest != "", F.concat(F.left(digits, exponent + 1), F.lit("."), rest)).otherwise(
+        F.rpad(digits, exponent + 1, F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    tail = F.substring(digits, F.lit(2), F.length(digits))
+    power = F.concat(F.left(digits, F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"),
+                     F.when(exponent > 0, "+").otherwise("-"), text(F.abs(exponent)))
+    return (F.when(value == 0, "0").when(exponent.isNull(), F.concat(sign, mantissa))
+            .when(exponent.between(0, 20), F.concat(sign, large))
+            .when(exponent.between(-6, -1), F.concat(sign, small)).otherwise(F.concat(sign, power)))
+
+
+def script_number(value: float) -> str:
+    """The same for one value, for helpers that run in Python."""
+    if isinstance(value, int) and abs(value) < 1 << 53:
+        return str(value)
+    value = float(value) if not isinstance(value, int) or abs(value) < 1 << 1023 else math.inf * (1 if value > 0 else -1)
+    if value != value:
+        return "NaN"
+    if math.isinf(value):
+        return "Infinity" if value > 0 else "-Infinity"
+    if not value:
+        return "0"
+    sign, (mantissa, exponent) = "-" if value < 0 else "", f"{abs(value)!r}e0".split("e")[:2]
+    whole, _, part = mantissa.partition(".")
+    digits = (whole + part.rstrip("0")).lstrip("0")
+    exponent = int(exponent) + (len(whole) if whole.strip("0") else len(part.lstrip("0")) - len(part)) - 1
+    digits = digits.rstrip("0") or "0"
+    if 0 <= exponent <= 20:
+        head, tail = digits[:exponent + 1].ljust(exponent + 1, "0"), digits[exponent + 1:]
+        return sign + head + ("." + tail if tail else "")
+    if -6 <= exponent < 0:
+        return f"{sign}0.{'0' * (-exponent - 1)}{digits}"
+    tail = "." + digits[1:] if len(digits) > 1 else ""
+    return f"{sign}{digits[0]}{tail}e{'+' if exponent > 0 else '-'}{abs(exponent)}"
 
 
 def contains_any(value: Column, needles: list[str]) -> Column:

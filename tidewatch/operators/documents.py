@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.functions.text import WHITE_SPACE, text, trim_white
+from tidewatch.functions.text import WHITE_SPACE, script_number, text, trim_white
 from tidewatch.operators.requests import first_match
 from tidewatch.session import with_tasks
 
@@ -52,8 +52,9 @@ def json_type(value: Column) -> Column:
 def json_nodes(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Every node below the top of each record: id, dotted path, type and text value.
 
-    A record may be nested to any depth, so each is unfolded by a small helper in
-    one pass over Arrow batches; unreadable records have no nodes.
+    The depth of a record is not known, so each is unfolded by a small helper in one pass
+    over Arrow batches. Unreadable records have no nodes, and neither have records nested
+    deeper than a parser follows. Half of a surrogate pair becomes a question mark.
     """
     id_field = rows.schema[id_col]
     schema = T.StructType([id_field, T.StructField("path", T.StringType()), T.StructField("type", T.StringType()),
@@ -83,27 +84,32 @@ def _nodes(body: str | None):
     """(path, type, text) of each node below the top of a JSON text, outermost first."""
     try:
         todo = [("", json.loads(body, parse_constant=_refuse))]
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return
     while todo:
         path, value = todo.pop()
         inner = list(enumerate(value)) if isinstance(value, list) else list(value.items()) if isinstance(value, dict) else []
         if path:
             yield path, _KINDS[type(value)], None if isinstance(value, (list, dict)) else _scalar_text(value)
-        todo += [(f"{path}.{name}" if path else str(name), child) for name, child in reversed(inner)]
+        todo += [(f"{path}.{_whole(str(name))}" if path else _whole(str(name)), child) for name, child in reversed(inner)]
 
 
 _KINDS = {list: "array", dict: "object", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
+def _whole(value: str) -> str:
+    """Text that has a UTF-8 form."""
+    return value if value.isascii() else value.encode("utf-8", "replace").decode()
+
+
 def _scalar_text(value):
-    if value is None or isinstance(value, str):
-        return value
+    if value is None:
+        return None
+    if isinstance(value, str):
+        return _whole(value)
     if isinstance(value, bool):
         return "true" if value else "false"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return str(int(value))
-    return repr(value)
+    return script_number(value)
 
 
 def json_to_flat(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -155,10 +161,21 @@ def _build(paths, values) -> dict:
 _ABSENT = ('""', "0", "false", "null")
 
 
-def _written(node) -> str:
-    if not isinstance(node, dict):
-        return node
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v)}" for k, v in node.items()) + "}"
+def _written(top) -> str:
+    """JSON text of nested objects whose other values are JSON text already."""
+    out, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif not isinstance(node, dict):
+            out.append("null" if node is None else str(node))
+        else:
+            out.append("{")
+            members = [x for i, (name, value) in enumerate(node.items())
+                       for x in (("," if i else "") + json.dumps(_whole(name), ensure_ascii=False) + ":", value)]
+            todo += ["}", *reversed(members)]
+    return "".join(out)
 
 
 def expand_typed(rows: DataFrame, value: str) -> DataFrame:

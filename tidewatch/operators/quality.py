@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.text import number_text, text
+from tidewatch.functions.text import number_text, script_number, text
 from tidewatch.operators.requests import first_match
 
 # Keys of a nested condition that are not paths.
@@ -33,13 +33,16 @@ def flatten(condition: dict | str | float) -> list[Expectation]:
     """Leaves of a nested condition in key order.
 
     A branch may name operators for its keys; operators given above apply to the
-    branches below them. A bare text or number compares the column ``assertionValue``.
+    branches below them. A list is a branch whose keys are its positions. A bare text or
+    number compares the column ``assertionValue``.
     """
-    if not isinstance(condition, dict):
+    if not isinstance(condition, (dict, list)):
         condition = {VALUE: condition}
     leaves: list[Expectation] = []
 
     def walk(branch: object, path: tuple[str, ...], operator: object) -> None:
+        if isinstance(branch, list):
+            branch = {str(i): item for i, item in enumerate(branch)}
         if not isinstance(branch, dict):
             leaves.append(Expectation(path, operator if isinstance(operator, str) else EQUAL, branch))
             return
@@ -63,27 +66,58 @@ def kind_of(value: object) -> str:
     return "string" if isinstance(value, str) else "object"
 
 
-def _column(schema: T.StructType, path: tuple[str, ...]) -> tuple[Column, str] | None:
-    """Column and type name of a path, or None where the schema has no such path."""
+def _column(schema: T.StructType, path: tuple[str, ...]) -> tuple[Column, str, T.DataType] | None:
+    """Column, type name and type of a path, or None where the schema has no such path.
+
+    Structs and maps are followed by key, lists by position, open JSON by either. What a
+    row does not have is null there; a map's or list's missing entry is told from a null
+    by :func:`_absent`."""
     column, kind = None, schema
-    for name in path:
-        if not isinstance(kind, T.StructType) or name not in kind.names:
+    for at, name in enumerate(path):
+        if isinstance(kind, T.StructType) and name in kind.names:
+            column = F.col(f"`{name}`") if column is None else column.getField(name)
+            kind = kind[name].dataType
+        elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            column, kind = F.try_element_at(column, F.lit(name)), kind.valueType
+        elif isinstance(kind, T.ArrayType) and name.isdigit():
+            column, kind = F.get(column, F.lit(int(name))), kind.elementType
+        elif isinstance(kind, T.VariantType):
+            steps = "".join(f"[{n}]" if n.isdigit() else f"['{n}']" for n in path[at:])
+            return F.try_variant_get(column, "$" + steps, "variant"), "variant", kind
+        else:
             return None
-        column = F.col(f"`{name}`") if column is None else column.getField(name)
-        kind = kind[name].dataType
     kinds = {T.StringType: "string", T.BooleanType: "boolean", T.VariantType: "variant"}
     name = "number" if isinstance(kind, T.NumericType) else kinds.get(type(kind), "object")
-    return column, name
+    return column, name, kind
+
+
+def _absent(schema: T.StructType, path: tuple[str, ...]) -> Column:
+    """True where a list or map on the way has no such entry."""
+    for at in range(len(path) - 1, 0, -1):
+        inner = _column(schema, path[:at])
+        if inner and isinstance(inner[2], T.ArrayType):
+            return F.coalesce(F.size(inner[0]) <= int(path[at]), F.lit(True))
+        if inner and isinstance(inner[2], T.MapType):
+            return ~F.coalesce(F.map_contains_key(inner[0], F.lit(path[at])), F.lit(False))
+    return F.lit(False)
 
 
 def _shown(value: object) -> str:
     if isinstance(value, bool):
         return str(value).lower()
-    return f"{value:g}" if isinstance(value, float) and value.is_integer() else str(value)
+    return script_number(value) if isinstance(value, (int, float)) else str(value)
 
 
 def _actual(column: Column, kind: str) -> Column:
-    return number_text(column.cast("double")) if kind == "number" else text(column)
+    return number_text(column) if kind == "number" else text(column)
+
+
+def _filled(column: Column, kind: T.DataType) -> Column:
+    """True for a list, map or struct that has something in it."""
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.size(column) > 0
+    # A struct has its fields whatever they hold.
+    return column.isNotNull() & F.lit(isinstance(kind, T.StructType) and len(kind) > 0)
 
 
 def violation(schema: T.StructType, e: Expectation, context: str = " ") -> Column:
@@ -97,22 +131,23 @@ def violation(schema: T.StructType, e: Expectation, context: str = " ") -> Colum
 
     if found is None:
         return mismatch("undefined")
-    column, kind = found
+    column, kind, full_type = found
     if kind == "variant":
         return _variant_violation(column, e, context)
+    gone = _absent(schema, e.path)
+    missing = F.when(gone, mismatch("undefined"))
     if wanted == "object":
         if kind != "object" and e.expected is not None:
-            return F.when(column.isNull(), none).otherwise(mismatch(kind))
+            return missing.when(column.isNotNull(), mismatch(kind))
         if e.expected is None:
-            got = F.when(F.lit(kind == "object"), "[object]").otherwise(_actual(column, kind)) if kind == "object" else None
-            reason = F.concat(F.lit(f"{context}Expected null for {e.name} but got "), got) if got is not None else mismatch(kind)
-            return F.when(column.isNull(), none).otherwise(reason)
+            shown = F.concat(F.lit(f"{context}Expected null for {e.name} but got "), F.lit("[object]"))
+            return missing.when(column.isNotNull(), shown if kind == "object" else mismatch(kind))
         full = F.lit(f"{context}Expected an empty array/object for {e.name} but it was non-empty.")
-        return F.when(F.size(column) > 0, full)
+        return missing.when(_filled(column, full_type), full)
     if kind == "object":
-        return mismatch("object")
+        return missing.otherwise(mismatch("object"))
     # A null is an object in the reference language.
-    broken = F.when(column.isNull(), mismatch("object"))
+    broken = missing.when(column.isNull(), mismatch("object"))
     if kind != wanted:
         return broken.otherwise(mismatch(kind))
     return broken.otherwise(_compare(column, kind, e, context))
@@ -216,23 +251,41 @@ def outcome(rows: DataFrame, condition: dict | str | float, order: list[str]) ->
 # ------------------------------------------------------------------ differences
 
 def one_sided(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of one table that the other lacks, counting copies, with their side."""
-    return (left.exceptAll(right).withColumn("side", F.lit("left"))
-            .unionByName(right.exceptAll(left).withColumn("side", F.lit("right"))))
+    """Rows of one table that the other lacks, counting copies, with their side.
+
+    Copies count plus one on the left and minus one on the right; one grouping gives both sides."""
+    columns = left.columns
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    rest = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    copies = F.sequence(F.lit(1).cast("bigint"), F.abs("_n"))
+    side = F.when(F.col("_n") > 0, "left").otherwise("right")
+    return rest.withColumn("side", side).select(*columns, "side", F.explode(copies).alias("_c")).drop("_c")
 
 
 def parity(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that differ per column, and rows missing on either side, by key.
 
-    A missing key counts as missing, not as a difference of its columns.
+    A missing key counts as missing, not as a difference of its columns. Nulls are a key
+    like any other. Keys with several rows on a side are not paired; ``repeated keys``
+    counts those whose rows are not the same on both sides. One grouping by key sees each
+    table once and holds two rows of a key at most.
     """
     columns = [c for c in left.columns if c not in keys]
-    a = left.select(*keys, F.struct(*columns).alias("_l"))
-    b = right.select(*keys, F.struct(*columns).alias("_r"))
-    both = a.join(b, keys, "full")
-    paired = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    counts = both.agg(
-        F.count(F.when(F.col("_r").isNull(), 1)).alias("only left"), F.count(F.when(F.col("_l").isNull(), 1)).alias("only right"),
+    packed = F.struct(*columns)
+    both = (left.select(*keys, packed.alias("_l"), F.lit(None).cast(left.select(packed.alias("p")).schema["p"].dataType).alias("_r"))
+            .union(right.select(*keys, F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("_l"), packed.alias("_r"))))
+    # A sum of hashes tells whether several rows are the same on both sides.
+    weight = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.xxhash64(c).cast("decimal(38,0)")))
+    found = both.groupBy(*keys).agg(
+        F.count("_l").alias("_nl"), F.count("_r").alias("_nr"), F.first("_l", ignorenulls=True).alias("_l"),
+        F.first("_r", ignorenulls=True).alias("_r"), weight("_l").alias("_hl"), weight("_r").alias("_hr"))
+    paired = (F.col("_nl") == 1) & (F.col("_nr") == 1)
+    several = (F.col("_nl") > 0) & (F.col("_nr") > 0) & ~paired
+    unlike = (F.col("_nl") != F.col("_nr")) | ~F.col("_hl").eqNullSafe(F.col("_hr"))
+    counts = found.agg(
+        F.sum(F.when(F.col("_nr") == 0, F.col("_nl"))).alias("only left"),
+        F.sum(F.when(F.col("_nl") == 0, F.col("_nr"))).alias("only right"),
+        F.count(F.when(several & unlike, 1)).alias("repeated keys"),
         *[F.count(F.when(paired & ~F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")), 1)).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("subject"), F.col(f"`{c}`").alias("differing")) for c in counts.columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("subject"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("differing")) for c in counts.columns])
     return counts.select(F.inline(rows))

@@ -27,18 +27,18 @@ def expect_equal(spark, folder):
     return _reasons(rows, {"o_orderstatus": "O", "o_orderpriority": 3, "bucket": 3, "note": "n", "gone": True})
 
 
-_TEXT = "CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END"
-
-
-@query("expect_contain", f"""
-WITH t AS (SELECT {_TEXT} AS text, lang, n_chars FROM documents),
+@query("expect_contain", """
+WITH t AS (SELECT text, lang, n_chars FROM documents UNION ALL SELECT '', lang, 0 FROM documents WHERE doc_id % 9 = 0),
 r AS (SELECT 'text' AS path, 'contain' AS op, CASE WHEN text = '' THEN '[words] Expected text to contain the but the property was missing.'
     ELSE '[words] Expected text to contain ''the''.' END AS reason FROM t WHERE NOT contains(text, 'the')
   UNION ALL SELECT 'lang', 'notcontain', '[words] Expected lang to not contain ''e''.' FROM t WHERE contains(lang, 'e')
-  UNION ALL SELECT 'n_chars', 'contain', '[words] Expected n_chars to contain ''3''.' FROM t WHERE NOT contains(CAST(n_chars AS VARCHAR), '3'))
+  UNION ALL SELECT 'n_chars', 'contain', CASE WHEN n_chars = 0 THEN '[words] Expected n_chars to contain 3 but the property was missing.'
+    ELSE '[words] Expected n_chars to contain ''3''.' END FROM t WHERE NOT contains(CAST(n_chars AS VARCHAR), '3'))
 SELECT *, count(*) AS n FROM r GROUP BY ALL""")
 def expect_contain(spark, folder):
-    rows = table(spark, folder, "documents").select(F.expr(_TEXT).alias("text"), "lang", "n_chars")
+    docs = table(spark, folder, "documents")
+    none = docs.where("doc_id % 9 = 0").select(F.lit("").alias("text"), "lang", F.lit(0).cast("bigint").alias("n_chars"))
+    rows = docs.select("text", "lang", "n_chars").union(none)
     return _reasons(rows, {"__contextName__": "words", "__operators__": {"text": "contain", "lang": "notcontain", "n_chars": "contain"},
                            "text": "the", "lang": "e", "n_chars": 3})
 
@@ -56,25 +56,26 @@ def expect_greater(spark, folder):
 
 
 @query("expect_same_length", """
-WITH c AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'C' || c_custkey END AS c_name, c_mktsegment, c_custkey FROM customer),
+WITH c AS (SELECT c_name, c_mktsegment, c_custkey FROM customer UNION ALL SELECT 'C' || c_custkey, c_mktsegment, c_custkey FROM customer WHERE c_custkey % 3 = 0),
 r AS (SELECT 'c_name' AS path, ' Expected c_name to be have the length 18 but got ' || length(c_name) AS reason FROM c WHERE length(c_name) <> 18
   UNION ALL SELECT 'c_mktsegment', ' Expected c_mktsegment to be have the length 9 but got ' || length(c_mktsegment) FROM c WHERE length(c_mktsegment) <> 9
   UNION ALL SELECT 'c_custkey', ' Expected c_custkey to be string  but got number' FROM c)
 SELECT path, 'same length' AS op, reason, count(*) AS n FROM r GROUP BY ALL""")
 def expect_same_length(spark, folder):
-    name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
-    rows = table(spark, folder, "customer").select(name.alias("c_name"), "c_mktsegment", "c_custkey")
+    rows = table(spark, folder, "customer").select("c_name", "c_mktsegment", "c_custkey")
+    short = rows.where("c_custkey % 3 = 0").withColumn("c_name", F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
+    rows = rows.union(short)
     names = ("c_name", "c_mktsegment", "c_custkey")
     return _reasons(rows, {"__operators__": dict.fromkeys(names, "same length"),
                            "c_name": "Customer#000000000", "c_mktsegment": "123456789", "c_custkey": 17})
 
 
-_OPEN = """CASE event_id % 5 WHEN 0 THEN '{"a": "t", "b": null, "c": [], "d": {}}' WHEN 1 THEN '{"a": 1, "b": "x", "c": [1], "d": {"k": 1}}'
-  WHEN 2 THEN '{"a": true, "b": 2, "c": {}, "d": "s"}' WHEN 3 THEN '{"a": "t", "b": null, "c": [], "d": [], "extra": 1}' ELSE props END"""
+_OPEN = """CASE event_id % 4 WHEN 0 THEN '{"a": "t", "b": null, "c": [], "d": {}}' WHEN 1 THEN '{"a": 1, "b": "x", "c": [1], "d": {"k": 1}}'
+  WHEN 2 THEN '{"a": true, "b": 2, "c": {}, "d": "s"}' ELSE '{"a": "t", "b": null, "c": [], "d": [], "extra": 1}' END"""
 
 
 @query("expect_type_null_empty", """
-WITH s AS (SELECT event_id % 5 AS shape FROM events),
+WITH s AS (SELECT event_id % 4 AS shape FROM events UNION ALL SELECT 4 FROM events),
 v(shape, path, op, reason) AS (VALUES
   (1, 'a', 'equal', ' Expected string but got number at a'), (1, 'b', 'equal', ' Expected object but got string at b'),
   (1, 'c', 'empty', ' Expected an empty array/object for c but it was non-empty.'), (1, 'd', 'empty', ' Expected an empty array/object for d but it was non-empty.'),
@@ -82,11 +83,34 @@ v(shape, path, op, reason) AS (VALUES
   (2, 'd', 'empty', ' Expected object but got string at d'),
   (4, 'a', 'equal', ' Expected string but got undefined at a'), (4, 'b', 'equal', ' Expected object but got undefined at b'),
   (4, 'c', 'empty', ' Expected object but got undefined at c'), (4, 'd', 'empty', ' Expected object but got undefined at d'))
-SELECT path, op, reason, count(*) AS n FROM s JOIN v USING (shape) GROUP BY ALL""")
+SELECT path, op, reason, count(*) AS n FROM s JOIN v USING (shape) GROUP BY ALL
+UNION ALL SELECT 'v.k', 'equal', ' Expected v.k to equal 7 but got ' || json_extract_string(props, '$.k'), count(*) FROM events
+  WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) <> 7 GROUP BY ALL
+UNION ALL SELECT 'list.0', 'equal', ' Expected list.0 to equal 10000000 but got ' || (10000000 + event_id % 3), count(*) FROM events WHERE event_id % 3 > 0 GROUP BY ALL
+UNION ALL SELECT 'list.1', 'equal', ' Expected string but got undefined at list.1', count(*) FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT 'map.a', 'equal', ' Expected map.a to equal x but got ' || event_type, count(*) FROM events WHERE event_id % 2 = 0 AND event_type <> 'x' GROUP BY ALL
+UNION ALL SELECT 'map.a', 'equal', ' Expected string but got undefined at map.a', count(*) FROM events WHERE event_id % 2 = 1
+UNION ALL SELECT 'pair', 'empty', ' Expected an empty array/object for pair but it was non-empty.', count(*) FROM events""")
 def expect_type_null_empty(spark, folder):
-    rows = table(spark, folder, "events").select(F.try_parse_json(F.expr(_OPEN)).alias("v"))
-    rows = rows.select(*[F.try_variant_get("v", f"$.{p}", "variant").alias(p) for p in "abcd"])
-    return _reasons(rows, {"a": "t", "b": None, "c": {}, "d": {}})
+    events = table(spark, folder, "events")
+    shapes = events.select(F.try_parse_json(F.expr(_OPEN)).alias("v")).union(events.select(F.try_parse_json("props")))
+    rows = shapes.select(*[F.try_variant_get("v", f"$.{p}", "variant").alias(p) for p in "abcd"])
+    found = q.violations(rows, {"a": "t", "b": None, "c": {}, "d": {}}, [])
+    # Lists by position, maps and structs by key, open JSON in place, a number above 10^7.
+    eid = F.col("event_id")
+    number = F.concat((eid % 3 + 10_000_000).cast("string"), F.lit(".0"))
+    texts = F.array(number, F.lit("n"))
+    typed = events.select(
+        F.try_parse_json("props").alias("v"),
+        F.when(eid % 5 == 0, F.slice(texts, 1, 1)).otherwise(texts).alias("texts"),
+        F.when(eid % 2 == 0, F.create_map(F.lit("a"), "event_type")).otherwise(F.create_map(F.lit("b"), "event_type")).alias("map"),
+        F.struct("event_id", "event_type").alias("pair"))
+    numbers = typed.select(F.transform("texts", lambda t: t.try_cast("double")).alias("list"), "texts", "v", "map", "pair")
+    more = q.violations(numbers.select("list"), {"list": [10_000_000.0]}, [])
+    words = q.violations(typed.select(F.col("texts").alias("list")), {"list": {"1": "n"}}, [])
+    keyed = q.violations(typed, {"v": {"k": 7}, "map": {"a": "x"}, "pair": {}}, [])
+    every = found.union(more).union(words).union(keyed)
+    return every.groupBy("path", "op", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("expect_suite", """
@@ -143,6 +167,7 @@ WITH {_OTHER}, j AS (SELECT e.event_id AS l, o.event_id AS r, e.event_type AS et
     e.ts_us AS es, o.ts_us AS os, e.props AS ep, o.props AS op FROM e FULL JOIN o ON e.event_id = o.event_id)
 SELECT subject, differing FROM (
   SELECT 'only left' AS subject, count(*) FILTER (r IS NULL) AS differing FROM j UNION ALL SELECT 'only right', count(*) FILTER (l IS NULL) FROM j
+  UNION ALL SELECT 'repeated keys', 0
   UNION ALL SELECT 'ts_us', count(*) FILTER (l = r AND es IS DISTINCT FROM os) FROM j
   UNION ALL SELECT 'event_type', count(*) FILTER (l = r AND et IS DISTINCT FROM ot) FROM j
   UNION ALL SELECT 'value', count(*) FILTER (l = r AND ev IS DISTINCT FROM ov) FROM j
