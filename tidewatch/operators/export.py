@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,23 +52,56 @@ def ssv_lines(rows: DataFrame, key: str) -> DataFrame:
     return header.unionByName(gap).unionByName(body)
 
 
-def _json_value(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType):
-        quoted = F.to_json(F.array(column))
-        value = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
-        value = F.to_json(column)
+def _quoted(value: Column) -> Column:
+    packed = F.to_json(F.array(value))
+    return F.substring(packed, F.lit(2), F.length(packed) - 2)
+
+
+def _pretty(value: Column, kind: T.DataType, margin: str) -> Column:
+    """A value as JSON, two blanks deeper at each level. What JSON has no sign for is null."""
+    inner = margin + "  "
+
+    def block(first: str, last: str, members: Column) -> Column:
+        return F.concat(F.lit(f"{first}\n"), members, F.lit(f"\n{margin}{last}"))
+
+    if isinstance(kind, T.StructType):
+        members = [F.concat(F.lit(f"{inner}{json.dumps(f.name, ensure_ascii=False)}: "),
+                            _pretty(value.getField(f.name), f.dataType, inner)) for f in kind]
+        shown = block("{", "}", F.concat_ws(",\n", *members)) if members else F.lit("{}")
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda v: F.concat(F.lit(inner), _pretty(v, kind.elementType, inner)))
+        shown = F.when(F.size(value) == 0, "[]").otherwise(block("[", "]", F.array_join(items, ",\n")))
+    elif isinstance(kind, T.MapType):
+        items = F.transform(F.map_entries(value), lambda e: F.concat(
+            F.lit(inner), _quoted(text(e["key"])), F.lit(": "), _pretty(e["value"], kind.valueType, inner)))
+        shown = F.when(F.size(value) == 0, "{}").otherwise(block("{", "}", F.array_join(items, ",\n")))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        shown = F.when(F.abs(value) < float("inf"), number_text(value))
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        shown = text(value)
+    elif isinstance(kind, T.VariantType):
+        shown = F.to_json(value)
     else:
-        value = _cell(field)
-    return F.coalesce(value, F.lit("null"))
+        shown = _quoted(text(value))
+    return F.coalesce(F.when(value.isNotNull(), shown), F.lit("null"))
 
 
 def json_lines(rows: DataFrame, key: str) -> DataFrame:
-    """(key, line): each record as pretty JSON, indented as an element of a list."""
-    members = [F.concat(F.lit(f'    "{f.name}": '), _json_value(f)) for f in rows.schema]
-    return rows.select(F.col(key).cast("bigint").alias("key"),
-                       F.concat(F.lit("  {\n"), F.concat_ws(",\n", *members), F.lit("\n  }")).alias("line"))
+    """(section, key, line): one JSON document, a list with a record per line of section 1.
+
+    The key, which orders the records, is unique. No records give an empty list."""
+    members = [F.concat(F.lit(f"    {json.dumps(f.name, ensure_ascii=False)}: "),
+                        _pretty(F.col(f"`{f.name}`"), f.dataType, "    ")) for f in rows.schema]
+    record = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *members), F.lit("\n  }"))
+    at = F.col(key).cast("bigint")
+    last = rows.agg(F.max(at).alias("m")).scalar()
+    body = rows.select(F.lit(1).alias("section"), at.alias("key"), record.alias("line")).withColumn("_last", last)
+    body = body.select("section", "key", F.concat("line", F.when(F.col("key") < F.col("_last"), ",").otherwise("")).alias("line"))
+    one = rows.sparkSession.range(1).withColumn("_last", last)
+    none = F.lit(None).cast("bigint").alias("key")
+    head = one.select(F.lit(0).alias("section"), none, F.when(F.col("_last").isNull(), "[]").otherwise("[").alias("line"))
+    foot = one.where(F.col("_last").isNotNull()).select(F.lit(2).alias("section"), none, F.lit("]").alias("line"))
+    return head.unionByName(body).unionByName(foot)
 
 
 def export_lines(rows: DataFrame, key: str, fmt: str) -> DataFrame:

@@ -85,7 +85,7 @@ class Gateway:
 def gateway_status(config: Gateway) -> Column:
     """Status of a request (columns ``agent``, ``target``, ``method``) in the order of its tests."""
     target = F.col("target")
-    path = F.substring(path_of(target), len(config.base_path) + 1, 1 << 30)
+    path = F.substring(path_of(target), F.lit(len(config.base_path) + 1), F.length(target) + 1)
     # A plus sign is a plain character in a path.
     name = nth_part(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "?", 1)
     method = F.upper("method")
@@ -95,7 +95,7 @@ def gateway_status(config: Gateway) -> Column:
              (method == "OPTIONS", F.lit(OK))]
     if config.invoke_prefix:
         rules.append((~F.startswith(name, F.lit(config.invoke_prefix)), F.lit(NOT_FOUND)))
-        name = F.substring(name, len(config.invoke_prefix) + 1, 1 << 30)
+        name = F.substring(name, F.lit(len(config.invoke_prefix) + 1), F.length(name))
     if not config.cli_open:
         rules.append((name == "cli", F.lit(BAD_REQUEST)))
     rules.append((method != "POST", F.lit(REFUSED)))
@@ -306,7 +306,7 @@ def header_rewrite(headers: Column, rules: list[HeaderRule], front: str, back: s
     kept = F.map_filter(headers, lambda k, _: ~k.isin(*[r.header for r in rules]))
     cut_name = len(f"{prefix}.headers.") + 1
     new = F.map_from_entries(F.transform(F.filter(audit, lambda a: present(a["after"])),
-                                         lambda a: F.struct(F.substring(a["name"], cut_name, 1 << 20), a["after"])))
+                                         lambda a: F.struct(F.substring(a["name"], F.lit(cut_name), F.length(a["name"])), a["after"])))
     return F.map_concat(kept, new), audit
 
 

@@ -14,15 +14,18 @@ _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 
 @query("json_records_scan", f"""
-WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN event_id END AS id,
-  CASE WHEN event_id % 10 = 3 THEN substr(props, 1, length(props) - 1) ELSE props END AS body, {_K} AS k FROM events)
-SELECT event_id, id IS NOT NULL AND event_id % 10 <> 3 AS success, CASE WHEN event_id % 10 <> 3 THEN k END AS k,
+WITH e AS (SELECT event_id, event_id AS id, props AS body, {_K} AS k, false AS bad FROM events
+  UNION ALL SELECT -event_id - 1, event_id, substr(props, 1, length(props) - 1), NULL, true FROM events WHERE event_id % 10 = 3
+  UNION ALL SELECT -event_id - 1, NULL, props, {_K}, false FROM events WHERE event_id % 10 = 7)
+SELECT event_id, id IS NOT NULL AND NOT bad AS success, k,
   CASE WHEN id IS NULL THEN 'please specify either an object or a string to loadById'
-    WHEN event_id % 10 = 3 THEN 'cannot parse ' || body END AS reason FROM e""")
+    WHEN bad THEN 'cannot parse ' || body END AS reason FROM e""")
 def json_records_scan(spark, folder):
-    body = F.when(F.col("event_id") % 10 == 3, F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.col("props"))
-    rows = table(spark, folder, "events").select(
-        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("id"), body.alias("body"))
+    events, other = table(spark, folder, "events"), -F.col("event_id") - 1
+    rows = events.select("event_id", F.col("event_id").alias("id"), F.col("props").alias("body"))
+    rows = rows.union(events.where("event_id % 10 = 3").select(
+        other, "event_id", F.substring("props", F.lit(1), F.length("props") - 1)))
+    rows = rows.union(events.where("event_id % 10 = 7").select(other, F.lit(None).cast("bigint"), "props"))
     return d.json_records(rows, "id", "body").select(
         "event_id", "success", F.try_variant_get("record", "$.k", "int").alias("k"), "reason")
 
@@ -67,12 +70,19 @@ _NESTED = """'{"k": ' || k || ', "user": {"id": ' || user_id || ', "tags": ["t'
   || CASE WHEN k % 2 = 0 THEN ', "rate": 1.5' ELSE ', "rate": "high"' END || '}'"""
 
 
+def _bodies(spark, folder):
+    """Every event's own text, under a negative number, and a nested one beside it."""
+    nested = monitor_events(spark, folder).select("event_id", F.expr(_NESTED).alias("body"))
+    return nested.union(table(spark, folder, "events").select(-F.col("event_id") - 1, "props"))
+
+
 @query("json_to_flat", f"""
 WITH {v.MON}, p(path) AS (VALUES ('k'), ('user.id'), ('user.tags.0'), ('user.tags.1.deep.er'), ('rate'))
 SELECT event_id, path, CASE path WHEN 'k' THEN CAST(k AS VARCHAR) WHEN 'user.id' THEN usr WHEN 'user.tags.0' THEN 't' || k % 3
-  WHEN 'rate' THEN CASE WHEN k % 2 = 0 THEN '1.5' ELSE 'high' END ELSE 'true' END AS value FROM mon, p""")
+  WHEN 'rate' THEN CASE WHEN k % 2 = 0 THEN '1.5' ELSE 'high' END ELSE 'true' END AS value FROM mon, p
+UNION ALL SELECT -event_id - 1, 'k', CAST(k AS VARCHAR) FROM mon""")
 def json_to_flat(spark, folder):
-    rows = monitor_events(spark, folder).select("event_id", F.expr(_NESTED).alias("body"))
+    rows = _bodies(spark, folder)
     return d.json_to_flat(rows, "event_id", "body").select("event_id", "path", "value")
 
 
@@ -80,10 +90,11 @@ def json_to_flat(spark, folder):
 WITH {v.MON}, p(path, type) AS (VALUES ('k', 'number'), ('user', 'object'), ('user.id', 'number'), ('user.tags', 'array'),
   ('user.tags.0', 'string'), ('user.tags.1', 'object'), ('user.tags.1.deep', 'object'), ('user.tags.1.deep.er', 'boolean'),
   ('user.none', 'object'), ('nil', 'null'), ('rate', 'either')),
-n AS (SELECT path, CASE WHEN type <> 'either' THEN type WHEN k % 2 = 0 THEN 'number' ELSE 'string' END AS type FROM mon, p)
+n AS (SELECT path, CASE WHEN type <> 'either' THEN type WHEN k % 2 = 0 THEN 'number' ELSE 'string' END AS type FROM mon, p
+  UNION ALL SELECT 'k', 'number' FROM mon)
 SELECT path, type, count(*) AS n FROM n GROUP BY path, type""")
 def json_type_profile(spark, folder):
-    rows = monitor_events(spark, folder).select("event_id", F.expr(_NESTED).alias("body"))
+    rows = _bodies(spark, folder)
     return d.json_nodes(rows, "event_id", "body").groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -91,7 +102,8 @@ def json_type_profile(spark, folder):
 WITH {v.MON}
 SELECT event_id, '{{"m":' || CASE WHEN k % 2 = 0 THEN '"late \\"' || k || '\\""' ELSE '"early"' END || ',"a":{{"k":' || k || ',"b":{{"deep":' || k
   || '}}}},"z":' || CASE WHEN k % 3 = 0 THEN '"scalar"' ELSE '{{"x":1}}' END || '}}' AS json
-FROM mon""")
+FROM mon
+UNION ALL SELECT -event_id - 1, '{{"k":' || k || '}}' FROM mon""")
 def flat_to_json(spark, folder):
     k = F.col("k")
     rows = monitor_events(spark, folder)
@@ -103,21 +115,28 @@ def flat_to_json(spark, folder):
         entry(4, "m", F.when(k % 2 == 0, late)), entry(5, "z.x", F.lit("1")),
         entry(6, "z", F.when(k % 3 == 0, F.lit('"scalar"')).otherwise(none)))
     flat = rows.select("event_id", F.inline(F.filter(entries, lambda e: e["value"].isNotNull())))
-    return d.flat_to_json(flat, "event_id")
+    # The flat rows of the events' own texts; numbers are JSON text as they are.
+    own = table(spark, folder, "events").select((-F.col("event_id") - 1).alias("event_id"), "props")
+    own = d.json_to_flat(own, "event_id", "props")
+    value = F.when(F.col("type") == "string", d.json_quote(F.col("value"))).otherwise(F.col("value"))
+    return d.flat_to_json(flat.union(own.select("event_id", F.lit(1), "path", value)), "event_id")
 
 
-_TYPED = """CASE event_id % 5 WHEN 0 THEN 'json:' || props WHEN 1 THEN 'json:[1,2' WHEN 2 THEN 'plain ' || event_type
-  WHEN 3 THEN 'json:true' ELSE 'json:[' || event_id || ',null]' END"""
+_TYPED = """CASE event_id % 4 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN 'json:[1,2'
+  WHEN 2 THEN 'json:true' ELSE 'json:[' || event_id || ',null]' END"""
 
 
 @query("typed_value_expand", f"""
-WITH t AS (SELECT event_id, 'p' || event_id % 5 AS path, {_TYPED} AS value, {_K} AS k FROM events)
-SELECT event_id, path, event_id % 5 <> 1 AS success, CASE event_id % 5 WHEN 0 THEN 'object' WHEN 2 THEN 'string' WHEN 3 THEN 'boolean' WHEN 4 THEN 'array' END AS type,
-  CASE event_id % 5 WHEN 0 THEN '{{"k":' || k || '}}' WHEN 2 THEN value WHEN 3 THEN 'true' WHEN 4 THEN '[' || event_id || ',null]' END AS expanded,
-  CASE WHEN event_id % 5 = 1 THEN 'cannot parse ' || value END AS reason FROM t""")
+WITH t AS (SELECT event_id, 'p' || event_id % 4 AS path, event_id % 4 AS shape, {_TYPED} AS value, {_K} AS k FROM events
+  UNION ALL SELECT event_id, 'props', 4, 'json:' || props, {_K} FROM events)
+SELECT event_id, path, shape <> 1 AS success, CASE shape WHEN 0 THEN 'string' WHEN 2 THEN 'boolean' WHEN 3 THEN 'array' WHEN 4 THEN 'object' END AS type,
+  CASE shape WHEN 0 THEN value WHEN 2 THEN 'true' WHEN 3 THEN '[' || event_id || ',null]' WHEN 4 THEN '{{"k":' || k || '}}' END AS expanded,
+  CASE WHEN shape = 1 THEN 'cannot parse ' || value END AS reason FROM t""")
 def typed_value_expand(spark, folder):
-    rows = table(spark, folder, "events").select(
-        "event_id", F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string")).alias("path"), F.expr(_TYPED).alias("value"))
+    events = table(spark, folder, "events")
+    rows = events.select(
+        "event_id", F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")).alias("path"), F.expr(_TYPED).alias("value"))
+    rows = rows.union(events.select("event_id", F.lit("props"), F.concat(F.lit("json:"), "props")))
     return d.expand_typed(rows, "value").drop("value")
 
 
@@ -136,7 +155,9 @@ def augment_merge(spark, folder):
     rows, k = monitor_events(spark, folder), F.col("k")
     entry = lambda path, value, kind: F.struct(F.lit(path).alias("path"), value.alias("value"), kind.alias("type"))
     number, string = F.lit("number"), F.lit("string")
-    base = rows.select("event_id", F.inline(F.array(entry("k", k.cast("string"), number), entry("kind", F.col("key"), string))))
+    # The base are the flat rows of the events' own texts, and one more.
+    own = d.json_to_flat(table(spark, folder, "events"), "event_id", "props").select("event_id", "path", "value", "type")
+    base = own.union(rows.select("event_id", F.inline(F.array(entry("kind", F.col("key"), string)))))
     more_k = F.when(k % 4 == 0, "0").when(k % 4 == 1, (k + 1).cast("string")).when(k % 4 == 3, "7")
     more_kind = F.when(k % 3 == 0, "").when(k % 3 == 1, "true").otherwise("other")
     extra = entry("extra", F.lit("false"), F.when(k % 2 == 0, "string").otherwise("boolean"))

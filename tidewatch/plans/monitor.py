@@ -16,10 +16,10 @@ FILTERED = m.MonitorConfig(force_up_to_level=2,
                            filters={"services": ["svc_0", "svc_2"], "actions": ["tick#"]})
 LINE = m.MonitorConfig(
     force_up_to_level=2, filters={"services": ["svc_0", "svc_2"]},
-    fields={"service": {"len": 20, "prefix": "[", "postfix": "]"},
-            "context": {"len": 3, "prefix": "{", "postfix": "}"},
-            "invokeString": {"len": -12, "prefix": "(", "postfix": ")"},
-            "action": {"len": 20}, "device": {"len": 9}, "outcome": True, "misc": True})
+    fields={"service": {"len": 14, "prefix": "~", "postfix": ":"},
+            "context": {"len": 4, "prefix": "<", "postfix": ">"},
+            "invokeString": {"len": -12, "prefix": "|", "postfix": "|"},
+            "action": {"len": 16}, "device": {"len": 9}, "outcome": True, "misc": True})
 SAMPLE_BITS, DAY_MS = 16, 86_400_000
 
 
@@ -70,9 +70,13 @@ SELECT event_id, CASE WHEN shape = 3 THEN 2 ELSE 4 END AS level,
     WHEN 7 THEN 'x' END AS msg_data,
   CASE WHEN shape IN (2, 4) THEN k END AS msg_k,
   CASE WHEN shape = 7 THEN 0 END AS msg_level
-FROM p""")
+FROM p
+UNION ALL SELECT -event_id - 1, 4, NULL, NULL, k, NULL FROM p""")
 def log_event_normalise(spark, folder):
+    # Every event's own payload, and beside it one of each shape an event can have.
     events = monitor_events(spark, folder).select("event_id", F.expr(_PAYLOAD).alias("payload"))
+    own = table(spark, folder, "events").select(-F.col("event_id") - 1, "props")
+    events = events.union(own)
     return m.normalise_events(events, "payload").select(
         "event_id", "level", "key", F.try_variant_get("msg", "$.data", "string").alias("msg_data"),
         F.try_variant_get("msg", "$.k", "int").alias("msg_k"), F.try_variant_get("msg", "$.level", "int").alias("msg_level"))
@@ -123,8 +127,8 @@ def substring_filter_sets(spark, folder):
     return m.gate(derived(spark, folder), config).select("event_id", "service", "call", "device", "action_text")
 
 
-_LINE_SQL = f"""'[' || {v.fixed_length('service', 20)} || '] ' || '{{' || {v.fixed_length('context', 3)} || '}} '
-  || '(' || {v.fixed_length('call', -12)} || ') ' || {v.fixed_length('action_text', 20)} || ' '
+_LINE_SQL = f"""'~' || {v.fixed_length('service', 14)} || ': ' || '<' || {v.fixed_length('context', 4)} || '> '
+  || '|' || {v.fixed_length('call', -12)} || '| ' || {v.fixed_length('action_text', 16)} || ' '
   || {v.fixed_length('device', 9)} || ' ' || outcome_text || ' ' || misc"""
 LINES = f"""{DERIVED}, lines AS (
   SELECT event_id, ts_us, {_LINE_SQL} AS line, success, reason FROM derived

@@ -118,6 +118,7 @@ def domain_route(spark, folder):
 
 # Routes are loaded anew every minute of a request log with one request in seven seconds.
 RELOAD_SECONDS = 60
+LOCAL_ROUTES = [(1, "*.ththth.example.net", "h1"), (2, "therin.example.net", "h2")]
 
 
 @query("refreshing_dimension", f"""
@@ -141,7 +142,7 @@ def refreshing_dimension(spark, folder):
     remote = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(route).alias("route"), named(h).alias("handler"))
                        for i, route, h in [(1, "*.example.com", "h3"), (2, "*.example.net", "h4")]])
     loaded = loads.select("load", F.inline(F.when(F.col("load") % 3 != 1, remote)))
-    rows = r.routes_by_load(log, rule_table(spark, ROUTES[:2], shape), loaded, "load")
+    rows = r.routes_by_load(log, rule_table(spark, LOCAL_ROUTES, shape), loaded, "load")
     return rows.select("req_id", "load", "domain", "source_rank", "ord", "handler")
 
 
@@ -194,12 +195,12 @@ def handler_first_match(spark, folder):
 
 @query("token_owner_join", f"""
 WITH {v.REQ}, t AS (SELECT req_id, CASE WHEN req_id % 5 = 0 THEN 'undefined' WHEN req_id % 5 = 1 THEN 'unknown'
-    ELSE 'tok' || (req_id * 7 % 1000) END AS token FROM req)
+    ELSE 'tok' || (req_id * 7) END AS token FROM req)
 SELECT req_id, token, c_custkey AS owner_id, 1 AS owner_type FROM t LEFT JOIN customer ON token = 'tok' || c_custkey""")
 def token_owner_join(spark, folder):
     rid = F.col("req_id")
     bearer = (F.when(rid % 10 == 0, F.lit(None)).when(rid % 5 == 0, "Bearer").when(rid % 5 == 1, "Bearer unknown")
-              .otherwise(F.concat(F.lit("Bearer tok"), (rid * 7 % 1000).cast("string"))))
+              .otherwise(F.concat(F.lit("Bearer tok"), (rid * 7).cast("string"))))
     tokens = table(spark, folder, "customer").select(
         F.concat(F.lit("tok"), F.col("c_custkey").cast("string")).alias("token"), F.col("c_custkey").alias("owner_id"))
     calls = requests(spark, folder).select("req_id", bearer.alias("authorization"))
@@ -257,13 +258,15 @@ def header_rewrite(spark, folder):
 
 
 @query("charset_detect", """
-WITH p AS (SELECT CASE WHEN page_id % 5 <> 0 THEN regexp_extract(html, '<meta charset="([^"]*)"', 1) END AS charset FROM pages)
+WITH p AS (SELECT regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset FROM pages
+  UNION ALL SELECT NULL FROM pages WHERE page_id % 5 = 0)
 SELECT charset, count(*) AS n FROM p GROUP BY charset""")
 def charset_detect(spark, folder):
     declared = F.regexp_extract("html", '<meta charset="([^"]*)"', 1)
-    content_type = F.when(F.col("page_id") % 5 == 0, "text/html").otherwise(F.concat(F.lit("text/html; charset="), declared))
-    pages = table(spark, folder, "pages").select(r.charset(content_type).alias("charset"))
-    return r.count_by(pages, "charset")
+    pages = table(spark, folder, "pages")
+    types = pages.select(F.concat(F.lit("text/html; charset="), declared).alias("type")).union(
+        pages.where("page_id % 5 = 0").select(F.lit("text/html")))
+    return r.count_by(types.select(r.charset(F.col("type")).alias("charset")), "charset")
 
 
 _RESPONSE = """CASE req_id % 7 WHEN 0 THEN '{"success": true}' WHEN 1 THEN '{"success": false, "reason": "no"}'

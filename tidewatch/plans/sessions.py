@@ -76,7 +76,7 @@ def stream_until(spark, folder):
 
 
 @query("content_length_frames", f"""
-WITH {v.CHUNK}, l AS (SELECT conn, CAST(sum(length(payload)) FILTER (seq < 3) AS BIGINT) + CASE WHEN conn % 4 = 0 THEN 100000 WHEN conn % 4 = 1 THEN -5 ELSE 0 END AS n
+WITH {v.CHUNK}, l AS (SELECT conn, CAST(sum(length(payload)) AS BIGINT) + CASE WHEN conn % 4 = 0 THEN 100000 WHEN conn % 4 = 1 THEN -5 ELSE 0 END AS n
     FROM chunk GROUP BY conn),
 r AS (SELECT conn, seq, payload, n, sum(length(payload)) OVER (PARTITION BY conn ORDER BY seq) AS got FROM chunk JOIN l USING (conn)),
 d AS (SELECT conn, n, min(seq) FILTER (got >= n) AS done_seq FROM r GROUP BY conn, n),
@@ -90,7 +90,7 @@ def content_length_frames(spark, folder):
     log = chunks(spark, folder)
     conn = F.col("conn")
     extra = F.when(conn % 4 == 0, 100_000).when(conn % 4 == 1, -5).otherwise(0)
-    sizes = log.groupBy("conn").agg(F.sum(F.when(F.col("seq") < 3, F.length("payload"))).alias("n")).select(
+    sizes = log.groupBy("conn").agg(F.sum(F.length("payload")).alias("n")).select(
         "conn", (F.col("n") + extra).alias("n"))
     # The header arrives in two chunks before the first one, its last byte with the body.
     name = F.when(conn % 14 == 0, "X-").otherwise("Content-")

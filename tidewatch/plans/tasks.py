@@ -13,18 +13,20 @@ from tidewatch.sources.views import TRACE_ORDER, chunks, tasks, trace_steps
 
 
 @query("next_task", f"""
-WITH {v.TASK}, runners AS (SELECT DISTINCT runtime, CASE WHEN runtime <> 'rt3' THEN 'pkg' || substr(runtime, 3) END AS package FROM task),
+WITH {v.TASK}, runners AS (SELECT DISTINCT runtime, CASE WHEN runtime <> 'rt3' THEN 'pkg' || substr(runtime, 3) END AS package FROM task
+  UNION ALL SELECT 'rt without a queue', 'pkg'),
 n AS (SELECT runtime, id, task_id, queued_us, row_number() OVER (PARTITION BY runtime ORDER BY queued_us, id) AS nth FROM task
-  WHERE outstanding AND runtime <> 'rt5')
+  WHERE outstanding)
 SELECT r.runtime, CASE WHEN package IS NULL THEN 'refused' WHEN n.id IS NULL THEN 'no outstanding tasks' ELSE 'task' END AS state,
   CASE WHEN package IS NULL THEN 2000001 END AS status, CASE WHEN package IS NOT NULL THEN id END AS id,
   CASE WHEN package IS NOT NULL THEN task_id END AS task_id, CASE WHEN package IS NOT NULL THEN queued_us END AS queued_us
 FROM runners r LEFT JOIN n ON n.runtime = r.runtime AND nth = 1""")
 def next_task(spark, folder):
     queue = tasks(spark, folder)
-    name = F.concat(F.lit("pkg"), F.substring("runtime", 3, 9))
+    name = F.concat(F.lit("pkg"), F.substring("runtime", F.lit(3), F.length("runtime")))
     runners = queue.select("runtime").distinct().withColumn("package", F.when(F.col("runtime") != "rt3", name))
-    return t.next_tasks(queue.withColumn("outstanding", F.col("outstanding") & (F.col("runtime") != "rt5")), runners)
+    idle = spark.createDataFrame([("rt without a queue", "pkg")], "runtime string, package string")
+    return t.next_tasks(queue, runners.union(idle))
 
 
 @query("task_outcome_record", f"""
