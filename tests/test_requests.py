@@ -1,5 +1,8 @@
 """Quirks of request operators."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,25 @@ def test_round_robin_over_slices(spark):
     rows = spark.range(100).select(F.col("id"))
     got = {x.id: x.target_box for x in r.round_robin(rows, ["id"], ["a", "b", "c"], 7).collect()}
     assert got == {i: "abc"[i % 3] for i in range(100)}
+
+
+def test_long_rule_lists_agree_with_short_ones(spark):
+    """2,000 rules make a plan that compiles, and the answers of the short form."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcd") for _ in range(4)) for _ in range(2_000)]
+    calls = spark.createDataFrame([(f"//x/{rng.choice('abcd')}{rng.choice(words)}{i}",) for i in range(60)] + [("plain",), (None,)], "call string")
+    rules = [r.Intercept(f"r{i}", w + ("$" if i % 2 else "[0-9]"), i % 3 == 0, f"why {i}") for i, w in enumerate(words)]
+    got = [(x.call, x.rule, x.forced_success, x.forced_reason) for x in r.intercept(calls, "call", rules).collect()]
+    for call, rule, ok, why in got:
+        first = next((q for q in rules if call and call.startswith("//") and re.search(q.pattern, call)), None)
+        assert (rule, ok, why) == ((first.id, first.success, None if first.success else first.reason) if first else (None, None, None))
+    short = words[:30]
+    both = []
+    for limit in (50, 10):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(r, "SPELLED_OUT", limit)
+            patch.setattr("tidewatch.functions.text.SPELLED_OUT", limit)
+            both.append(calls.select(
+                r.contains_any(F.col("call"), short), r.first_pattern(F.col("call"), ["", *short]), r.first_equal(F.col("call"), [*short, "plain"]),
+                r.starts_with_any(F.col("call"), ["//x/a", *short]), r.alias_rewrite(F.lit("h"), F.col("call"), short, "~")).collect())
+    assert [tuple(x) for x in both[0]] == [tuple(x) for x in both[1]]

@@ -33,12 +33,14 @@ def present(value: Column) -> Column:
     return value.isNotNull() & (value != "")
 
 
-def replace_first(value: Column, needle: str, replacement: Column | str) -> Column:
+def replace_first(value: Column, needle: Column | str, replacement: Column | str) -> Column:
     """Replace the first occurrence of a plain text."""
     if isinstance(replacement, str):
         replacement = F.lit(replacement)
-    at = F.instr(value, F.lit(needle))
-    rest = F.substring(value, at + F.lit(len(needle)), F.length(value))
+    length = F.lit(len(needle)) if isinstance(needle, str) else F.length(needle)
+    needle = F.lit(needle) if isinstance(needle, str) else needle
+    at = F.instr(value, needle)
+    rest = F.substring(value, at + length, F.length(value))
     return (F.when(at > 0, F.concat(F.substring(value, F.lit(1), at - 1), replacement, rest))
             .otherwise(value))
 
@@ -116,8 +118,14 @@ def script_number(value: float) -> str:
     return f"{sign}{digits[0]}{tail}e{'+' if exponent > 0 else '-'}{abs(exponent)}"
 
 
+# Lists longer than this are tested as an array, whose plan does not grow with the list.
+SPELLED_OUT = 50
+
+
 def contains_any(value: Column, needles: list[str]) -> Column:
     """True where the text contains one of the needles."""
+    if len(needles) > SPELLED_OUT:
+        return F.exists(F.lit(list(needles)), lambda n: F.contains(value, n))
     hit = F.lit(False)
     for needle in needles:
         hit = hit | F.contains(value, F.lit(needle))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import nth_part, present
-from tidewatch.operators.requests import first_match
+from tidewatch.operators.requests import first_equal, first_match, first_pattern, starts_with_any  # noqa: F401
 from tidewatch.sources.tables import rule_table
 
 DEFAULT_METHOD = "processQueries"
@@ -90,11 +90,13 @@ def package_parts(target: Column) -> dict[str, Column]:
 def qualify_modules(paths: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """``pkg:rest`` for the column ``path``, by exact key in one map, then in another.
 
-    The maps have the columns ``path`` and ``pkg`` with one row per path.
+    The maps have the columns ``path`` and ``pkg`` with one row per path. They become one
+    map first, so the paths are joined once, and a path most rows share can be split.
     """
-    joined = (paths.join(first.withColumnRenamed("pkg", "_first"), "path", "left")
-              .join(second.withColumnRenamed("pkg", "_second"), "path", "left"))
-    pkg = F.coalesce("_first", "_second")
+    ranked = first.select("path", F.lit(0).alias("_o"), "pkg").union(second.select("path", F.lit(1), "pkg"))
+    known = ranked.where("pkg IS NOT NULL").groupBy("path").agg(F.min_by("pkg", "_o").alias("_pkg"))
+    joined = paths.join(known, "path", "left")
+    pkg = F.col("_pkg")
     path = F.col("path")
     qualified = F.instr(path, F.lit(":")) > 1
     data = F.when(qualified, path).otherwise(
@@ -102,7 +104,7 @@ def qualify_modules(paths: DataFrame, first: DataFrame, second: DataFrame) -> Da
     return joined.withColumns({
         "data": data, "success": data.isNotNull(),
         "reason": F.when(data.isNull(), F.concat(F.lit('[toInvokeString] Cannot determine package name for "'), path,
-                                                 F.lit('" automatically.')))}).drop("_first", "_second")
+                                                 F.lit('" automatically.')))}).drop("_pkg")
 
 
 # ----------------------------------------------------------------------- paths
@@ -172,25 +174,7 @@ def with_relative_path(paths: DataFrame, full: str, root: str, name: str = "rela
             .drop("_f", "_r", "_in", "_s", "_steps", "_at"))
 
 
-# ------------------------------------------------------------------------ rules
-
-def first_pattern(value: Column, patterns: list[str]) -> Column:
-    """Index of the first pattern found in the text, -1 if none. Empty patterns are
-    skipped unless the text is empty."""
-    rules = [(F.rlike(value, F.lit(p)) if p else value == "", F.lit(i)) for i, p in enumerate(patterns)]
-    return first_match(rules, F.lit(-1))
-
-
-def first_equal(value: Column, texts: list[str]) -> Column:
-    return first_match([(value == t, F.lit(i)) for i, t in enumerate(texts)], F.lit(-1))
-
-
-def starts_with_any(value: Column, texts: list[str]) -> Column:
-    hit = F.lit(False)
-    for t in texts:
-        hit = hit | F.startswith(value, F.lit(t))
-    return hit
-
+# --------------------------------------------------------------------- dispatch
 
 def dispatch(spark: SparkSession, calls: DataFrame, catalog: list[tuple[str, str, str]]) -> DataFrame:
     """How each call's method resolves: method, action, default, status or missing.

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.ordered import chain, cut, running
 from tidewatch.functions.text import blank, contains_any, fixed_length, friendly, text
@@ -106,7 +107,7 @@ def derive_fields(events: DataFrame, misc: list[tuple[str, str]] = ()) -> DataFr
     """Display fields of monitoring events.
 
     ``misc`` lists (label, column) pairs of the remaining message entries in
-    order; label ``data`` is shown bare. Missing entries are left out. Two optional
+    order; label ``data`` is shown bare, objects as JSON. Missing entries are left out. Two optional
     columns are understood: ``error_object`` (text of an error, which is shown and
     fails the outcome) and ``has_context`` (adds a warning to the line).
     """
@@ -125,8 +126,9 @@ def derive_fields(events: DataFrame, misc: list[tuple[str, str]] = ()) -> DataFr
         outcome = F.when(failed, ERROR_OUTCOME).otherwise(outcome)
         success = F.when(failed, False).otherwise(success)
         misc.append(("errorObject", "error_object"))
-    entries = [F.when(F.col(c).isNotNull(),
-                      F.concat(F.lit("" if label == "data" else f"{label}: "), text(F.col(c))))
+    nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
+    shown = lambda c: F.to_json(c) if isinstance(events.schema[c].dataType, nested) else text(F.col(c))
+    entries = [F.when(F.col(c).isNotNull(), F.concat(F.lit("" if label == "data" else f"{label}: "), shown(c)))
                for label, c in misc]
     rest = F.concat_ws(",", *entries) if entries else F.lit("")
     if "has_context" in events.columns:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import cut, running
-from tidewatch.functions.text import blank, contains_any, nth_part, present, replace_first
+from tidewatch.functions.text import SPELLED_OUT, blank, contains_any, nth_part, present, replace_first
 
 # Answers every gateway gives by itself.
 ROBOTS_PATH = "/robots.txt"
@@ -33,6 +33,33 @@ def first_match(rules: list[tuple[Column, Column]], default: Column | None = Non
     return default if chosen is F else (chosen.otherwise(default) if default is not None else chosen)
 
 
+# ----------------------------------------------------------------------- rules
+
+def first_pattern(value: Column, patterns: list[str]) -> Column:
+    """Index of the first pattern found in the text, -1 if none. Empty patterns are
+    skipped unless the text is empty."""
+    if len(patterns) > SPELLED_OUT:
+        found = F.transform(F.lit(list(patterns)), lambda p: F.when(p == "", value == "").otherwise(F.rlike(value, p)))
+        return (F.array_position(found, True) - 1).cast("int")
+    rules = [(F.rlike(value, F.lit(p)) if p else value == "", F.lit(i)) for i, p in enumerate(patterns)]
+    return first_match(rules, F.lit(-1))
+
+
+def first_equal(value: Column, texts: list[str]) -> Column:
+    if len(texts) > SPELLED_OUT:
+        return F.coalesce(F.array_position(F.lit(list(texts)), value) - 1, F.lit(-1)).cast("int")
+    return first_match([(value == t, F.lit(i)) for i, t in enumerate(texts)], F.lit(-1))
+
+
+def starts_with_any(value: Column, texts: list[str]) -> Column:
+    if len(texts) > SPELLED_OUT:
+        return F.exists(F.lit(list(texts)), lambda t: F.startswith(value, t))
+    hit = F.lit(False)
+    for t in texts:
+        hit = hit | F.startswith(value, F.lit(t))
+    return hit
+
+
 # ----------------------------------------------------------------- access log
 
 def ipv4_number(address: Column) -> Column:
@@ -180,6 +207,9 @@ def routes_by_load(requests: DataFrame, local: DataFrame, loaded: DataFrame, loa
 def alias_rewrite(host: Column, url: Column, aliases: list[str], canonical: str) -> Column:
     """Normal form of a request URL with domain aliases replaced once each, in order."""
     result = F.concat(F.lit("http://"), domain_of(host), path_of(url))
+    # Each replacement names the text before it several times, so few are nested.
+    if len(aliases) > 2:
+        return F.aggregate(F.lit(list(aliases)), result, lambda r, a: replace_first(r, a, canonical))
     for alias in aliases:
         result = replace_first(result, alias, canonical)
     return result
@@ -193,8 +223,8 @@ class Intercept:
     reason: str = "intercepted"
 
 
-def intercept_outcome(call: Column, rules: list[Intercept]) -> dict[str, Column]:
-    """Rule, success and reason the first matching rule forces on a call.
+def _intercepts(call: Column, rules: list[Intercept]) -> tuple[Column, list[Intercept]]:
+    """Which calls are tested, and the rules in force.
 
     A rule with the id of an earlier one takes its place. Rules apply to call
     strings that name a module, service rules excepted.
@@ -202,14 +232,23 @@ def intercept_outcome(call: Column, rules: list[Intercept]) -> dict[str, Column]
     latest: dict[str, Intercept] = {}
     for rule in rules:
         latest[rule.id] = rule
+    rules = list(latest.values())
     tested = (F.startswith(call, F.lit("//")) | F.startswith(call, F.lit("http://"))
               | F.startswith(call, F.lit("https://"))) & ~F.startswith(call, F.lit("//service/"))
-    name = first_match([(tested & F.rlike(call, F.lit(r.pattern)), F.lit(r.id)) for r in latest.values()],
-                       F.lit(None).cast("string"))
-    ok = first_match([(name == r.id, F.lit(r.success)) for r in latest.values()], F.lit(None).cast("boolean"))
-    why = first_match([(name == r.id, F.lit(None if r.success else r.reason)) for r in latest.values()],
-                      F.lit(None).cast("string"))
-    return {"rule": name, "forced_success": ok, "forced_reason": why}
+    return tested, rules
+
+
+def intercept(calls: DataFrame, call: str, rules: list[Intercept]) -> DataFrame:
+    """Add ``rule``, ``forced_success`` and ``forced_reason``: what the first matching rule
+    forces on a call. Each pattern is tried once per row; the number of the rule is a
+    column of its own, from which the others are looked up."""
+    tested, rules = _intercepts(F.col(call), rules)
+    number = F.when(tested, first_pattern(F.col(call), [r.pattern for r in rules]) + 1)
+    rows = calls.withColumn("_rule", F.when(number > 0, number))
+    table = F.lit([r.id for r in rules]), F.lit([r.success for r in rules]), F.array(
+        *[F.lit(None if r.success else r.reason).cast("string") for r in rules])
+    looked = [F.get(t, F.col("_rule") - 1) if rules else F.lit(None) for t in table]
+    return rows.withColumns(dict(zip(("rule", "forced_success", "forced_reason"), looked))).drop("_rule")
 
 
 @dataclass

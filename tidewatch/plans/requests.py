@@ -174,7 +174,7 @@ def intercept_override(spark, folder):
     call = (F.when(rid % 9 == 0, F.concat(F.lit("//service/"), "host", F.lit("?x/es/")))
             .when(rid % 7 == 0, "plain/es/").otherwise(F.col("url")))
     calls = requests(spark, folder).select("req_id", call.alias("call"), (rid % 3 != 0).alias("own"))
-    calls = calls.withColumns(r.intercept_outcome(F.col("call"), rules))
+    calls = r.intercept(calls, "call", rules)
     return calls.select("req_id", "rule", F.coalesce("forced_success", "own").alias("success"),
                         F.col("forced_reason").alias("reason"))
 
