@@ -65,6 +65,28 @@ def test_chain(table, width, mode):
     assert {r["id"]: (r["is_anchor"], r["anchor_before"], r["anchor"], r["anchor_id"]) for r in got} == expect
 
 
+def test_many_slices_inside_one_window(spark):
+    """A window over many slices of one key: right rows, and one carried row per slice and key."""
+    from tidewatch.functions import ordered
+    rng, rows, at = random.Random(8), [], 0
+    for i in range(1_500):
+        at += rng.choice([1, 1, 2, 5])
+        rows.append(("hot", at, i, rng.random() < 0.002))
+    df = cut(spark.createDataFrame(rows, "key string, ts bigint, id bigint, bad boolean"), ["key"], ["ts", "id"], 40)
+    carried, entries = [], ordered._entries
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ordered, "_entries", lambda *a: carried.append(entries(*a)) or carried[-1])
+        for force in (None, "bad"):
+            got = {r["id"]: (r["is_anchor"], r["anchor"]) for r in chain(df, ["key"], ["ts", "id"], "ts", 900, force=force).collect()}
+            anchor = None
+            for _, ts, i, bad in rows:
+                new = anchor is None or ts - anchor > 900 or (force and bad)
+                anchor = ts if new else anchor
+                assert got[i] == (bool(new), anchor)
+    for table in carried:
+        assert table.count() <= 40 and not any("array" in kind for _, kind in table.dtypes)
+
+
 @pytest.mark.parametrize("hot_rows", [5, 10_000])
 def test_attach(spark, hot_rows):
     from tidewatch.functions.skew import attach

@@ -150,4 +150,35 @@ def test_task_polling(spark, folder, tmp_path, as_stream):
     sinks.poll_tasks(as_stream(ticks, "t", ["tick"], 2), lambda sp: tasks(sp, folder), results, runners, path,
                      str(tmp_path / "ck"), loop=False).awaitTermination(200)
     rows = spark.read.parquet(path)
-    assert rows.where("action = 'outcome'").groupBy("batch_id").count().select("count").distinct().collect()[0][0] == 2
+    taken = rows.where("action = 'outcome'").select("batch_id", "id").collect()
+    first, second = ({r.id for r in taken if r.batch_id == b} for b in (0, 1))
+    assert len(first) == len(second) == 2 and not first & second
+
+
+def test_requeued_tasks_wait_behind_the_others(spark):
+    from tidewatch.operators.tasks import next_tasks, record_outcomes, requeued
+    queue = spark.createDataFrame([(1, 1, "rt", True, 5, True), (2, 2, "rt", True, 6, False)],
+                                  "id int, task_id int, runtime string, outstanding boolean, queued_us int, rerun boolean")
+    runners, taken, recorded = spark.createDataFrame([("rt", "p")], "runtime string, package string"), [], None
+    for _ in range(4):
+        now = queue if recorded is None else requeued(queue, recorded)
+        task = next_tasks(now, runners).first()
+        taken.append(task.id)
+        run = queue.where(F.col("id") == task.id).select("id", "task_id", F.lit(True).alias("success"), F.lit(None).cast("string").alias("reason"), "rerun")
+        rows = record_outcomes(run)
+        recorded = rows if recorded is None else recorded.union(rows)
+    assert taken == [1, 2, 1, 1]
+
+
+def test_ended_connections_are_forgotten(spark, tmp_path, as_stream):
+    rows = [(c, s, 50_000 + c * 100_000 + s * 1_000, 10) for c in range(4) for s in range(3)]
+    chunks = spark.createDataFrame(rows, "conn bigint, seq bigint, at bigint, size bigint").withColumn("at", F.timestamp_millis("at"))
+    log = connections.accumulate_until(as_stream(chunks, "c", ["at", "conn"], 4), "conn", "seq", "at", {"size": 25}, 5_000, forget_ms=20_000)
+    query = (log.writeStream.format("memory").queryName("forgotten").option("checkpointLocation", str(tmp_path / "ck"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination(200)
+    assert spark.table("forgotten").where("success").count() == 4
+    # Four connections came; never more than two are held, and all but the last are gone.
+    held = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    removed = sum(o["numRowsRemoved"] for p in query.recentProgress for o in p["stateOperators"])
+    assert removed == 3 and max(held) == 2 and held[-1] == 1

@@ -17,7 +17,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ SLICE = "_slice"
 
 # A slice holds this many rows at most, give or take the error of the range
 # sampling, and small tables are not cut finer than the lower number.
-SLICE_ROWS, SMALL_SLICE_ROWS = 2_000_000, 50_000
+SLICE_ROWS, SMALL_SLICE_ROWS = 2_000_000, 500_000
 
 
 def slice_count(df: DataFrame) -> int:
@@ -148,20 +147,21 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
     the anchor the row found), ``anchor`` (coord of the one it left) and
     ``anchor_<p>`` for each whole-number payload column.
 
-    Where a chain stands after a slice depends on where it stood before it. Each
-    slice therefore reports its exit as a step function of the entry - the anchors
-    it can be entered with lie within one width of its first row - and the step
-    functions of one key are composed in order. This is exact at any key size.
+    Where a chain stands after a slice depends on where it stood before it. For a key that
+    goes on over several slices, each slice reports *steps*: rows that say which anchor it
+    is left with, if the one it is entered with lies below a bound. A step's exit leads to
+    the first later step whose bound is more than ``width`` above it; these links are found
+    in one ordered pass and followed by doubling. What reaches a slice is one row per key.
+    This is exact at any key size, and no group of rows is collected for a key.
     """
     payload = list(payload)
     flags = [c for c in (force, opens) if c]
     narrow = cut_df.select(SLICE, *dict.fromkeys([*keys, *order, coord, *payload, *flags]))
     key_schema = [f for f in cut_df.schema if f.name in keys]
-    longs = T.ArrayType(T.LongType())
-    summary_schema = T.StructType([T.StructField(SLICE, T.IntegerType()), *key_schema,
-                                   T.StructField("hi", longs), T.StructField("exits", T.ArrayType(longs))])
-    entry_schema = T.StructType([T.StructField(SLICE, T.IntegerType()), *key_schema,
-                                 T.StructField("entry", longs)])
+    state = [f"_x{i}" for i in range(1 + len(payload))]
+    step_schema = T.StructType([
+        T.StructField(SLICE, T.IntegerType()), *key_schema, T.StructField("_node", T.LongType()),
+        T.StructField("_hi", T.LongType()), *[T.StructField(x, T.LongType()) for x in state]])
     sort_by = [(c, "ascending") for c in dict.fromkeys([*keys, *order])]
 
     def arrays(segment: pa.Table):
@@ -172,28 +172,26 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
 
     def summarise(key: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by(sort_by)
-        rows, segments = [], list(_segments(part, keys))
+        number, found, node = key[0].as_py(), [], 0
         # Only the first and the last key of a slice can go on in another one.
-        for segment in [segments[0], *segments[-1:]] if len(segments) > 1 else segments:
+        for segment in _edges(part, keys):
             c, (start, following, first_forced), values = arrays(segment)
-            hi, exits = _exit_steps(c, width, start, following, first_forced)
-            states = [[int(v[i]) for v in values] if i < len(c) else [] for i in exits]
-            rows.append([key[0].as_py(), *[segment[k][0].as_py() for k in keys], hi, states])
-        return pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=summary_arrow)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE)
-        state, entries = None, []
-        for hi, exits in zip(pdf["hi"], pdf["exits"]):
-            entries.append(state)
-            at = 0 if state is None else int(np.searchsorted(np.asarray(hi), state[0] + width, "right"))
-            if at < len(exits) and len(exits[at]):
-                state = [int(v) for v in exits[at]]
-        return pdf[[SLICE, *keys]].assign(entry=entries)
+            hi, exits, first = _exit_steps(c, width, start, following, first_forced)
+            rows = len(hi) + 1
+            # The row without a bound tells where a chain stands that begins in this slice.
+            exits = np.append(exits, first)
+            left = [pa.array(np.append(v, 0)[exits], mask=exits == len(c)) for v in values]
+            nodes = number * (1 << 32) + node + np.arange(rows)
+            node += rows
+            found.append(pa.Table.from_arrays(
+                [pa.array(np.full(rows, number), pa.int32()),
+                 *[pa.repeat(segment[k][0], rows).cast(step_arrow.field(k).type) for k in keys], pa.array(nodes),
+                 pa.array(np.append(hi, 0), mask=np.arange(rows) == rows - 1), *left], schema=step_arrow))
+        return pa.concat_tables(found)
 
     def finish(key: tuple, part: pa.Table, carried: pa.Table) -> pa.Table:
         part = part.sort_by(sort_by)
-        entries = {tuple(r[k] for k in keys): r["entry"] for r in carried.to_pylist()}
+        entries = {tuple(r[k] for k in keys): [r[x] for x in state] for r in carried.to_pylist()}
         done = []
         for segment in _segments(part, keys):
             c, (start, following, first_forced), values = arrays(segment)
@@ -215,13 +213,8 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
             done.append(segment)
         return pa.concat_tables(done).select(out_names)
 
-    summary_arrow = to_arrow_schema(summary_schema)
-    names = summary_schema.names
-    summary = narrow.groupBy(SLICE).applyInArrow(summarise, summary_schema)
-    several = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    crossing = summary.withColumn("_n", several).where("_n > 1").drop("_n")
-    entries = crossing.groupBy(*(keys or [F.lit(0)])).applyInPandas(compose, entry_schema)
-    entries = entries.where(F.col("entry").isNotNull())
+    step_arrow = to_arrow_schema(step_schema)
+    entries = _entries(narrow.groupBy(SLICE).applyInArrow(summarise, step_schema), keys, state, width)
     added_names = ["is_anchor", "anchor_before", "anchor", *[f"anchor_{p}" for p in payload]]
     added = [T.StructField(n, T.LongType() if i else T.BooleanType()) for i, n in enumerate(added_names)]
     out_schema = T.StructType([*cut_df.schema, *added])
@@ -229,26 +222,89 @@ def chain(cut_df: DataFrame, keys: list[str], order: list[str], coord: str, widt
     return (cut_df.groupBy(SLICE).cogroup(entries.groupBy(SLICE)).applyInArrow(finish, out_schema))
 
 
+def _entries(steps: DataFrame, keys: list[str], state: list[str], width: int) -> DataFrame:
+    """State with which each (slice, key) is entered; slices that begin a chain have none."""
+    here = keys or [F.lit(0).alias("_all")]
+    spread = steps.groupBy(*keys).agg(F.countDistinct(SLICE).alias("_n")).where("_n > 1").drop("_n")
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys], F.lit(True))
+    crossing = steps.alias("s").join(spread.alias("k"), same, "left_semi") if keys else steps
+    crossing = checkpointed(crossing)
+    if crossing.select(SLICE).distinct().count() < 2:
+        return crossing.where(F.lit(False)).select(SLICE, *keys, *state)
+    slices = crossing.select(*keys, SLICE).distinct()
+
+    # A forced row reacts to every entry, so bounds rise up to it and begin anew behind it.
+    far = crossing.groupBy(*keys, SLICE).agg(F.count(F.when(F.col("_hi") == _FAR, 1)).alias("_f"))
+    upto = Window.partitionBy(*here).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    far = far.withColumn("_after", F.sum("_f").over(upto)).withColumn("_within", F.col("_after") - F.col("_f"))
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys],
+                  F.col(f"s.{SLICE}") == F.col(f"f.{SLICE}"))
+    placed = crossing.alias("s").join(far.alias("f"), same).select("s.*", "_after", "_within")
+    first = Window.partitionBy(*here).orderBy(SLICE)
+    begins = placed.where(F.col("_hi").isNull() & F.col(state[0]).isNotNull()).withColumn(
+        "_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    known = placed.where(F.col("_hi").isNotNull())
+
+    # From the highest value down, a row is led to the last step it has passed.
+    bounds = known.select(*keys, F.col("_within").alias("_part"), (-F.col("_hi")).alias("_v"), F.lit(1).alias("_kind"), "_node")
+    exits = known.unionByName(begins).select(
+        *keys, F.col("_after").alias("_part"), (-(F.col(state[0]) + width)).alias("_v"), F.lit(0).alias("_kind"), "_node")
+    # Of equal bounds the earliest counts, which is passed last.
+    order = ["_v", "_kind", "_turn"]
+    both = bounds.union(exits).withColumn("_turn", -F.col("_node"))
+    led = running(cut(both, [*keys, "_part"], order), [*keys, "_part"], order,
+                  lasts={"_to": F.when(F.col("_kind") == 1, F.col("_node"))})
+    links = checkpointed(led.where((F.col("_kind") == 0) & F.col("_to").isNotNull()).select("_node", "_to"))
+
+    visited = checkpointed(begins.select("_node"))
+    count = visited.count()
+    while True:
+        ahead = visited.join(links, "_node").select(F.col("_to").alias("_node"))
+        visited = checkpointed(visited.union(ahead).distinct())
+        more = visited.count()
+        if more == count:
+            break
+        count = more
+        links = checkpointed(links.alias("a").join(links.alias("b"), F.col("a._to") == F.col("b._node"))
+                             .select("a._node", "b._to"))
+    left = known.unionByName(begins).join(visited, "_node").select(*keys, SLICE, F.struct(*state).alias("_s"))
+    marks = slices.withColumn("_s", F.lit(None).cast(left.schema["_s"].dataType)).union(left)
+    marks = marks.groupBy(*keys, SLICE).agg(F.first("_s", ignorenulls=True).alias("_s"))
+    before = Window.partitionBy(*here).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    entered = marks.withColumn("_s", F.last("_s", ignorenulls=True).over(before)).where(F.col("_s").isNotNull())
+    return entered.select(SLICE, *keys, "_s.*")
+
+
 def _flag(segment: pa.Table, name: str | None) -> np.ndarray | None:
     return None if name is None else np.asarray(segment[name].fill_null(False).to_numpy(), dtype=bool)
 
 
-def _segments(part: pa.Table, keys: list[str]):
-    """The runs of equal keys of a sorted table."""
-    if part.num_rows == 0:
-        return
+def _starts(part: pa.Table, keys: list[str]) -> np.ndarray:
+    """First row of each run of equal keys of a sorted table."""
     if not keys:
-        yield part
-        return
+        return np.array([0])
     frame = part.select(keys).to_pandas()
     changed = np.zeros(len(frame), dtype=bool)
     for k in keys:
         column = frame[k]
         changed |= ((column != column.shift()) & ~(column.isna() & column.shift().isna())).to_numpy()
     changed[0] = True
-    starts = np.flatnonzero(changed)
-    for lo, hi in zip(starts, [*starts[1:], len(frame)]):
-        yield part.slice(int(lo), int(hi - lo))
+    return np.flatnonzero(changed)
+
+
+def _segments(part: pa.Table, keys: list[str]):
+    """The runs of equal keys of a sorted table."""
+    if part.num_rows:
+        starts = _starts(part, keys)
+        for lo, hi in zip(starts, [*starts[1:], part.num_rows]):
+            yield part.slice(int(lo), int(hi - lo))
+
+
+def _edges(part: pa.Table, keys: list[str]) -> list[pa.Table]:
+    """The first and the last run of equal keys."""
+    starts = [*_starts(part, keys).tolist(), part.num_rows]
+    ends = [(starts[0], starts[1]), (starts[-2], starts[-1])]
+    return [part.slice(lo, hi - lo) for lo, hi in dict.fromkeys(ends)]
 
 
 def _links(c: np.ndarray, width: int, force: np.ndarray | None, opens: np.ndarray | None):
@@ -269,10 +325,10 @@ def _links(c: np.ndarray, width: int, force: np.ndarray | None, opens: np.ndarra
 
 
 def _exit_steps(c: np.ndarray, width: int, start: np.ndarray, following: np.ndarray, first_forced: int):
-    """Last anchor of the slice as a step function of the anchor it is entered with.
+    """Bounds and last anchors of a slice's steps, and the last anchor of a chain begun in it.
 
-    Step j holds while ``entry + width < hi[j]``. An exit of n keeps the entry.
-    """
+    A step holds while ``entry + width`` is below its bound and not below the one before.
+    Entries that none of the rows react to have no step."""
     n = len(c)
     last = np.append(np.where(following < n, following, np.arange(n)), n)
     while True:
@@ -281,9 +337,7 @@ def _exit_steps(c: np.ndarray, width: int, start: np.ndarray, following: np.ndar
             break
         last = further
     reach = int(np.searchsorted(c, c[0] + width, "right"))
-    at = np.arange(reach + 1)
-    exits = last[start[np.minimum(at, first_forced)]]
+    exits = last[start[np.minimum(np.arange(reach + 1), first_forced)]]
     ends = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
-    hi = [int(c[i]) if i < n else _FAR for i in ends]
-    hi[-1] = _FAR
-    return hi, [int(e) for e in exits[ends]]
+    ends = ends[exits[ends] < n]
+    return np.append(c, _FAR)[ends], exits[ends], int(last[start[0]])

@@ -16,10 +16,11 @@ def next_tasks(tasks: DataFrame, runners: DataFrame) -> DataFrame:
     """The first outstanding task of every runner (``runtime``, ``package``).
 
     A runner without a package or runtime gets a status instead, one without
-    outstanding tasks neither.
+    outstanding tasks neither. Tasks that were requeued (``turns``) wait behind the others.
     """
+    turns = ["turns"] if "turns" in tasks.columns else []
     first = (tasks.where("outstanding").groupBy("runtime")
-             .agg(F.min(F.struct("queued_us", "id", "task_id")).alias("t")))
+             .agg(F.min(F.struct(*turns, "queued_us", "id", "task_id")).alias("t")))
     rows = runners.join(first, "runtime", "left")
     status = first_match([(~present(F.coalesce("package", F.lit(""))), F.lit(NO_PACKAGE)),
                           (~present(F.coalesce("runtime", F.lit(""))), F.lit(NO_RUNTIME))], F.lit(None).cast("int"))
@@ -44,12 +45,13 @@ def record_outcomes(runs: DataFrame, readonly: bool = False) -> DataFrame:
 
 
 def requeued(tasks: DataFrame, recorded: DataFrame) -> DataFrame:
-    """The queue after recording: run tasks are done, requeued ones outstanding again."""
-    again = recorded.where("action = 'requeue' AND written").select("id").withColumn("_again", F.lit(True))
-    done = recorded.where("action = 'outcome' AND written").select("id").withColumn("_done", F.lit(True))
-    rows = tasks.join(done, "id", "left").join(again, "id", "left")
-    open_ = F.when(F.col("_again"), True).when(F.col("_done"), False).otherwise(F.col("outstanding"))
-    return rows.withColumn("outstanding", open_).drop("_again", "_done")
+    """The queue after recording: run tasks are done, requeued ones outstanding again,
+    behind those that have had fewer ``turns``."""
+    count = lambda action: F.count(F.when(F.col("action") == action, 1))
+    known = recorded.where("written").groupBy("id").agg(count("outcome").alias("_done"), count("requeue").alias("turns"))
+    rows = tasks.drop("turns").join(known, "id", "left")
+    open_ = F.when(F.col("turns") > 0, True).when(F.col("_done") > 0, False).otherwise(F.col("outstanding"))
+    return rows.withColumns({"outstanding": open_, "turns": F.coalesce("turns", F.lit(0))}).drop("_done")
 
 
 def progress(reports: DataFrame, task: str, step: str, done_at: int = 100) -> DataFrame:

@@ -20,12 +20,12 @@ class Accumulator(StatefulProcessor):
     """Adds up the measures of one connection until they reach their quotas.
 
     Only totals are kept, never the data. A timer ends an idle connection; new data
-    sets it anew.
+    sets it anew. A second timer forgets a connection that has ended.
     """
 
-    def __init__(self, conn, seq, quotas, timeout_ms):
+    def __init__(self, conn, seq, quotas, timeout_ms, forget_ms):
         self.conn, self.seq = conn, seq
-        self.quotas, self.timeout_ms = quotas, timeout_ms
+        self.quotas, self.timeout_ms, self.forget_ms = quotas, timeout_ms, forget_ms
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -50,14 +50,18 @@ class Accumulator(StatefulProcessor):
         self.state.update((last, over, *totals))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if not over and last is not None:
-            self.handle.registerTimer(last + self.timeout_ms)
+        if last is not None:
+            self.handle.registerTimer(max(times) + self.forget_ms if over else last + self.timeout_ms)
         yield pd.DataFrame(found, columns=self._columns())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last, over, *totals = self.state.get()
         found = [] if over else [self._ended(key, False)]
-        self.state.update((last, True, *totals))
+        if over:
+            self.state.clear()
+        else:
+            self.state.update((last, True, *totals))
+            self.handle.registerTimer(last + self.timeout_ms + self.forget_ms)
         yield pd.DataFrame(found, columns=self._columns())
 
     def _columns(self):
@@ -72,28 +76,31 @@ class Accumulator(StatefulProcessor):
 
 
 def accumulate_until(chunks: DataFrame, conn: str, seq: str, arrived: str, quotas: dict[str, int],
-                     timeout_ms: int = 5000, lateness: str = "0 seconds") -> DataFrame:
+                     timeout_ms: int = 5000, lateness: str = "0 seconds", forget_ms: int = 60_000) -> DataFrame:
     """Streaming form of ``stream_until``: one row when a connection is done or idle.
 
     ``quotas`` maps whole-number columns of a chunk to the total that is needed.
-    ``arrived`` is an event-time timestamp; rows later than ``lateness`` are dropped.
+    ``arrived`` is an event-time timestamp; rows later than ``lateness`` are dropped. Data
+    that comes within ``forget_ms`` of the end belongs to the ended connection and is left
+    out; after that its state is cleared, and the name may be used by a new one.
     """
     schema = T.StructType([chunks.schema[conn], *fields(success=FLAG, seq=LONG, **dict.fromkeys(quotas, LONG), reason=TEXT)])
     narrow = chunks.select(conn, seq, F.col(arrived).cast("timestamp").alias(arrived), *quotas)
     narrow = narrow.withColumn(MS, F.unix_millis(arrived))
     return (narrow.withWatermark(arrived, lateness).groupBy(conn)
-            .transformWithStateInPandas(Accumulator(conn, seq, quotas, timeout_ms), schema, "Append", "EventTime"))
+            .transformWithStateInPandas(Accumulator(conn, seq, quotas, timeout_ms, forget_ms), schema, "Append", "EventTime"))
 
 
 class Watch(StatefulProcessor):
     """Start time of one process."""
 
-    def __init__(self, order, ts_ms, rss_mb, max_mb, ttl_seconds, out):
+    def __init__(self, order, ts_ms, rss_mb, max_mb, ttl_seconds, out, forget_ms):
+        self.forget_ms = forget_ms
         self.order, self.ts_ms, self.rss_mb = order, ts_ms, rss_mb
         self.max_mb, self.ttl_seconds, self.out = max_mb, ttl_seconds, out
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("start", fields(start_ms=LONG))
+        self.state = handle.getValueState("start", fields(start_ms=LONG), self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         start = self.state.get()[0] if self.state.exists() else None
@@ -115,9 +122,11 @@ class Watch(StatefulProcessor):
 
 
 def watch_health(metrics: DataFrame, process: str, order: list[str], ts_ms: str, rss_mb: str, max_mb: int = 900,
-                 ttl_seconds: int = 60 * 60 * 24 * 365) -> DataFrame:
-    """Streaming form of ``health_alerts``; ``rss_mb`` is a whole-number column."""
+                 ttl_seconds: int = 60 * 60 * 24 * 365, forget_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``health_alerts``; ``rss_mb`` is a whole-number column. A process that
+    is silent for ``forget_ms`` of clock time is forgotten."""
     schema = T.StructType([*metrics.schema, *fields(uptime_seconds=LONG, instantiate=FLAG, memory_trigger=FLAG,
                                                     ttl_expired=FLAG, restart=FLAG)])
-    watch = Watch(order, ts_ms, rss_mb, max_mb, ttl_seconds, schema.names)
-    return metrics.groupBy(process).transformWithStateInPandas(watch, schema, "Append", "None")
+    watch = Watch(order, ts_ms, rss_mb, max_mb, ttl_seconds, schema.names, forget_ms)
+    mode = "None" if forget_ms is None else "ProcessingTime"
+    return metrics.groupBy(process).transformWithStateInPandas(watch, schema, "Append", mode)

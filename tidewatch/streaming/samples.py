@@ -26,13 +26,14 @@ def fields(**types: T.DataType) -> T.StructType:
 class SampleMeter(StatefulProcessor):
     """Keeps the window, total, last rate and unlogged bytes of one stream."""
 
-    def __init__(self, stream, order, ts_ms, size, bits, window_ms, budget, out):
+    def __init__(self, stream, order, ts_ms, size, bits, window_ms, budget, out, forget_ms):
+        self.forget_ms = forget_ms
         self.stream, self.order, self.ts_ms, self.size = stream, order, ts_ms, size
         self.bits, self.window_ms, self.budget, self.out = bits, window_ms, budget, out
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("meter", fields(
-            start_ms=LONG, window_bytes=LONG, total_bytes=LONG, rate=DOUBLE, buffered=LONG))
+            start_ms=LONG, window_bytes=LONG, total_bytes=LONG, rate=DOUBLE, buffered=LONG), self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         start, held, total, rate, buffered = self.state.get() if self.state.exists() else (None, 0, 0, None, 0)
@@ -61,11 +62,13 @@ class SampleMeter(StatefulProcessor):
 
 def meter_samples(samples: DataFrame, stream: str, order: list[str], ts_ms: str, size: str, bits: int = 8,
                   window_ms: int = 10_000, sample_rate: int | None = None, channels: int = 1,
-                  interval_seconds: int = 5) -> DataFrame:
-    """Streaming form of ``stream_totals``, ``rate_windows`` and ``thin_log`` in one pass."""
+                  interval_seconds: int = 5, forget_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``stream_totals``, ``rate_windows`` and ``thin_log`` in one pass. A
+    stream that is silent for ``forget_ms`` of clock time is forgotten."""
     added = fields(step_bytes=LONG, total_bytes=LONG, window_start_ms=LONG, window_bytes=LONG, elapsed_ms=LONG,
                    rate=DOUBLE, should_log=FLAG)
     schema = T.StructType([*samples.schema, *added])
     budget = None if sample_rate is None else interval_seconds * sample_rate * bits * channels // 8
-    meter = SampleMeter(stream, order, ts_ms, size, bits, window_ms, budget, schema.names)
-    return samples.groupBy(stream).transformWithStateInPandas(meter, schema, "Append", "None")
+    meter = SampleMeter(stream, order, ts_ms, size, bits, window_ms, budget, schema.names, forget_ms)
+    mode = "None" if forget_ms is None else "ProcessingTime"
+    return samples.groupBy(stream).transformWithStateInPandas(meter, schema, "Append", mode)

@@ -11,12 +11,13 @@ import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.requests import access_rows, domain_routes
 from tidewatch.operators.services import route_union
-from tidewatch.operators.tasks import poll_once
+from tidewatch.operators.tasks import poll_once, requeued
 
 log = logging.getLogger(__name__)
 
@@ -80,14 +81,22 @@ def poll_tasks(ticks: DataFrame, read_tasks: Callable[[SparkSession], DataFrame]
                delay: str = "5 seconds", loop: bool = True, readonly: bool = False) -> StreamingQuery:
     """On each tick, take the first task of every runner and record how it ended.
 
-    The queue and the results are read anew each time. Without ``loop`` the ticks at
-    hand are one pass. A read-only poll plans but writes nothing.
+    The queue and the results are read anew each time, and what earlier ticks recorded
+    under ``path`` is applied to the queue: tasks that ran are done, those that run again
+    wait behind the others. Without ``loop`` the ticks at hand are one pass. A read-only
+    poll plans but writes nothing.
     """
     def work(rows: DataFrame, batch_id: int) -> None:
         if rows.isEmpty():
             return
         spark = rows.sparkSession
-        planned = poll_once(read_tasks(spark), runners, read_results(spark), readonly)
+        queue = read_tasks(spark)
+        try:
+            earlier = spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+        except AnalysisException:  # nothing is recorded yet
+            earlier = None
+        queue = queue if earlier is None else requeued(queue, earlier)
+        planned = poll_once(queue, runners, read_results(spark), readonly)
         if not readonly:
             append_batch(planned, batch_id, path)
 
