@@ -209,3 +209,14 @@ def test_exports(spark, tmp_path):
     export.write_lines(export.export_lines(df, "id", "tsv"), str(tmp_path / "out"))
     parts = sorted((tmp_path / "out").glob("part-*"))
     assert "".join(p.read_text() for p in parts).splitlines() == lines("tsv")
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from tidewatch import session
+    kept = len(session._written)
+    table = session.checkpointed(spark.range(5))
+    path = session._written[-1].removeprefix("file:")
+    assert table.count() == 5 and os.path.isdir(path)
+    assert session.drop_checkpoints(spark, kept) == 1 and not os.path.isdir(path)

@@ -63,13 +63,33 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Tables written by this process and not dropped yet.
+_written: list[str] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from the written table.
 
     A Parquet table cuts the lineage like a checkpoint does, survives lost executors,
-    and lets each later pass read only the columns it needs.
+    and lets each later pass read only the columns it needs. :func:`drop_checkpoints`
+    removes the tables.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4()}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_checkpoints(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the tables this process has written after the first ``keep``; their number.
+
+    Call it when the results that read them are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = _written[keep:]
+    for path in dropped:
+        place = hadoop(path)
+        place.getFileSystem(conf).delete(place, True)
+    del _written[keep:]
+    return len(dropped)
