@@ -16,11 +16,15 @@ _URIS = """CASE page_id % 8 WHEN 0 THEN '  ' || url WHEN 1 THEN upper(url) WHEN
   WHEN 3 THEN substr(url, strpos(url, '/')) WHEN 4 THEN 'local/' || page_id WHEN 5 THEN url || '?q=1#a#b' ELSE url END"""
 _URIS_SPARK = _URIS.replace("strpos(url, '/')", "instr(url, '/')")
 
+# The patterns of the check, stated apart from the operator's.
+_LEAD = "(?i)^(?:http:|https:|ftp:)?//"
+_HOST = r"[A-Za-z0-9\-.:\x{00BF}-\x{1FFF}\x{2C00}-\x{D7FF}]*"
+
 URI_SQL = rf"""u AS (SELECT page_id, regexp_replace({_URIS}, '^\s*', '') AS u FROM pages),
 s AS (SELECT page_id, u, lower(regexp_extract(u, '(?i)^(http|https|ftp)://', 1)) AS scheme,
-  regexp_matches(u, '{c._LEAD}') AS absolute, regexp_extract(u, '{c._LEAD}({c.AUTHORITY})', 1) AS authority FROM u),
+  regexp_matches(u, '{_LEAD}') AS absolute, regexp_extract(u, '{_LEAD}({_HOST})', 1) AS authority FROM u),
 p AS (SELECT page_id, u, scheme, authority, absolute,
-  substr(regexp_extract(u, '{c._LEAD}.*', 0), length(regexp_extract(u, '{c._LEAD}{c.AUTHORITY}', 0)) + 1) AS rest FROM s),
+  substr(regexp_extract(u, '{_LEAD}.*', 0), length(regexp_extract(u, '{_LEAD}{_HOST}', 0)) + 1) AS rest FROM s),
 q AS (SELECT *, scheme || '://' || authority = u AS bare, CASE WHEN absolute THEN split_part(rest, '?', 1) ELSE u END AS before,
   CASE WHEN absolute AND strpos(rest, '?') > 0 THEN substr(rest, strpos(rest, '?') + 1) ELSE '' END AS after FROM p),
 uri AS (SELECT page_id, scheme, authority, CASE WHEN bare THEN '/' ELSE split_part(before, '#', 1) END AS path,
@@ -35,10 +39,6 @@ def uris(spark, folder):
     return pages.select("page_id", *[p.alias(n) for n, p in c.uri_parts(F.col("uri")).items()])
 
 
-# The quote in the path characters is doubled for the statement's literals.
-URI_SQL = URI_SQL.replace(c.PATH, c.PATH.replace("'", "''"))
-
-
 @query("uri_split", f"WITH {URI_SQL} SELECT * FROM uri")
 def uri_split(spark, folder):
     return uris(spark, folder)

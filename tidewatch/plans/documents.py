@@ -167,8 +167,8 @@ def augment_merge(spark, folder):
 
 
 # The same character class in a form the checking engine reads.
-_WS = d.WHITE_SPACE
-_KEEP = (d.PRINTABLE + _WS[1:-1]).replace("'", "''")
+_WS = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")
+_KEEP = r"""a-zA-Z0-9\-@.<>="''_\\&,/""" + _WS[1:-1]
 _TEXTS = """'  ' || text || CASE WHEN doc_id % 3 = 0 THEN chr(13) || chr(10) || ' x' ELSE chr(10) END"""
 
 
@@ -210,11 +210,15 @@ def text_hygiene_report(spark, folder):
 TOKENS = [("the", "$THE"), ("$T", "(t)"), (" and ", " & "), ("e.", "E_"), ("(t)HE", "[x]\\"), ("[x]", "y")]
 
 
+# What each token stands for as a pattern; a dot is any character.
+_TOKEN_PATTERNS = {"the": "the", "$T": r"\$T", " and ": " and ", "e.": "e.", "(t)HE": r"\(t\)HE", "[x]": r"\[x\]"}
+
+
 def _token_check():
     steps, source = ["t0 AS (SELECT doc_id, text AS c0 FROM documents)"], "t0"
     for i, (token, by) in enumerate(TOKENS):
         literal = by.replace("\\", "\\\\")
-        steps.append(f"t{i + 1} AS (SELECT *, regexp_replace(c{i}, '{d.token_pattern(token)}', '{literal}', 'g') AS c{i + 1} FROM t{i})")
+        steps.append(f"t{i + 1} AS (SELECT *, regexp_replace(c{i}, '{_TOKEN_PATTERNS[token]}', '{literal}', 'g') AS c{i + 1} FROM t{i})")
         source = f"t{i + 1}"
     rows = " UNION ALL ".join(
         f"SELECT {i} AS ord, '{t}' AS token, count(*) FILTER (c{i} <> c{i + 1}) AS changed, CAST(sum(length(c{i + 1})) AS BIGINT) AS chars FROM {source}"
@@ -235,8 +239,9 @@ def token_replace(spark, folder):
 
 
 def _age_check(seconds):
+    # The units are stated here once more, so that the check does not follow the operator's.
     scale, cases = 1, []
-    for unit, count in d.AGE_UNITS:
+    for unit, count in (("sec", 60), ("min", 60), ("hour", 24), ("day", 30), ("month", 12), ("year", 1000)):
         n = f"CAST(floor(abs({seconds}) / {float(scale)} + 0.5) AS BIGINT)"
         cases.append(f"WHEN abs({seconds}) < {scale * count} THEN CASE WHEN {n} < 10 THEN '0' ELSE '' END || {n} || ' {unit}' "
                      f"|| CASE WHEN {n} = 1 THEN ' ' ELSE 's' END || ' ' || CASE WHEN {seconds} < 0 THEN 'from now' ELSE 'ago' END")

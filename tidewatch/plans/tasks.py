@@ -52,7 +52,7 @@ def task_progress(spark, folder):
 WITH {v.TRACE}, f AS (SELECT trace, min(step) FILTER (NOT ok) AS failed_step, count(*) AS total FROM trace GROUP BY trace)
 SELECT o_orderkey AS trace, total IS NOT NULL AND failed_step IS NULL AS success, failed_step,
   coalesce(failed_step, total, 0) AS counted, coalesce(total - failed_step, 0) AS ignored,
-  CASE WHEN total IS NULL THEN '{tr.NO_OUTCOME}' WHEN failed_step IS NOT NULL THEN 'step failed: ' || failed_step END AS reason
+  CASE WHEN total IS NULL THEN 'WARNING, returning from a chain that did not have the "outcome" property set.' WHEN failed_step IS NOT NULL THEN 'step failed: ' || failed_step END AS reason
 FROM orders LEFT JOIN f ON trace = o_orderkey""")
 def first_failure(spark, folder):
     traces = table(spark, folder, "orders").select(F.col("o_orderkey").alias("trace"))
