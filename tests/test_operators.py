@@ -203,7 +203,7 @@ def test_exports(spark, tmp_path):
     lines = lambda fmt: [r.line for r in export.export_lines(df, "id", fmt).collect()]
     assert lines("tsv") == ["id\tname\tn", "1\ta\t2.5", "2\t\t3"]
     assert lines("ssv") == ["id name n   ", "", "1  a    2.5 ", "2  null 3   "]
-    assert lines("json")[0] == '  {\n    "id": 1,\n    "name": "a",\n    "n": 2.5\n  }'
+    assert lines("json")[1].removesuffix(",") == '  {\n    "id": 1,\n    "name": "a",\n    "n": 2.5\n  }'
     with pytest.raises(ValueError, match="invalid serialization format"):
         lines("xml")
     export.write_lines(export.export_lines(df, "id", "tsv"), str(tmp_path / "out"))
@@ -220,3 +220,39 @@ def test_written_tables_can_be_dropped(spark):
     path = session._written[-1].removeprefix("file:")
     assert table.count() == 5 and os.path.isdir(path)
     assert session.drop_checkpoints(spark, kept) == 1 and not os.path.isdir(path)
+
+
+def test_target_urls_and_their_parts(spark):
+    from tidewatch.operators.services import target_parts, target_url
+    df = spark.createDataFrame([("box", 80), ("box", None), (None, 1)], "h string, p int")
+    urls = df.select(target_url(F.col("h"), F.col("p")).alias("u"))
+    assert [r.u for r in urls.collect()] == ["http://box:80", None, None]
+    parts = urls.select(*[c.alias(n) for n, c in target_parts(F.col("u")).items()]).first()
+    assert tuple(parts) == ("box", "80")
+
+
+def test_access_log_is_appended(spark, folder, tmp_path):
+    from tidewatch.sources.views import requests
+    from tidewatch.streaming.sinks import append_access_log
+    log = requests(spark, folder).withColumns({"recorded_us": F.lit(0).cast("bigint"), "peer": F.col("ip")})
+    path = str(tmp_path / "log")
+    append_access_log(log, path)
+    append_access_log(log, path)
+    assert spark.read.parquet(path).count() == 2 * log.count()
+    with pytest.raises(ValueError):
+        append_access_log(log, "")
+
+
+def test_a_json_report_is_a_document(spark, tmp_path):
+    import json
+
+    from tidewatch.operators.export import export_lines, write_lines
+    rows = spark.sql("""SELECT * FROM VALUES (1, 'a"b', 1e33D, array(1, 2), named_struct('x', null, 'y', map('k', 0.00001D)), true),
+      (2, null, double('NaN'), array(), null, null) AS t(id, s, d, l, o, f)""")
+    write_lines(export_lines(rows, "id", "json"), str(tmp_path / "report"))
+    files = sorted((tmp_path / "report").glob("part-*"))
+    assert json.loads("".join(f.read_text() for f in files)) == [
+        {"id": 1, "s": 'a"b', "d": 1e33, "l": [1, 2], "o": {"x": None, "y": {"k": 1e-5}}, "f": True},
+        {"id": 2, "s": None, "d": None, "l": [], "o": None, "f": None}]
+    empty = export_lines(rows.where("id > 5"), "id", "json").collect()
+    assert [r.line for r in empty] == ["[]"]

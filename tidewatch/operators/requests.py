@@ -354,6 +354,27 @@ def rewrite_values(values: Column, rule: HeaderRule, front: str, back: str) -> C
     return F.transform(values, lambda v: _rewritten(rule, v, front, back))
 
 
+def response_rewrite(headers: Column, rules: list[HeaderRule], front: str, back: str,
+                     prefix: str = "response") -> tuple[Column, Column]:
+    """:func:`header_rewrite` for headers that map a name to a list of values.
+
+    A deleted header has no values left and is removed; an overwritten one has one value."""
+    none = F.array().cast("array<string>")
+
+    def after(rule: HeaderRule, before: Column) -> Column:
+        if rule.action == "delete":
+            return none
+        return F.array(F.lit(rule.value)) if rule.action == "overwrite" else rewrite_values(F.coalesce(before, none), rule, front, back)
+
+    audit = F.array(*[F.struct(
+        F.lit(f"{prefix}.headers.{r.header}").alias("name"), F.try_element_at(headers, F.lit(r.header)).alias("before"),
+        after(r, F.try_element_at(headers, F.lit(r.header))).alias("after")) for r in rules])
+    kept = F.map_filter(headers, lambda k, _: ~k.isin(*[r.header for r in rules]))
+    new = F.map_from_entries(F.transform(F.filter(audit, lambda a: F.size(a["after"]) > 0), lambda a: F.struct(
+        F.substring(a["name"], F.lit(len(f"{prefix}.headers.") + 1), F.length(a["name"])), a["after"])))
+    return F.map_concat(kept, new), audit
+
+
 def charset(content_type: Column, default: str | None = None) -> Column:
     """Text after ``charset=``; null (or the given default) where there is none."""
     found = nth_part(blank(content_type), "charset=", 2)

@@ -250,11 +250,27 @@ b AS (SELECT req_id, name, CASE name WHEN 'host' THEN host WHEN 'origin' THEN sc
   FROM req, rules)
 SELECT req_id, 'request.headers.' || name AS name, before,
   CASE name WHEN 'connection' THEN 'close' WHEN 'accept-encoding' THEN NULL
-    ELSE regexp_replace(before, 'example', 'inner') END AS after, 4 AS headers_left FROM b""")
+    ELSE regexp_replace(before, 'example', 'inner') END AS after, 4 AS headers_left FROM b
+UNION ALL SELECT req_id, 'response.headers.set-cookie', 'id=' || req_id || '; domain=inner.' || host || chr(10) || 'plain=1; inner=inner',
+  'id=' || req_id || '; domain=example.' || host || chr(10) || 'plain=1; example=inner', 3 FROM req
+UNION ALL SELECT req_id, 'response.headers.location', CASE WHEN req_id % 3 = 0 THEN NULL ELSE scheme || '://inner.' || host || target END,
+  CASE WHEN req_id % 3 = 0 THEN '' ELSE scheme || '://example.' || host || target END, 3 FROM req WHERE req_id % 3 <> 0
+UNION ALL SELECT req_id, 'response.headers.location', NULL, '', 2 FROM req WHERE req_id % 3 = 0""".replace(
+    "|| 'plain=1; example=inner', 3 FROM", "|| 'plain=1; example=inner', CASE WHEN req_id % 3 = 0 THEN 2 ELSE 3 END FROM"))
 def header_rewrite(spark, folder):
     new, audit = r.header_rewrite(F.col("headers"), r.REQUEST_RULES, "example", "inner", "request")
     rows = requests(spark, folder).select("req_id", F.size(new).alias("headers_left"), F.explode(audit).alias("a"))
-    return rows.select("req_id", "a.name", "a.before", "a.after", "headers_left")
+    sent = rows.select("req_id", "a.name", "a.before", "a.after", "headers_left")
+
+    # The answers: two cookies, a length, and a location for two in three.
+    req = requests(spark, folder)
+    cookies = F.array(F.concat(F.lit("id="), F.col("req_id").cast("string"), F.lit("; domain=inner."), "host"), F.lit("plain=1; inner=inner"))
+    answer = F.create_map(F.lit("set-cookie"), cookies, F.lit("content-length"), F.array(F.lit("7")))
+    moved = F.create_map(F.lit("location"), F.array(F.concat("scheme", F.lit("://inner."), "host", "target")))
+    answers = req.select("req_id", F.when(F.col("req_id") % 3 == 0, answer).otherwise(F.map_concat(answer, moved)).alias("h"))
+    new, audit = r.response_rewrite(F.col("h"), r.RESPONSE_RULES, "example", "inner")
+    back = answers.select("req_id", F.size(new).alias("headers_left"), F.explode(audit).alias("a"))
+    return sent.union(back.select("req_id", "a.name", F.array_join("a.before", "\n"), F.array_join("a.after", "\n"), "headers_left"))
 
 
 @query("charset_detect", """
