@@ -7,16 +7,18 @@ the same name without asking. Each symbol also knows its context: the words that
 be the same for it to come about. If a passage occurs twice, all symbols whose context
 lies inside it are the same in both places, whatever stands around it.
 
-For every window of words the interior symbol that spans the most words is its name.
-Windows of equal words therefore have equal names, and equal names over long symbols are
-rare otherwise. Neighbouring windows with one name form a run, and only runs are
-shuffled: where the whole run stands in a document with a smaller id too, all its windows
-are repeats. Where documents share a name but not the run, at the ends of a repeat, the
-windows of each different run are compared one by one by a 128-bit hash of their words.
+Every window of words is named after one interior symbol and the words of its context:
+the one with the shortest context of ``CONTEXT`` words or more, else the longest. Windows
+of equal words therefore have equal names, and equal names are rare otherwise.
+Neighbouring windows with one name form a run, and only runs are shuffled: where the
+whole run stands in a document with a smaller id too, all its windows are repeats. Where
+documents share a name but not the run, at the ends of a repeat, the windows of each
+different run are compared one by one by a 128-bit hash of their words.
 
 Runs that a task has seen from a smaller document itself are settled before the shuffle,
 so a passage in a third of all rows costs one row per batch. Nulls have no words. Null
-ids are larger than all others; rows of one id never count as repeats of each other.
+ids are larger than all others; rows of one id never count as repeats of each other, and
+are told apart by 31 bits of a hash of their texts.
 """
 
 from __future__ import annotations
@@ -38,8 +40,13 @@ WINDOW = 13
 ROUNDS = 8
 NO_ID = (1 << 63) - 1
 FAR = 1 << 40
-# Bits of a window's name that tell how many words its symbol spans.
-SPAN_BITS = 5
+# Words of context from which a symbol names a window well.
+CONTEXT = 6
+# The upper bits of a window's name rank the symbol, the others are a hash.
+RANK_BITS = 5
+# A spot is first word * 32 + windows * 2 + settled, under the tag of the text. This bounds
+# a text to 2^27 words and a run to 15 windows.
+MOST_WINDOWS, TAG = 15, 0x7FFFFFFF
 
 
 def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -53,7 +60,7 @@ def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 def rounds(words: np.ndarray, doc: np.ndarray, window: int):
-    """Symbols whose context fits a window, as (name, words spanned, context start, context end), round by round."""
+    """Symbols whose context fits a window, as (name, context start, context end), round by round."""
     n = len(words)
     start = np.ones(n, bool)
     start[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
@@ -71,7 +78,7 @@ def rounds(words: np.ndarray, doc: np.ndarray, window: int):
         fits = high - low <= window
         if not fits.any():
             return
-        yield name[fits], (e - b)[fits], low[fits], high[fits]
+        yield name[fits], low[fits], high[fits]
         right = (mix(name, zero, 2 + level) & np.uint64(1)).astype(bool)
         pair = ~right & np.append(right[1:], False) & ~last
         second = np.append(False, pair[:-1])
@@ -81,22 +88,46 @@ def rounds(words: np.ndarray, doc: np.ndarray, window: int):
         high = np.where(right, high, np.where(last, FAR, after))
         low = np.where(right & ~second, np.where(first, -FAR, before), low)
         at = np.flatnonzero(pair)
-        name, e = name.copy(), e.copy()
+        name = name.copy()
         name[at] = mix(name[at], name[at + 1], 100 + level)
-        e[at] = e[at + 1]
         keep = ~second
-        name, b, e, low, high, doc = (x[keep] for x in (name, b, e, low, high, doc))
+        name, low, high, doc = (x[keep] for x in (name, low, high, doc))
         first = np.append(True, doc[1:] != doc[:-1])
         last = np.append(first[1:], True)
 
 
+def stretches(words: np.ndarray, window: int) -> list[np.ndarray]:
+    """Hashes of 1, 2, 4, ... words from each word on, up to the window."""
+    out, width = [words], 1
+    while 2 * width <= window:
+        after = np.append(out[-1][width:], np.zeros(min(width, len(words)), np.uint64))
+        out.append(mix(out[-1], after, 20 + width))
+        width *= 2
+    return out
+
+
+def hash_between(powers: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of the words from low to high, from two stretches that cover them."""
+    length = high - low
+    power = np.minimum(np.floor(np.log2(length)).astype(int), len(powers) - 1)
+    out = np.empty(len(low), np.uint64)
+    for k, stretch in enumerate(powers):
+        at = np.flatnonzero(power == k)
+        out[at] = mix(stretch[low[at]], stretch[high[at] - (1 << k)], 40)
+    return mix(out, length.astype(np.uint64), 41)
+
+
 def window_names(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(name, hash) of the window that starts at each word; windows may run past a text's end."""
+    """(name, hash) of the window that starts at each word; at the end of all words there is none."""
     n = len(words)
     best = np.zeros(n, np.uint64)
-    zero = np.zeros(1, np.uint64)
-    for name, span, low, high in rounds(words, doc, window):
-        value = (span.astype(np.uint64) << np.uint64(64 - SPAN_BITS)) | (mix(name, zero, 3) >> np.uint64(SPAN_BITS))
+    powers = stretches(words, window)
+    for name, low, high in rounds(words, doc, window):
+        context = high - low
+        rank = np.where(context >= CONTEXT, 2 * window - context, np.minimum(context, window - 1))
+        rank = np.minimum(rank, (1 << RANK_BITS) - 1).astype(np.uint64)
+        value = mix(name, hash_between(powers, low, high), 3) >> np.uint64(RANK_BITS)
+        value |= rank << np.uint64(64 - RANK_BITS)
         # A symbol is inside the windows that start from high - window to low.
         least = np.maximum(high - window, 0)
         for step in range(window):
@@ -105,23 +136,10 @@ def window_names(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.nd
             if not inside.any():
                 break
             np.maximum.at(best, at[inside], value[inside])
-    hashes = whole_windows(words, window)
-    return np.where(best == 0, hashes >> np.uint64(SPAN_BITS), best), hashes
-
-
-def whole_windows(words: np.ndarray, window: int) -> np.ndarray:
-    """Hash of ``window`` words from each word on, put together from stretches of doubled length."""
-    def shifted(x, by):
-        return np.append(x[by:], np.zeros(min(by, len(x)), np.uint64))
-
-    out, covered, stretch, width = None, 0, words, 1
-    while width <= window:
-        if window & width:
-            out = stretch if out is None else mix(out, shifted(stretch, covered), 50 + width)
-            covered += width
-        stretch = mix(stretch, shifted(stretch, width), 20 + width)
-        width *= 2
-    return out
+    hashes = np.zeros(n, np.uint64)
+    at = np.arange(max(0, n - window + 1))
+    hashes[at] = hash_between(powers, at, at + window)
+    return np.where(best == 0, hashes >> np.uint64(RANK_BITS), best), hashes
 
 
 def runs_of(texts: list[bytes | None], window: int = WINDOW):
@@ -141,9 +159,9 @@ def runs_of(texts: list[bytes | None], window: int = WINDOW):
     names, doc = names[at], doc[at]
     head = np.ones(len(at), bool)
     head[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
-    # A run has a window's length at most, so that its first and last window cover all its words.
+    # A run is no longer than a window, so that its first and last window cover all its words.
     since = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-    head |= since % window == 0
+    head |= since % min(window, MOST_WINDOWS) == 0
     first = np.flatnonzero(head)
     count = np.diff(np.append(first, len(at)))
     whole = mix(hashes[at[first]], hashes[at[first + count - 1]], 7) ^ count.astype(np.uint64)
@@ -162,46 +180,50 @@ def settle(ids: np.ndarray, doc: np.ndarray, name: np.ndarray, whole: np.ndarray
     return out
 
 
-RUNS = "name bigint, whole bigint, id bigint, row bigint, spot bigint"
+def text_tag(text: str) -> F.Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(TAG))
 
 
 def all_runs(docs: DataFrame, window: int) -> DataFrame:
-    """Runs of all texts. ``spot`` is first word * 64 + windows, negative where settled; a
-    settled run has a name of its own, under which it meets nothing."""
+    """Runs of all texts as (name, whole, id, spot). A settled run has a name of its own,
+    under which it meets nothing."""
     def run(batches):
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = []
             for lo, hi in pieces(texts):
                 doc, start, count, name, whole = runs_of(texts[lo:hi], window)
-                found.append((doc + lo, start * 64 + count, name, whole))
+                found.append((doc + lo, start * 32 + count * 2, name, whole))
             if not found:
                 continue
             doc, spot, name, whole = (np.concatenate(x) for x in zip(*found))
             done = settle(ids, doc, name, whole)
-            own = mix(rows[doc].view(np.uint64), spot.astype(np.uint64), 9).view(np.int64)
+            spot = (tags[doc] << 32) + spot + done
+            own = mix(ids[doc].view(np.uint64), spot.view(np.uint64), 9).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.where(done, own, name)), pa.array(np.where(done, own, whole)), pa.array(ids[doc]),
-                 pa.array(rows[doc]), pa.array(np.where(done, -spot, spot))],
-                names=["name", "whole", "id", "row", "spot"])
+                 pa.array(spot)], names=["name", "whole", "id", "spot"])
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.mapInArrow(run, "name bigint, whole bigint, id bigint, spot bigint")
 
 
 def judged_runs(runs: DataFrame) -> DataFrame:
-    """(row, repeated, open): spots of whole repeats, and of runs whose windows are still to be
-    compared, as arrays per row. Runs that share nothing are dropped."""
+    """(id, tag, repeated, open): whole repeats, and runs whose windows are still to be
+    compared, as arrays of first word * 16 + windows. Runs that share nothing are dropped.
+
+    Windows have to be compared only under names that stand in different runs whose
+    smallest ids differ; the smallest id's run takes part, as the others are held against it."""
     by_name = Window.partitionBy("name")
-    same = Window.partitionBy("name", "whole")
-    told = runs.withColumns({
-        "least": F.min("id").over(same),
-        "smallest": F.min("id").over(by_name), "largest": F.max("id").over(by_name)})
-    repeated = (F.col("spot") < 0) | (F.col("id") > F.col("least"))
+    told = runs.withColumn("least", F.min("id").over(Window.partitionBy("name", "whole")))
+    told = told.withColumns({"smallest": F.min("least").over(by_name), "largest": F.max("least").over(by_name)})
+    repeated = (F.col("spot") % 2 == 1) | (F.col("id") > F.col("least"))
     undecided = ~repeated & (F.col("smallest") < F.col("largest"))
+    place = F.shiftright(F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)), 1)
     return (told.where(repeated | undecided)
-            .select("row", F.when(repeated, F.abs("spot")).alias("r"), F.when(~repeated, F.col("spot")).alias("o"))
-            .groupBy("row").agg(F.collect_list("r").alias("repeated"), F.collect_list("o").alias("open")))
+            .select("id", F.shiftright("spot", 32).alias("tag"), F.when(repeated, place).alias("r"),
+                    F.when(~repeated, place).alias("o"))
+            .groupBy("id", "tag").agg(F.collect_list("r").alias("repeated"), F.collect_list("o").alias("open")))
 
 
 def covered(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -217,16 +239,16 @@ def without(words: list[bytes], mask: np.ndarray) -> str:
 
 
 def first_pass(docs: DataFrame, window: int) -> DataFrame:
-    """Texts with their runs: what is decided already, else the text, the words covered so
+    """Texts with their runs: what is decided already, else the text, the runs covered so
     far and the 128-bit hashes of the windows in question."""
-    schema = ("id bigint, row bigint, n_words bigint, n_removed bigint, kept string, text string, spots array<bigint>, "
+    schema = ("id bigint, tag bigint, n_words bigint, n_removed bigint, kept string, text string, spots array<bigint>, "
               "windows array<struct<start:bigint,h1:bigint,h2:bigint>>")
     cell = pa.list_(pa.struct([("start", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]))
 
     def hashed(words, spots):
         out = []
         for spot in spots:
-            for start in range(spot // 64, spot // 64 + spot % 64):
+            for start in range(spot // 16, spot // 16 + spot % 16):
                 value = xxhash.xxh3_128_digest(b" ".join(words[start:start + window]))
                 h1, h2 = np.frombuffer(value, np.int64).tolist()
                 out.append({"start": start, "h1": h1, "h2": h2})
@@ -245,14 +267,14 @@ def first_pass(docs: DataFrame, window: int) -> DataFrame:
                         rows.append((len(words), None, None, text, repeated[i] or [], hashed(words, undecided[i])))
                         continue
                     spots = np.array(repeated[i] or [], np.int64)
-                    mask = covered(len(words), spots // 64, spots % 64, window)
+                    mask = covered(len(words), spots // 16, spots % 16, window)
                     rows.append((len(words), int(mask.sum()), without(words, mask), None, None, None))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), cell]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *columns],
-                    names=["id", "row", "n_words", "n_removed", "kept", "text", "spots", "windows"])
+                    names=["id", "tag", "n_words", "n_removed", "kept", "text", "spots", "windows"])
 
     return docs.mapInArrow(run, schema)
 
@@ -266,8 +288,8 @@ def last_pass(rows: DataFrame, window: int) -> DataFrame:
             for text, spots, starts in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words, spots = (text or b"").split(), np.array(spots or [], np.int64)
                 starts = np.array(starts or [], np.int64)
-                mask = covered(len(words), np.concatenate([spots // 64, starts]),
-                               np.concatenate([spots % 64, np.ones(len(starts), np.int64)]), window)
+                mask = covered(len(words), np.concatenate([spots // 16, starts]),
+                               np.concatenate([spots % 16, np.ones(len(starts), np.int64)]), window)
                 out.append((len(words), int(mask.sum()), without(words, mask)))
             columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))] if out else []
             if out:
@@ -281,18 +303,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     A word is removed if a window over it also starts in a document with a smaller id."""
     rows = docs.select(F.coalesce(F.col(id_column), F.lit(NO_ID)).cast("bigint").alias("id"),
-                       F.xxhash64(F.col(id_column), F.col(text)).alias("row"), F.col(text).alias("text"))
+                       text_tag(text).alias("tag"), F.col(text).alias("text"))
     judged = judged_runs(all_runs(rows, window))
-    joined = rows.join(judged, "row", "left").select("id", "row", "text", "repeated", "open")
+    joined = rows.join(judged, ["id", "tag"], "left").select("id", "tag", "text", "repeated", "open")
     first = checkpointed(first_pass(joined, window))
     done = first.where(F.col("text").isNull()).select("id", "n_words", "n_removed", "kept")
-    left = first.where(F.col("text").isNotNull()).select("id", "row", "text", "spots", "windows")
+    left = first.where(F.col("text").isNotNull()).select("id", "tag", "text", "spots", "windows")
 
-    windows = left.select("id", "row", F.explode("windows").alias("w")).select("id", "row", "w.start", "w.h1", "w.h2")
+    windows = left.select("id", "tag", F.explode("windows").alias("w")).select("id", "tag", "w.start", "w.h1", "w.h2")
     least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     hits = (windows.join(least.drop("most"), ["h1", "h2"]).where("id > least")
-            .groupBy("row").agg(F.collect_set("start").alias("starts")))
-    closed = last_pass(left.join(hits, "row", "left").select("id", "text", "spots", "starts"), window)
+            .groupBy("id", "tag").agg(F.collect_set("start").alias("starts")))
+    closed = last_pass(left.join(hits, ["id", "tag"], "left").select("id", "text", "spots", "starts"), window)
     return done.union(closed).select(F.nullif("id", F.lit(NO_ID)).alias(id_column), "n_words", "n_removed", "kept")
 
 
