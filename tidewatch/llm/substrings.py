@@ -215,7 +215,8 @@ def judged_runs(runs: DataFrame) -> DataFrame:
     Windows have to be compared only under names that stand in different runs whose
     smallest ids differ; the smallest id's run takes part, as the others are held against it."""
     by_name = Window.partitionBy("name")
-    told = runs.withColumn("least", F.min("id").over(Window.partitionBy("name", "whole")))
+    # One shuffle by name serves both windows.
+    told = runs.repartition("name").withColumn("least", F.min("id").over(Window.partitionBy("name", "whole")))
     told = told.withColumns({"smallest": F.min("least").over(by_name), "largest": F.max("least").over(by_name)})
     repeated = (F.col("spot") % 2 == 1) | (F.col("id") > F.col("least"))
     undecided = ~repeated & (F.col("smallest") < F.col("largest"))
