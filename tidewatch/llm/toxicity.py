@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -31,13 +32,19 @@ from tidewatch.session import checkpointed, with_tasks
 
 with_tasks(__name__)
 
-# Bounds of what training holds at once: labelled rows in the sample, lexicon entries,
-# and clean words that look like misspellings.
-SAMPLE_ROWS, LEXICON, EXCEPTIONS = 10_000, 5_000, 50_000
+# Bounds of what training holds at once: labelled rows in the sample, keys that are looked
+# up in clean documents, lexicon entries, and clean words that look like misspellings.
+SAMPLE_ROWS, CANDIDATES, LEXICON, EXCEPTIONS = 10_000, 20_000, 2_000, 50_000
 STEMS = range(4, 9)
-LEAST_ROWS, LEAST_Z = 3, 3.0
+# A mark has to stand in so many toxic documents and surroundings, and in this share of the
+# documents, so that copies of one document mark nothing.
+LEAST_ROWS, LEAST_SHARE, LEAST_Z = 5, 0.01, 4.0
+# And in so many times as many toxic as clean documents.
+PURITY = 10
+# A stem with more lexicon words than this stands for them.
+FORMS = 4
 CONTEXT = 6
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 150_000
 
 REPORTING = set(b"said says say wrote writes called calls quoted quotes quote reported word term phrase "
                 b"sagte sagt schrieb nannte wort dit dits disait mot dijo dice escribio palabra".split())
@@ -223,32 +230,61 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
-def key_counts(sample: DataFrame) -> DataFrame:
-    """Documents of each class per word and per word beginning (written with a trailing star)."""
-    schema = "word string, n_toxic bigint, n_clean bigint"
+def keys_of(words: list[str]) -> list[tuple[str, int]]:
+    """Words of four letters or more and their beginnings (with a trailing star), each with
+    the place it stands at."""
+    out = []
+    for i, word in enumerate(words):
+        if len(word) >= STEMS.start:
+            out.append((word, i))
+            out += [(word[:n] + "*", i) for n in STEMS if n < len(word)]
+    return out
 
+
+def toxic_marks(sample: DataFrame, least: int) -> DataFrame:
+    """(word, n_toxic) of keys in ``least`` toxic documents and different surroundings or more.
+
+    ``n_toxic`` is the smaller of both numbers: copies of a document share the words next to
+    a key, and a key repeated in one document stands in one document."""
     def run(batches):
         for batch in batches:
-            counts = Counter(), Counter()
-            for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                keys = set()
-                for word in {w.decode("utf-8", "replace") for w in alnum_words(text or b"")}:
-                    if len(word) >= STEMS.start:
-                        keys.add(word)
-                        keys |= {word[:n] + "*" for n in STEMS if n < len(word)}
-                counts[bool(y)].update(keys)
-            keys = list(counts[0].keys() | counts[1].keys())
+            found = set()
+            for text, row in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                words = [w.decode("utf-8", "replace") for w in alnum_words(text or b"")]
+                around = ["", *words, ""]
+                for key, i in keys_of(words):
+                    found.add((key, zlib.crc32(f"{around[i]} {around[i + 2]}".encode()), row))
+            columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()),
-                 pa.array([counts[0][k] for k in keys], pa.int64())], names=["word", "n_toxic", "n_clean"])
+                [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["word", "around", "row"])
+
+    rows = sample.where("y > 0").select("text", F.xxhash64("text").alias("row")).mapInArrow(
+        run, "word string, around bigint, row bigint")
+    n = F.least(F.countDistinct("around"), F.countDistinct("row"))
+    return rows.groupBy("word").agg(n.alias("n_toxic")).where(F.col("n_toxic") >= least)
+
+
+def clean_counts(sample: DataFrame, marks: list[str] | None) -> DataFrame:
+    """(word, n_clean): clean documents with each of the marks, or with any word if None."""
+    wanted = None if marks is None else set(marks)
+
+    def run(batches):
+        for batch in batches:
+            counts = Counter()
+            for text in as_bytes(batch.column(0)):
+                words = list({w.decode("utf-8", "replace") for w in alnum_words(text or b"")})
+                counts.update(words if wanted is None else {k for k, _ in keys_of(words) if k in wanted})
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                             names=["word", "n_clean"])
 
-    return sample.mapInArrow(run, schema).groupBy("word").agg(
-        F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
+    rows = sample.where("y <= 0").select("text").mapInArrow(run, "word string, n_clean bigint")
+    return rows.groupBy("word").agg(F.sum("n_clean").alias("n_clean"))
 
 
 def lexicon(entries: list[tuple[str, int, int]]) -> tuple[list[str], list[str]]:
     """Words and stems from (key, toxic, clean) counts. A stem is left out where a shorter
-    one marks as many toxic documents for its clean ones."""
+    one marks as many toxic documents for its clean ones. The many forms of one stem are
+    left to the stem; words of their own are kept, to be matched with misspellings."""
     stems: dict[str, tuple[int, int]] = {}
     for key, bad, good in sorted(entries, key=lambda e: (len(e[0]), e[0])):
         if not key.endswith("*"):
@@ -256,7 +292,10 @@ def lexicon(entries: list[tuple[str, int, int]]) -> tuple[list[str], list[str]]:
         shorter = [stems[key[:n]] for n in range(STEMS.start, len(key) - 1) if key[:n] in stems]
         if not any(b >= bad and g * bad <= (good + 1) * b for b, g in shorter):
             stems[key[:-1]] = (bad, good)
-    return sorted(k for k, _, _ in entries if not k.endswith("*")), sorted(stems)
+    words = [k for k, _, _ in entries if not k.endswith("*")]
+    prefixes = [next((w[:n] for n in STEMS if w[:n] in stems), w) for w in words]
+    forms = Counter(prefixes)
+    return sorted(w for w, p in zip(words, prefixes) if forms[p] <= FORMS), sorted(stems)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -265,13 +304,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     n_bad, n_good = totals.get(True, 0), totals.get(False, 0)
     if not n_bad or not n_good:
         return Model()
-    counts = checkpointed(key_counts(sample))
-    a, b = F.col("n_toxic") + 0.5, F.col("n_clean") + 0.5
-    odds = F.log(a / (n_bad + 1 - a)) - F.log(b / (n_good + 1 - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    # Mostly seen in toxic documents, and not by chance.
-    marks = (F.col("n_toxic") >= LEAST_ROWS) & (z >= LEAST_Z) & (F.col("n_toxic") > F.col("n_clean"))
-    kept = counts.where(marks).orderBy(z.desc(), "word").limit(LEXICON).collect()
+    least = max(LEAST_ROWS, math.ceil(LEAST_SHARE * n_bad))
+    found = toxic_marks(sample, least).orderBy(F.desc("n_toxic"), "word").limit(CANDIDATES).collect()
+    n_toxic = {r["word"]: r["n_toxic"] for r in found}
+    n_clean = {r["word"]: r["n_clean"] for r in clean_counts(sample, list(n_toxic)).collect()}
+    kept = []
+    for word, bad in n_toxic.items():
+        good = n_clean.get(word, 0)
+        a, b = bad + 0.5, good + 0.5
+        odds = math.log(a / (n_bad + 1 - a)) - math.log(b / (n_good + 1 - b)) if a < n_bad + 1 and b < n_good + 1 else 0.0
+        # Mostly seen in toxic documents, and not by chance.
+        if bad >= PURITY * good and odds / math.sqrt(1 / a + 1 / b) >= LEAST_Z:
+            kept.append({"word": word, "n_toxic": bad, "n_clean": good})
+    kept = sorted(kept, key=lambda r: (-r["n_toxic"], r["word"]))[:LEXICON]
     words, stems = lexicon([(r["word"], r["n_toxic"], r["n_clean"]) for r in kept])
     model = Model(words, stems)
 
@@ -280,8 +325,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         for batch in batches:
             yield batch.filter(pa.array([matcher.match(w) == 2 for w in batch.column(0).to_pylist()], pa.bool_()))
 
-    clean = counts.where((F.col("n_clean") > 0) & ~F.endswith("word", F.lit("*")))
-    alike = clean.mapInArrow(near, counts.schema).orderBy(F.desc("n_clean"), "word").limit(EXCEPTIONS)
+    clean = clean_counts(sample, None)
+    alike = clean.mapInArrow(near, clean.schema).orderBy(F.desc("n_clean"), "word").limit(EXCEPTIONS)
     model.exceptions = {r["word"] for r in alike.collect()}
 
     def measured(batches):
