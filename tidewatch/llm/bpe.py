@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from tidewatch.llm.texts import add_result, fresh
+from tidewatch.llm.texts import add_result, bound_batches, fresh
 from tidewatch.session import with_tasks
 
 with_tasks(__name__)
@@ -37,8 +36,8 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # Below this code point all Unicode versions agree on letters, digits and spaces. Texts with
 # later characters are cut by the tokenizer library, whose version the ids must follow.
 SETTLED = "՘"
-# Pieces up to this size are remembered, up to this many per task.
-KEPT_PIECE, KEPT_PIECES = 64, 500_000
+# Pieces up to this size are remembered, up to this many per task, and so many tested pairs.
+KEPT_PIECE, KEPT_PIECES, KEPT_PAIRS = 64, 150_000, 100_000
 NEVER = 1 << 60
 
 
@@ -79,21 +78,35 @@ class Encoder:
             if token not in special and (len(raw) == 1 or token in made):
                 self.automaton.add_word(raw.decode("latin-1"), (token, len(raw)))
         self.automaton.make_automaton()
-        self.apart = lru_cache(maxsize=1 << 20)(self._apart)
-        self.edge = lru_cache(maxsize=1 << 18)(self._edge)
+        # Plain tables: an encoder must hold no cycle, so that it goes when its task ends.
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+    def edge(self, top: int, side: int) -> list[tuple[int, int]]:
         """(token, rank of the merge that uses it up) down one edge of a token's merge tree."""
-        out, until = [], NEVER
+        if (top, side) in self.edges:
+            return self.edges[top, side]
+        out, token, until = [], top, NEVER
         while True:
             out.append((token, until))
             if token not in self.halves:
-                return out
+                break
             until = self.rank[token]
             token = self.halves[token][side]
+        self.edges[top, side] = out
+        return out
+
+    def apart(self, left: int, right: int) -> bool:
+        """True if no merge crosses the seam of two tokens."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[left, right] = self._apart(left, right)
+        return known
 
     def _apart(self, left: int, right: int) -> bool:
-        """True if no merge crosses the seam. Of equal merges the leftmost is made first."""
+        # Of equal merges the leftmost is made first.
         for a, a_until in self.edge(left, 1):
             for b, b_until in self.edge(right, 0):
                 rank = self.merge.get((a, b), NEVER)
@@ -178,6 +191,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Append the text of each array of ids; bytes that are not UTF-8 become U+FFFD."""
+    bound_batches(df)
     tokens = Vocabulary(path).tokens
     out = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
     at = df.columns.index(ids)
