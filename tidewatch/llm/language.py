@@ -38,7 +38,7 @@ LANGUAGES, SAMPLE_ROWS, SAMPLE_BYTES = 64, 150, 600_000
 LEXICON = 4_000
 BITS = 15
 SEQUENCE, EPOCHS, RATE, DECAY = 64, 30, 0.15, 1e-4
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 UNKNOWN = "und"
 
 

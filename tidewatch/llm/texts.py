@@ -13,8 +13,9 @@ from tidewatch.session import with_tasks
 
 with_tasks(__name__)
 
-# Python handles a batch in pieces of about this many bytes of text, whole texts each.
-PIECE_BYTES = 8 << 20
+# Rows go to Python in batches of about this many bytes, and are handled in pieces of about
+# this many bytes of text, whole texts each.
+BATCH_BYTES, PIECE_BYTES = 8 << 20, 4 << 20
 
 
 def _fold() -> tuple[bytes, bytes]:
@@ -62,6 +63,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.string()).cast(pa.binary()).to_pylist()
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Texts are long: the engine's own limit on a batch is more than a worker should hold."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def add_result(df: DataFrame, column: str, result: T.StructType, name: str,
                start: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]]) -> DataFrame:
     """Append the struct column ``name``, computed from the texts in ``column``.
@@ -69,6 +75,7 @@ def add_result(df: DataFrame, column: str, result: T.StructType, name: str,
     ``start`` is called once per task and gives a function from a list of texts (UTF-8
     or None) to one Arrow array per field. Rows stay where they are: no shuffle.
     """
+    bound_batches(df)
     out = T.StructType([*df.schema.fields, T.StructField(name, result)])
     arrow, at = to_arrow_schema(out), df.columns.index(column)
     kind = arrow.field(len(arrow) - 1).type
