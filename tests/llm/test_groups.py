@@ -81,6 +81,14 @@ def test_one_of_each_group_stays(make):
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 7, 9, 10] and ids.count(None) == 1
 
 
+def test_unrelated_texts_with_equal_or_no_ids_stay(make):
+    rows = [(None, "one text without an id", "a"), (None, "quite another thing nobody has numbered", "b"),
+            (3, "first text under this number", "a"), (3, "unrelated words that share the number", "b"),
+            (4, "first text under this number", "c")]
+    kept = sorted(r.text for r in simhash.keep_one(make(rows)).collect())
+    assert kept == sorted(t for _, t, _ in rows[:4])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(3, 3), (8, 7), (39, 41)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "x bigint, y bigint")).collect()}

@@ -104,9 +104,10 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, bits, component): a row per document, ids as given but for null (``NO_ID``).
+    """(id, bits, component, root): a row per document, ids as given but for null (``NO_ID``).
 
-    ``component`` is the smallest id that can be reached by links."""
+    ``component`` is the smallest id that can be reached by links; several groups can have
+    the same one. ``root`` is the smallest fingerprint of the group and tells groups apart."""
     named, name = add_fingerprints(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")), "t")
     key = F.coalesce(F.col("id"), F.lit(NO_ID)).alias("id")
     rows = checkpointed(named.select(key, F.col(name)["bits"].alias("bits")))
@@ -115,8 +116,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rooted = prints.join(roots, prints["bits"] == roots["node"], "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    placed = rooted.join(smallest, "root").select("bits", "component")
-    return rows.join(placed, "bits").select("id", "bits", "component")
+    placed = rooted.join(smallest, "root").select("bits", "component", "root")
+    return rows.join(placed, "bits").select("id", "bits", "component", "root")
 
 
 def hex_bits(bits: str) -> F.Column:
@@ -134,7 +135,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     """One document of each group, with the columns it came with: the one with the smallest
     id. Texts move once, by id and fingerprint."""
     found = near_duplicates(docs, id_column, text)
-    keepers = found.groupBy("component").agg(F.min(F.struct("id", "bits")).alias("k")).select("k.id", "k.bits")
+    keepers = found.groupBy("root").agg(F.min(F.struct("id", "bits")).alias("k")).select("k.id", "k.bits")
     named, name = add_fingerprints(docs, text)
     taken = [fresh(named, n) for n in ("keep_id", "keep_bits", "keep_nth")]
     keepers = keepers.toDF(*taken[:2])
