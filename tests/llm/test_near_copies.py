@@ -7,7 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.conftest import ODD
-from tidewatch.llm import near_copies
+from tidewatch.llm import lines, near_copies
 
 
 def changed(words, share, rng):
@@ -69,6 +69,31 @@ def test_near_copies_go_from_the_pipeline(spark, make):
     assert sorted(i for i in kept if i) == [900_001, 900_005] and kept.count(None) == 2
 
 
+def test_a_text_copied_to_many_sites_stays_whole_once(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    text = "\n".join(" ".join(f"copied{i}x{k}" for k in range(20)) for i in range(8))
+    rows = [(920_000 + i, text, f"site{i}") for i in range(12)]
+    rows += [(930_000 + i, "standing on every page\n" + " ".join(f"own{i}x{k}" for k in range(30)), f"site{i}") for i in range(12)]
+    more = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], docs.schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, str(tmp_path)).cache()
+    left = {r.doc_id: r.text for r in table.where("doc_id >= 920000").collect()}
+    assert left[920_000] == text and len(left) == 13
+    assert all(left[930_000 + i].startswith(f"own{i}x0") for i in range(12))
+
+
+def test_texts_near_and_far_from_the_threshold(make):
+    """Lines on many sites, in a number of distinct texts on both sides of the threshold."""
+    rows = [(n * 1_000 + i, f"line {n}\nown {n} {i % n}", f"site{i}") for n in (1, 9, 10, 11, 30) for i in range(60)]
+    rows += [(90_000 + i, f"few sites\nown {i}", f"site{i % 9}") for i in range(60)]
+    left = {r.doc_id: r.text for r in lines.strip_boilerplate(make(rows), least=10, least_texts=10)[0].collect()}
+    assert all(left[i] == (t if i < 10_000 or i >= 90_000 else t.split("\n")[1]) for i, t, _ in rows)
+
+
 def test_one_of_each_group_of_odd_documents(make):
     docs = make(ODD, clash=True)
     kept = near_copies.keep_one(docs)

@@ -5,6 +5,10 @@ aggregation, partly before the shuffle, so a line that stands in a third of all
 costs one small sketch per task. Where the estimate is clearly under or over the
 threshold it decides; lines near it get an exact count of distinct sites.
 
+A line can also be asked to stand in a number of distinct texts (``least_texts``), counted
+in the same way, so that the copies of one text, on however many sites, mark none of its
+lines. The pipeline asks for it; the statement of op4 counts sites only.
+
 A line is the text between line feeds, without spaces, tabs and carriage returns at its
 ends; lines that are empty then are always kept. Lines are told apart by a 64-bit hash
 and their length. Rows without a site count for none. A null text stays null and has no
@@ -20,6 +24,8 @@ from tidewatch.llm.texts import fresh
 from tidewatch.session import checkpointed
 
 LEAST_SITES = 10
+# Distinct texts that a line has to stand in where copies must not count (the pipeline).
+LEAST_TEXTS = 10
 # Sketches of 2^12 registers are within 1.6 percent in two cases of three; a line within
 # eight times that of the threshold is counted exactly.
 REGISTERS, NEAR = 12, 0.13
@@ -40,22 +46,31 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(lines: DataFrame, site: str = "site", least: int = LEAST_SITES) -> DataFrame:
-    """Keys (hash, size) of the lines on ``least`` sites or more. ``lines`` has hash, size and site."""
+def boilerplate(lines: DataFrame, site: str = "site", least: int = LEAST_SITES, least_texts: int = 1) -> DataFrame:
+    """Keys (hash, size) of the lines on ``least`` sites or more and in ``least_texts`` distinct
+    texts or more. ``lines`` has hash, size, text_key and site."""
     known = lines.where(F.col(site).isNotNull())
-    sketch = F.hll_sketch_estimate(F.hll_sketch_agg(site, F.lit(REGISTERS)))
+    # What is sketched, what is counted, and the threshold; any line stands in one text.
+    measures = {"sites": (F.col(site), site, least)}
+    if least_texts > 1:
+        measures["texts"] = (F.col("text_key")["h1"], "text_key", least_texts)
+    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(REGISTERS))).alias(n) for n, (c, _, _) in measures.items()]
+    rough = known.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("n"), *sketches)
     # Fewer rows than the threshold can't stand on that many sites; most lines end here.
-    rough = checkpointed(known.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("n"), sketch.alias("sites"))
-                         .where((F.col("n") >= least) & (F.col("sites") >= least * (1 - NEAR))))
-    sure = rough.where(F.col("sites") > least * (1 + NEAR)).select("hash", "size")
-    near = rough.where(F.col("sites") <= least * (1 + NEAR)).select("hash", "size")
-    pairs = known.join(near, ["hash", "size"], "left_semi").groupBy("hash", "size", site).agg(F.lit(1))
-    exact = pairs.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= least)
-    return sure.union(exact.select("hash", "size"))
+    for name, (_, _, most) in measures.items():
+        rough = rough.where((F.col("n") >= most) & (F.col(name) >= most * (1 - NEAR)))
+    found = checkpointed(rough)
+    for name, (_, column, most) in measures.items():
+        sure = found.where(F.col(name) > most * (1 + NEAR))
+        near = found.where(F.col(name) <= most * (1 + NEAR))
+        pairs = known.join(near, ["hash", "size"], "left_semi").groupBy("hash", "size", column).agg(F.lit(1))
+        exact = pairs.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("exact")).where(F.col("exact") >= most)
+        found = sure.union(near.join(exact.select("hash", "size"), ["hash", "size"]).select(*found.columns))
+    return found.select("hash", "size")
 
 
 def strip_boilerplate(docs: DataFrame, least: int = LEAST_SITES, text: str = "text",
-                      site: str = "source") -> tuple[DataFrame, str, str]:
+                      site: str = "source", least_texts: int = 1) -> tuple[DataFrame, str, str]:
     """All rows with the boilerplate lines taken out of the text, and the names of two more
     columns: lines before, and lines taken out.
 
@@ -68,7 +83,7 @@ def strip_boilerplate(docs: DataFrame, least: int = LEAST_SITES, text: str = "te
                 .where(F.col("line").isNotNull())
                 .select("text_key", "site", F.col("line.hash").alias("hash"), F.col("line.size").alias("size")))
     exploded = checkpointed(exploded)
-    found = checkpointed(boilerplate(exploded, least=least))
+    found = checkpointed(boilerplate(exploded, least=least, least_texts=least_texts))
     per_text = (exploded.join(found, ["hash", "size"], "left_semi")
                 .groupBy("text_key").agg(F.collect_set(F.struct("hash", "size")).alias(names["bad"]))
                 .withColumnRenamed("text_key", names["text_key"]))
