@@ -12,6 +12,10 @@ spliced: half of them change language once or more, which is what the transition
 are learned from. The sample is bounded per language by rows and bytes; the number of
 languages is bounded too.
 
+Words end at ASCII signs, so scripts without spaces give long runs. A run of more than
+``LONGEST`` characters is cut into units of about ``UNIT`` characters, which stand in the
+chain, and are counted in spans, like words. All of its n-grams and its true ends are features.
+
 A text that is null or has no letter is ``und`` with score 0. If nothing can be learned,
 every text is.
 """
@@ -37,13 +41,29 @@ with_tasks(__name__)
 LANGUAGES, SAMPLE_ROWS, SAMPLE_BYTES = 64, 150, 600_000
 LEXICON = 4_000
 BITS = 15
+LONGEST, UNIT = 64, 16
 SEQUENCE, EPOCHS, RATE, DECAY = 64, 30, 0.15, 1e-4
 KNOWN_WORDS = 200_000
 UNKNOWN = "und"
 
 
+def units(word: bytes) -> list[bytes]:
+    """A word, or the units of a long one. A sign that no word has, ``-``, stands where a unit
+    was cut off; the two characters after a cut follow it, for the n-grams across."""
+    run = word.decode("utf-8", "replace")
+    if len(run) <= LONGEST:
+        return [word]
+    count = -(-len(run) // UNIT)
+    cuts = [len(run) * i // count for i in range(count + 1)]
+    return [("-" * (lo > 0) + run[lo:hi] + ("-" + run[hi:hi + 2]) * (hi < len(run))).encode()
+            for lo, hi in zip(cuts, cuts[1:])]
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.decode("utf-8", "replace").lower().encode().translate(ALNUM).split()
+    words = text.decode("utf-8", "replace").lower().encode().translate(ALNUM).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [u for w in words for u in (units(w) if len(w) > LONGEST else (w,))]
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -52,11 +72,13 @@ def has_letter(text: bytes | None) -> bool:
 
 def feature_ids(raw: bytes, lexicon: set[bytes]) -> list[int]:
     """Hashed features of a word: affixes, letter n-grams, lexicon entry, kind."""
-    word = raw.decode("utf-8", "replace")[:64]
-    names = [f"^{word[:n]}" for n in (1, 2, 3, 4) if n <= len(word)]
-    names += [f"{word[-n:]}$" for n in (1, 2, 3, 4) if n <= len(word)]
-    names += [word[i:i + n] for n in (1, 2, 3) for i in range(len(word) - n + 1)]
-    names.append("#0" if word.isdigit() else "#a")
+    word = raw.decode("utf-8", "replace")
+    body, cut, ahead = word.removeprefix("-").partition("-")
+    names = [] if word[:1] == "-" else [f"^{body[:n]}" for n in (1, 2, 3, 4) if n <= len(body)]
+    names += [] if cut else [f"{body[-n:]}$" for n in (1, 2, 3, 4) if n <= len(body)]
+    run = body + ahead
+    names += [run[i:i + n] for n in (1, 2, 3) for i in range(min(len(body), len(run) - n + 1))]
+    names.append("#0" if body.isdigit() else "#a")
     if raw in lexicon:
         names.append("=" + word)
     mask = (1 << BITS) - 1
