@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_models import SYLLABLES, made_text
 from tidewatch.llm import language
 
@@ -26,3 +28,12 @@ def test_units_hold_every_feature_once():
         assert len(parts) > 1 and "".join(p.decode().removeprefix("-").partition("-")[0] for p in parts) == run
         assert got == sorted(language.feature_ids(run.encode(), set()) + [kind] * (len(parts) - 1))
     assert language.words_of(b"a " + b"b" * 64) == [b"a", b"b" * 64]
+
+
+def test_a_long_text_leaves_out_no_shorter_ones(spark, make):
+    ids = spark.range(60).where(~language.held_out("id"))
+    first = ids.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)).first()[0]
+    ids = [r.id for r in ids.collect()]
+    docs = make([(i, "very long " * 200 if i == first else f"short {i}", "s") for i in ids])
+    found = [t for t, _ in language.training_texts(docs, size=1_500)]
+    assert sorted(found) == sorted(f"short {i}".encode() for i in ids if i != first)

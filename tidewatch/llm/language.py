@@ -209,7 +209,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[bytes, str]]:
-    """About ``rows`` whole texts per language, of ``size`` bytes in all (or one text).
+    """About ``rows`` whole texts per language, of ``size`` bytes in all (or one text). Texts of
+    more than a third of ``size`` come last, so they leave out no shorter ones.
 
     Rows are thinned out by a hash of the id and the count of their language, so what is
     sorted and collected is bounded whatever the size of the table."""
@@ -222,7 +223,7 @@ def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_
     shares = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, rows / n))])
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     thin = known.withColumn("u", u).where(F.col("u") < F.coalesce(shares[F.col("lang")], F.lit(0.0)))
-    order = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
+    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > size // 3, "u", "doc_id", "text")
     thin = thin.withColumns({"nth": F.row_number().over(order), "sum": F.sum(F.octet_length("text")).over(order)})
     taken = thin.where((F.col("nth") == 1) | ((F.col("nth") <= 2 * rows) & (F.col("sum") <= size)))
     return [(r["text"].encode(), r["lang"]) for r in taken.orderBy("lang", "nth").collect()]
