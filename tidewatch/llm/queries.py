@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import (
-    bpe, decontaminate, embeddings, language, licenses, lines, sharding, simhash, substrings, toxicity)
+    bpe, decontaminate, embeddings, language, licenses, lines, resampling, sharding, simhash, substrings, token_counts,
+    toxicity, whitening)
 from tidewatch.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY, WORDS = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 
 
 def query(name: str, check: str | None = None):
@@ -146,3 +148,67 @@ FROM d LEFT JOIN k USING (r)
 """)
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeat_report(table(spark, folder, "documents"))
+
+
+@query("op11_resampling", r"""
+WITH remainders AS (
+  SELECT list(c ORDER BY b) AS t
+  FROM (SELECT b, list_reduce(list_prepend(CAST(b AS UBIGINT), CAST(range(8) AS UBIGINT[])),
+                              lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) bytes(b))),
+texts AS (
+  SELECT row_number() OVER () AS r, 0 AS side, doc_id, text FROM documents
+  UNION ALL SELECT -row_number() OVER (), 1, NULL, text FROM benchmark),
+split AS (
+  SELECT r, side, doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM texts),
+words AS (SELECT r, side, unnest(ws) AS w FROM split),
+hexes AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+octets AS (
+  SELECT w, list_transform(range(0, len(h) // 2), lambda i: CAST(
+           (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16
+           + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS UBIGINT)) AS o
+  FROM hexes),
+buckets AS (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), o),
+                            lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS b
+  FROM octets, remainders),
+counts AS (
+  SELECT b, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t
+  FROM words JOIN buckets USING (w) GROUP BY b),
+totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS ss, CAST(coalesce(sum(t), 0) AS DOUBLE) AS tt FROM counts),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (ss + 10000) / ((CAST(s AS DOUBLE) + 1) * (tt + 10000))))
+                 AS BIGINT) AS gain
+  FROM counts, totals),
+sums AS (
+  SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g
+  FROM words JOIN buckets USING (w) JOIN gains USING (b) WHERE side = 0 GROUP BY r),
+noise AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+         CAST('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8) AS UBIGINT) AS h
+  FROM split LEFT JOIN sums USING (r) WHERE side = 0),
+scored AS (
+  SELECT r, doc_id, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM noise),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+""")
+def resampled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_token_counts")
+def tokens_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_report(table(spark, folder, "documents"), WORDS)
+
+
+@query("op13_whitening")
+def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten_report(table(spark, folder, "embeddings"))
