@@ -33,13 +33,15 @@ SLICE = "_slice"
 # A slice holds this many rows at most, give or take the error of the range
 # sampling, and small tables are not cut finer than the lower number.
 SLICE_ROWS, SMALL_SLICE_ROWS = 2_000_000, 500_000
+# Nor does it hold more bytes than this, where the size of a row is given.
+SLICE_BYTES = 256 << 20
 
 
-def slice_count(df: DataFrame) -> int:
-    """Slices for a table: as many as its rows need, else as the session's partitions."""
-    rows = df.count()
+def slice_count(df: DataFrame, size: Column | None = None) -> int:
+    """Slices for a table: as many as its rows and bytes need, else as the session's partitions."""
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(F.lit(0) if size is None else size)).first()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-rows // SLICE_ROWS), min(partitions, -(-rows // SMALL_SLICE_ROWS)))
+    return max(1, -(-rows // SLICE_ROWS), -(-(held or 0) // SLICE_BYTES), min(partitions, -(-rows // SMALL_SLICE_ROWS)))
 
 
 def cut(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:

@@ -88,7 +88,9 @@ def number_text(value: Column) -> Column:
     tail = F.substring(digits, F.lit(2), F.length(digits))
     power = F.concat(F.left(digits, F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"),
                      F.when(exponent > 0, "+").otherwise("-"), text(F.abs(exponent)))
-    return (F.when(value == 0, "0").when(exponent.isNull(), F.concat(sign, mantissa))
+    # Few numbers have an exponent; the others are shown as they are.
+    plain = F.when(F.endswith(shown, F.lit(".0")), F.left(shown, F.length(shown) - 2)).otherwise(shown)
+    return (F.when(value == 0, "0").when(~F.contains(shown, F.lit("E")), plain)
             .when(exponent.between(0, 20), F.concat(sign, large))
             .when(exponent.between(-6, -1), F.concat(sign, small)).otherwise(F.concat(sign, power)))
 

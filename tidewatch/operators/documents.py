@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.functions.text import WHITE_SPACE, script_number, text, trim_white
+from tidewatch.functions.text import WHITE_SPACE, text, trim_white
+from tidewatch.operators.nested import flat_to_json, json_nodes, json_quote, json_to_flat, json_type  # noqa: F401
 from tidewatch.operators.requests import first_match
-from tidewatch.session import with_tasks
-
-with_tasks(__name__)
 
 # Markers of the text protocol between nodes.
 ROW, COMMA, QUERY_SEP = "__ROW__", "__COMMA__", "__QUERY_SEP__"
@@ -40,144 +32,6 @@ def json_records(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return rows.withColumns({"success": known & parsed, "reason": reason})
 
 
-def json_type(value: Column) -> Column:
-    """null, array, object, string, boolean or number; missing values have no type."""
-    schema = F.schema_of_variant(value)
-    return first_match([
-        (value.isNull(), F.lit(None).cast("string")), (schema == "VOID", F.lit("null")),
-        (F.startswith(schema, F.lit("ARRAY")), F.lit("array")), (F.startswith(schema, F.lit("OBJECT")), F.lit("object")),
-        (schema == "STRING", F.lit("string")), (schema == "BOOLEAN", F.lit("boolean"))], F.lit("number"))
-
-
-def json_nodes(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Every node below the top of each record: id, dotted path, type and text value.
-
-    The depth of a record is not known, so each is unfolded by a small helper in one pass
-    over Arrow batches. Unreadable records have no nodes, and neither have records nested
-    deeper than a parser follows. Half of a surrogate pair becomes a question mark.
-    """
-    id_field = rows.schema[id_col]
-    schema = T.StructType([id_field, T.StructField("path", T.StringType()), T.StructField("type", T.StringType()),
-                           T.StructField("value", T.StringType())])
-    arrow = to_arrow_schema(schema)
-
-    def unfold(batches):
-        for batch in batches:
-            ids, paths, types, values = [], [], [], []
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, kind, value in _nodes(body):
-                    ids.append(key)
-                    paths.append(path)
-                    types.append(kind)
-                    values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([ids, paths, types, values], arrow)],
-                                             schema=arrow)
-
-    return rows.select(id_col, json_col).mapInArrow(unfold, schema)
-
-
-def _refuse(name: str):
-    raise ValueError(name)
-
-
-def _nodes(body: str | None):
-    """(path, type, text) of each node below the top of a JSON text, outermost first."""
-    try:
-        todo = [("", json.loads(body, parse_constant=_refuse))]
-    except (TypeError, ValueError, RecursionError):
-        return
-    while todo:
-        path, value = todo.pop()
-        inner = list(enumerate(value)) if isinstance(value, list) else list(value.items()) if isinstance(value, dict) else []
-        if path:
-            yield path, _KINDS[type(value)], None if isinstance(value, (list, dict)) else _scalar_text(value)
-        todo += [(f"{path}.{_whole(str(name))}" if path else _whole(str(name)), child) for name, child in reversed(inner)]
-
-
-_KINDS = {list: "array", dict: "object", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
-
-
-def _whole(value: str) -> str:
-    """Text that has a UTF-8 form."""
-    return value if value.isascii() else value.encode("utf-8", "replace").decode()
-
-
-def _scalar_text(value):
-    if value is None:
-        return None
-    if isinstance(value, str):
-        return _whole(value)
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return script_number(value)
-
-
-def json_to_flat(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Scalar leaves as (id, dotted path, value); empty containers and nulls vanish."""
-    return json_nodes(rows, id_col, json_col).where(~F.col("type").isin("array", "object", "null"))
-
-
-def json_quote(value: Column) -> Column:
-    quoted = F.to_json(F.array(value))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-
-
-def flat_to_json(flat: DataFrame, id_col: str) -> DataFrame:
-    """Nested JSON text per id from (id, path, value, ord); values are JSON text.
-
-    The later of two equal paths wins, keys stand in the order they first came, and
-    a path below a scalar is dropped unless the scalar counts as absent. One
-    shuffle brings the rows of a record together; a group is one record.
-    """
-    entries = F.array_sort(F.collect_list(F.struct("ord", "path", "value")))
-    rows = flat.groupBy(id_col).agg(entries.alias("_e"))
-    return rows.select(id_col, _nested(F.col("_e.path"), F.col("_e.value")).alias("json"))
-
-
-@F.pandas_udf(T.StringType())
-def _nested(paths: pd.Series, values: pd.Series) -> pd.Series:
-    return pd.Series([_written(_build(p, v)) for p, v in zip(paths, values)])
-
-
-def _build(paths, values) -> dict:
-    top: dict = {}
-    for path, value in zip(paths, values):
-        *parents, last = path.split(".")
-        spot = top
-        for name in parents:
-            inner = spot.get(name)
-            if not isinstance(inner, dict):
-                if inner is not None and inner not in _ABSENT:
-                    spot = None
-                    break
-                inner = spot[name] = {}
-            spot = inner
-        if spot is not None:
-            spot[last] = value
-    return top
-
-
-# JSON texts of the values that count as absent.
-_ABSENT = ('""', "0", "false", "null")
-
-
-def _written(top) -> str:
-    """JSON text of nested objects whose other values are JSON text already."""
-    out, todo = [], [top]
-    while todo:
-        node = todo.pop()
-        if isinstance(node, str):
-            out.append(node)
-        elif not isinstance(node, dict):
-            out.append("null" if node is None else str(node))
-        else:
-            out.append("{")
-            members = [x for i, (name, value) in enumerate(node.items())
-                       for x in (("," if i else "") + json.dumps(_whole(name), ensure_ascii=False) + ":", value)]
-            todo += ["}", *reversed(members)]
-    return "".join(out)
-
-
 def expand_typed(rows: DataFrame, value: str) -> DataFrame:
     """Parse values that start with ``json:``; each bad value has a reason of its own.
 

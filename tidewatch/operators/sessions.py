@@ -9,6 +9,7 @@ from tidewatch.functions.ordered import SLICE, chain, cut, running
 from tidewatch.functions.skew import attach
 from tidewatch.functions.text import blank, replace_first
 from tidewatch.operators.requests import first_match
+from tidewatch.operators.scripts import match_script  # noqa: F401
 from tidewatch.session import checkpointed
 
 CRLF = "\r\n"
@@ -140,53 +141,3 @@ def health_alerts(metrics: DataFrame, process: str, order: list[str], ts_ms: str
     rows = rows.withColumns({"uptime_seconds": uptime, "instantiate": F.col("anchor_before").isNull()})
     return (rows.withColumn("ttl_expired", F.col("uptime_seconds") > ttl_seconds)
             .withColumnRenamed("is_anchor", "restart").drop(SLICE, "anchor", "anchor_before"))
-
-
-def match_script(chunks: DataFrame, conn: str, seq: str, text: str, expected: list[str],
-                 slices: int | None = None) -> DataFrame:
-    """Walk each connection through a list of expected texts.
-
-    Text accumulates until it contains the current text, then it is cleared and the
-    next one is awaited. Data after the last match is an error. A match may start
-    in an earlier chunk: each chunk sees the few characters before it, and every
-    step is one aggregation over the chunks, however long the connection.
-    """
-    span = max(len(e) for e in expected) - 1
-    filled = chunks.select(conn, seq, text).where(F.col(text) != "")
-    cut_rows = cut(filled, [conn], [seq], slices)
-    near = F.struct(F.col(seq).alias("s"), F.right(text, F.lit(max(span, 1))).alias("t"),
-                    (F.length(text) <= max(span, 1)).alias("whole"))
-    rows = running(cut_rows, [conn], [seq], previous={"_near": (near, max(span, 1))})
-
-    def latest_start(needle: str) -> Column:
-        """Start of the shortest run of chunks, ending in this one, that holds the needle."""
-        runs = F.sequence(F.lit(0), F.least(F.size("_near"), F.lit(len(needle) - 1)))
-        head = lambda j: F.slice("_near", F.size("_near") - j + 1, j)
-        inner = lambda j: F.slice("_near", F.size("_near") - j + 2, F.greatest(j - 1, F.lit(0)))
-        holding = F.filter(runs, lambda j: F.forall(inner(j), lambda n: n["whole"]) & F.contains(
-            F.concat(F.array_join(F.transform(head(j), lambda n: n["t"]), ""), F.col(text)), F.lit(needle)))
-        j = F.get(holding, F.lit(0))
-        return (F.when(F.contains(text, F.lit(needle)), F.col(seq))
-                .when(j > 0, F.get("_near", F.size("_near") - j)["s"]))
-
-    names = [f"_h{i}" for i in range(len(expected))]
-    hits = rows.select(conn, seq, *[latest_start(e).alias(n) for n, e in zip(names, expected)])
-    # Every step reads the matches again, so they are written once; other chunks are done with.
-    hits = checkpointed(hits.where(F.coalesce(*names).isNotNull()))
-    state = chunks.groupBy(conn).agg(F.max(F.when(F.col(text) != "", F.col(seq))).alias("_end"), F.count(F.lit(1)).alias("_rows"))
-    state = state.withColumns({"matched": F.lit(0), "done_seq": F.lit(None).cast("bigint")})
-    for i in range(len(expected)):
-        reached = state.where(F.col("matched") == i).select(conn, "_rows", F.lit(True).alias("_here"), F.col("done_seq").alias("_at"))
-        later = F.col("_here") & (F.col("_at").isNull() | (F.col(f"_h{i}") > F.col("_at")))
-        hit = hits.where(F.col(f"_h{i}").isNotNull()).select(conn, seq, f"_h{i}")
-        step = (attach(hit, reached, [conn], "_rows", [seq]).where(later)
-                .groupBy(conn).agg(F.min(seq).alias("_next")))
-        # One row per connection, written so that the next step starts from it.
-        state = checkpointed(state.join(step, conn, "left").withColumns({
-            "matched": F.col("matched") + F.col("_next").isNotNull().cast("int"),
-            "done_seq": F.coalesce("_next", "done_seq")}).drop("_next"))
-    done = F.col("matched") == len(expected)
-    late = done & (F.col("_end") > F.col("done_seq"))
-    return state.select(conn, "matched", "done_seq", (done & ~late).alias("success"),
-                        first_match([(late, F.lit("More data transfer after finalized")), (~done, F.lit("waiting"))],
-                                    F.lit(None).cast("string")).alias("reason"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from tidewatch.operators import scripts
 from tidewatch.operators import sessions as s
 from tidewatch.plans import view_sql as v
 from tidewatch.plans.registry import query
 from tidewatch.sources.tables import micros, table
 from tidewatch.sources.views import chunks, monitor_events
 
-SCRIPT = ["a", "on", " de", "e", "ent"]
+# Texts and patterns, of which some go over the border of two chunks.
+SCRIPT = ["a", re.compile("[aeiou]n[^ ]{2,}"), " de", re.compile("(e|o)[a-z]* [a-z]+[.?,]"), "ent", re.compile("^[A-Z].*[a-z]")]
 
 
 @query("pipe_pairing", f"""
@@ -127,16 +131,18 @@ def health_alerts(spark, folder):
     return rows.drop("ts_us", "ts_ms", "mb")
 
 
-_EXPECT = "['" + "', '".join(SCRIPT) + "']"
+# A step as SQL: patterns are tested on the accumulated text, plain texts are looked for in it.
+_STEP = "CASE f.matched " + " ".join(
+    f"WHEN {i} THEN regexp_matches(f.acc || c.payload, '{e.pattern}')" if isinstance(e, re.Pattern)
+    else f"WHEN {i} THEN contains(f.acc || c.payload, '{e}')" for i, e in enumerate(SCRIPT)) + " END"
 
 
 @query("script_match", f"""
 WITH RECURSIVE {v.CHUNK}, c AS (SELECT *, row_number() OVER (PARTITION BY conn ORDER BY seq) AS nth, max(seq) OVER (PARTITION BY conn) AS end_seq FROM chunk),
 f AS (SELECT conn, CAST(0 AS BIGINT) AS nth, 0 AS matched, '' AS acc, CAST(NULL AS BIGINT) AS done_seq FROM (SELECT DISTINCT conn FROM chunk)
   UNION ALL
-  SELECT c.conn, c.nth, f.matched + CASE WHEN contains(f.acc || c.payload, {_EXPECT}[f.matched + 1]) THEN 1 ELSE 0 END,
-    CASE WHEN contains(f.acc || c.payload, {_EXPECT}[f.matched + 1]) THEN '' ELSE f.acc || c.payload END,
-    CASE WHEN contains(f.acc || c.payload, {_EXPECT}[f.matched + 1]) THEN c.seq ELSE f.done_seq END
+  SELECT c.conn, c.nth, f.matched + CASE WHEN {_STEP} THEN 1 ELSE 0 END, CASE WHEN {_STEP} THEN '' ELSE f.acc || c.payload END,
+    CASE WHEN {_STEP} THEN c.seq ELSE f.done_seq END
   FROM f JOIN c ON c.conn = f.conn AND c.nth = f.nth + 1 WHERE f.matched < {len(SCRIPT)}),
 l AS (SELECT conn, max(matched) AS matched, max(done_seq) AS done_seq FROM f GROUP BY conn),
 e AS (SELECT conn, max(seq) AS end_seq FROM chunk GROUP BY conn)
@@ -144,4 +150,4 @@ SELECT conn, matched, done_seq, matched = {len(SCRIPT)} AND done_seq = end_seq A
   CASE WHEN matched < {len(SCRIPT)} THEN 'waiting' WHEN end_seq > done_seq THEN 'More data transfer after finalized' END AS reason
 FROM l JOIN e USING (conn)""")
 def script_match(spark, folder):
-    return s.match_script(chunks(spark, folder), "conn", "seq", "payload", SCRIPT)
+    return scripts.match_script(chunks(spark, folder), "conn", "seq", "payload", SCRIPT)
