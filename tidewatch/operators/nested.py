@@ -1,4 +1,4 @@
-"""Nested JSON to flat rows and back, without collecting a record in Python."""
+"""Nested JSON to flat rows and back."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from json.decoder import scanstring
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.functions.text import script_number
 from tidewatch.operators.requests import first_match
-from tidewatch.session import checkpointed, with_tasks
+from tidewatch.session import with_tasks
 
 with_tasks(__name__)
 
-# Levels that are folded before what is left is written.
-LEVELS = 8
 # Nodes are sent on once their paths have this many signs.
 SENT_BYTES = 16 << 20
 # Whole numbers below this are shown with all their digits.
@@ -229,89 +228,52 @@ def json_quote(value: Column) -> Column:
 def flat_to_json(flat: DataFrame, id_col: str) -> DataFrame:
     """Nested JSON text per id from (id, path, value, ord); values are JSON text.
 
-    The later of two equal paths wins, keys stand in the order they first came, and a path below
-    a scalar is dropped unless the scalar counts as absent. The rows of a record become the nodes
-    of a tree, one row each, and objects are written from the deepest level up, each from its
-    members: no more than one object is ever in one value. Rows with equal ord stand in the order
-    of path and value; a record none of whose rows has a path is an empty object.
+    The later of two equal paths wins, keys stand in the order they first came, and
+    a path below a scalar is dropped unless the scalar counts as absent. One
+    shuffle brings the rows of a record together; a group is one record. Rows with equal ord
+    stand in the order of path and value; rows without a path are left out.
     """
-    at = F.struct("ord", "path", F.coalesce("value", F.lit("null")).alias("value"))
-    rows = flat.select(F.col(id_col).alias("id"), "path", at.alias("at"), F.lit(None).cast("int").alias("reach"))
-    nodes = checkpointed(_tree(rows))
-    mixed = nodes.where("own IS NOT NULL AND below IS NOT NULL").select("id").distinct()
-    if not mixed.isEmpty():
-        # Only records in which a path goes on below another one need a look at the order.
-        same = F.col("r.id").eqNullSafe(F.col("m.id"))
-        live = _in_force(rows.alias("r").join(mixed.alias("m"), same, "left_semi"))
-        plain = nodes.alias("r").join(mixed.alias("m"), same, "left_anti")
-        nodes = checkpointed(plain.unionByName(_tree(live)))
-    # A scalar that counts as absent gives way to what came below it later.
-    gone = F.col("own").isNull() | (F.col("below").isNotNull() & (F.col("below") > F.col("own"))
-                                    & F.col("own.value").isin(ABSENT))
-    nodes = nodes.select("id", "level", "path", "at", F.when(~gone, F.col("own.value")).alias("json"))
-    deepest = nodes.agg(F.max("level")).first()[0] or 0
-    written = nodes.where(F.col("json").isNotNull() & (F.col("level") == deepest)).select("id", "path", "at", "json")
-    for level in range(deepest - 1, -1, -1):
-        member = F.struct("at", F.concat(json_quote(F.element_at(F.split("path", r"\.", -1), -1)), F.lit(":"), "json").alias("text"))
-        up = _parent(F.col("path"), level)
-        here = nodes.where(F.col("level") == level)
-        below = written.select("id", up.alias("path"), F.lit(None).cast(nodes.schema["at"].dataType).alias("at"), member.alias("member"))
-        objects = here.where("json IS NULL").select("id", "path", "at", F.lit(None).cast(below.schema["member"].dataType).alias("member"))
-        folded = below.unionByName(objects).groupBy("id", "path").agg(
-            F.max("at").alias("at"), F.array_sort(F.collect_list("member")).alias("m"))
-        body = F.array_join(F.transform("m", lambda m: m["text"]), ",")
-        written = folded.select("id", "path", "at", F.concat(F.lit("{"), body, F.lit("}")).alias("json")).unionByName(
-            here.where("json IS NOT NULL").select("id", "path", "at", "json"))
-        if level and level % LEVELS == 0:
-            written = checkpointed(written)
-    return written.select(F.col("id").alias(id_col), "json")
-
-
-def _parent(path: Column, level: int) -> Column:
-    """Path of the object that holds a path; objects on level 0 are the records, without a path."""
-    return F.substring_index(path, ".", level) if level else F.lit("")
-
-
-def _upto(path: Column) -> Column:
-    """The part of a path down to the row's level."""
-    return F.call_function("substring_index", path, F.lit("."), F.col("level"))
-
-
-def _tree(rows: DataFrame) -> DataFrame:
-    """Nodes of all records: level, path, first time it came, its own last row and the last one below.
-
-    A record is a node on level 0. A row with a ``reach`` no longer counts, except that it tells
-    when the nodes down to that level first came."""
-    depth = F.coalesce(F.size(F.split("path", r"\.", -1)), F.lit(0))
-    steps = rows.select("id", "at", "reach", F.col("path").alias("whole"), depth.alias("depth"), F.explode(
-        F.sequence(F.lit(0), F.least(depth, F.coalesce("reach", depth)))).alias("level"))
-    path = F.when(F.col("level") == 0, "").otherwise(_upto(F.col("whole")))
-    counts, own = F.col("reach").isNull(), (F.col("level") == F.col("depth")) & (F.col("level") > 0)
-    nodes = steps.withColumn("path", path).groupBy("id", "level", "path").agg(
-        F.min("at").alias("at"), F.max(F.when(counts & own, F.col("at"))).alias("own"),
-        F.max(F.when(counts & ~own, F.col("at"))).alias("below"))
-    return nodes.where("own IS NOT NULL OR below IS NOT NULL")
-
-
-def _in_force(rows: DataFrame) -> DataFrame:
-    """Rows of records without those dropped below a scalar; those wiped out later have a ``reach``.
-
-    Per path, the scalars set above it are gone through in order: one that does not count as
-    absent blocks what is below it until it, or something above it, is set anew. The first of
-    them after a row wipes the row out, but not the objects above that scalar."""
-    levels = F.size(F.split("path", r"\.", -1))
-    paths = rows.select("id", "path").distinct().where(levels > 1)
-    above = paths.select("id", "path", F.explode(F.sequence(F.lit(1), levels - 1)).alias("level"))
-    above = above.select("id", "path", _upto(F.col("path")).alias("upper"))
-    set_ = F.struct("at", levels.alias("level"), (~F.col("at.value").isin(ABSENT)).alias("firm"))
-    scalars = rows.select("id", F.col("path").alias("upper"), set_.alias("set"))
-    same = F.col("a.id").eqNullSafe(F.col("s.id")) & (F.col("a.upper") == F.col("s.upper"))
-    events = above.alias("a").join(scalars.alias("s"), same).groupBy("a.id", "a.path").agg(
-        F.array_sort(F.collect_list("s.set")).alias("sets"))
-    same = F.col("r.id").eqNullSafe(F.col("e.id")) & F.col("r.path").eqNullSafe(F.col("e.path"))
-    judged = rows.alias("r").join(events.alias("e"), same, "left").select("r.id", "r.path", "r.at", "e.sets")
-    before = F.filter("sets", lambda s: s["at"] < F.col("at"))
-    block = F.aggregate(before, F.lit(0), lambda held, s: F.when((held != 0) & (s["level"] > held), held).otherwise(
-        F.when(s["firm"], s["level"]).otherwise(0)))
-    later = F.transform(F.filter("sets", lambda s: s["at"] > F.col("at")), lambda s: s["level"])
-    return judged.where(F.col("sets").isNull() | (block == 0)).select("id", "path", "at", F.array_min(later).alias("reach"))
+    entries = F.array_sort(F.collect_list(F.struct("ord", "path", "value")))
+    entries = F.filter(entries, lambda e: e["path"].isNotNull())
+    rows = flat.groupBy(id_col).agg(entries.alias("_e"))
+    return rows.select(id_col, _nested(F.col("_e.path"), F.col("_e.value")).alias("json"))
+
+
+@F.pandas_udf(T.StringType())
+def _nested(paths: pd.Series, values: pd.Series) -> pd.Series:
+    return pd.Series([_written(_build(p, v)) for p, v in zip(paths, values)])
+
+
+def _build(paths, values) -> dict:
+    top: dict = {}
+    for path, value in zip(paths, values):
+        *parents, last = path.split(".")
+        spot = top
+        for name in parents:
+            inner = spot.get(name)
+            if not isinstance(inner, dict):
+                if inner is not None and inner not in ABSENT:
+                    spot = None
+                    break
+                inner = spot[name] = {}
+            spot = inner
+        if spot is not None:
+            spot[last] = value
+    return top
+
+
+def _written(top) -> str:
+    """JSON text of nested objects whose other values are JSON text already."""
+    out, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif not isinstance(node, dict):
+            out.append("null" if node is None else str(node))
+        else:
+            out.append("{")
+            members = [x for i, (name, value) in enumerate(node.items())
+                       for x in (("," if i else "") + json.dumps(_utf8(name), ensure_ascii=False) + ":", value)]
+            todo += ["}", *reversed(members)]
+    return "".join(out)
