@@ -64,7 +64,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 # Tables written by this process and not dropped yet.
-_written: list[str] = []
+_written: list[str | None] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -81,15 +81,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_checkpoints(spark: SparkSession, keep: int = 0) -> int:
+def tables_written() -> int:
+    """Tables written so far: a mark for :func:`drop_checkpoints`."""
+    return len(_written)
+
+
+def drop_checkpoints(spark: SparkSession, keep: int = 0, until: int | None = None) -> int:
     """Remove the tables this process has written after the first ``keep``; their number.
 
-    Call it when the results that read them are written."""
+    Call it when the results that read them are written. With ``until``, a later mark, tables
+    written after that stay."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    dropped = _written[keep:]
+    dropped = [path for path in _written[keep:until] if path is not None]
     for path in dropped:
         place = hadoop(path)
         place.getFileSystem(conf).delete(place, True)
-    del _written[keep:]
+    # Marks are places in the list, so a dropped table leaves its place empty.
+    _written[keep:until] = [None] * len(_written[keep:until])
     return len(dropped)
