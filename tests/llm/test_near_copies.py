@@ -38,6 +38,29 @@ def test_groups_against_all_pairs(make):
     assert len(got) == len(texts) and len(set(zip(want, (got[i] for i in range(len(texts)))))) == len(set(want)) == len(set(got.values()))
 
 
+def test_chains_of_copies_need_several_pivots(make, monkeypatch):
+    """Steps of a walk are alike, its ends are not; with no pivots at all the groups are the same."""
+    rng, texts = random.Random(15), []
+    for walk in range(3):
+        words = [f"walk{walk}x{i}" for i in range(90)]
+        for step in range(25):
+            at = rng.randrange(90)
+            words = [*words[:at], f"step{walk}x{step}", *words[at + 1:]]
+            texts.append(" ".join(words))
+    want = by_hand(texts)
+    docs = make([(i, t, "s") for i, t in enumerate(texts)])
+    for pivots in (near_copies.PIVOTS, 0):
+        monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+        got = {r.id: r.root for r in near_copies.groups(docs).collect()}
+        assert len(set(zip(want, (got[i] for i in range(len(texts)))))) == len(set(want)) == len(set(got.values()))
+
+
+def test_similar_sizes_are_in_neighbouring_steps(spark):
+    rows = spark.range(1, 3_000).selectExpr("id AS a", "id * 5 div 4 AS b").select(
+        near_copies.size_step("a").alias("a"), near_copies.size_step("b").alias("b"))
+    assert rows.where("b - a NOT IN (0, 1)").isEmpty()
+
+
 def test_chance_to_share_a_key():
     """Pairs at a similarity of 0.8 to 0.82 share a band key, as many as were made."""
     rng = np.random.default_rng(3)
