@@ -160,3 +160,24 @@ def test_encode_keeps_other_columns(make, library):
     assert rows[1].ids == library.encode("some text").ids and rows[2].ids == [] and rows[1].encoded == "own encoded"
     back = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY).collect()}
     assert back == {1: "some text", 2: ""}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x557), max_size=60))
+def test_settled_pattern_cuts_alike(text):
+    import regex
+    assert bpe.settled_pattern().findall(text) == regex.findall(bpe.PIECE, text)
+
+
+def test_own_columns_with_the_names_of_results(spark, make):
+    docs = make([(1, "One two", "a")]).selectExpr("*", "'mine' AS ids", "'own' AS decoded")
+    row = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY, ids="_ids").first()
+    assert (row.ids, row.decoded, row._decoded) == ("mine", "own", "One two")
+
+
+def test_pieces_come_back_from_the_older_generation(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 3)
+    pieces = bpe.Pieces(bpe.Encoder(bpe.Vocabulary(VOCABULARY)))
+    names = [" a", " b", " c", " dd", " a", " ee", " b", " ff", " a"]
+    first = {n: bpe.Encoder(bpe.Vocabulary(VOCABULARY)).piece(n.encode()).tobytes() for n in set(names)}
+    assert [pieces[n] for n in names] == [first[n] for n in names] and len(pieces) <= 3 and len(pieces.older) <= 3

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -36,9 +37,11 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # Below this code point all Unicode versions agree on letters, digits and spaces. Texts with
 # later characters are cut by the tokenizer library, whose version the ids must follow.
 SETTLED = "՘"
-# Pieces up to this size are remembered, up to this many per task, and so many tested pairs.
-KEPT_PIECE, KEPT_PIECES, KEPT_PAIRS = 64, 150_000, 100_000
+# Pieces up to this size are remembered, in two generations of this many, and so many tested pairs.
+KEPT_PIECE, KEPT_PIECES, KEPT_PAIRS = 64, 150_000, 300_000
 NEVER = 1 << 60
+# A pair of ids as one number.
+PAIR = 32
 
 
 def byte_signs() -> dict[str, int]:
@@ -48,6 +51,21 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def settled_pattern() -> re.Pattern:
+    """The same pattern for texts without later characters, whose classes are spelled out."""
+    signs = [chr(c) for c in range(ord(SETTLED))]
+
+    def spelled(kind: str) -> str:
+        inside = [regex.match(kind, s) is not None for s in signs] + [False]
+        edges = [i for i in range(len(inside)) if inside[i] != (i > 0 and inside[i - 1])]
+        return "".join(f"\\u{lo:04x}-\\u{hi - 1:04x}" for lo, hi in zip(edges[::2], edges[1::2]))
+
+    letter, number, space = spelled(r"\p{L}"), spelled(r"\p{N}"), spelled(r"\s")
+    return re.compile(PIECE.replace(r"\p{L}+", f"[{letter}]+").replace(r"\p{N}+", f"[{number}]+")
+                      .replace(r"[^\s\p{L}\p{N}]+", f"[^{space}{letter}{number}]+")
+                      .replace(r"\s+(?!\S)|\s+", f"[{space}]+(?![^{space}])|[{space}]+"))
+
+
 class Vocabulary:
     """Tokens as bytes by id, merges in order, and special tokens, of a tokenizer file."""
 
@@ -67,10 +85,10 @@ class Encoder:
         special = set(vocabulary.special.values())
         made = {t for _, _, t in vocabulary.merges}
         self.rank = {t: -1 for t, raw in vocabulary.tokens.items() if len(raw) == 1}
-        self.merge: dict[tuple[int, int], int] = {}
+        self.merge: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for rank, (a, b, token) in enumerate(vocabulary.merges):
-            self.merge.setdefault((a, b), rank)
+            self.merge.setdefault(a << PAIR | b, rank)
             self.halves.setdefault(token, (a, b))
             self.rank.setdefault(token, rank)
         self.automaton = ahocorasick.Automaton()
@@ -79,7 +97,7 @@ class Encoder:
                 self.automaton.add_word(raw.decode("latin-1"), (token, len(raw)))
         self.automaton.make_automaton()
         # Plain tables: an encoder must hold no cycle, so that it goes when its task ends.
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def edge(self, top: int, side: int) -> list[tuple[int, int]]:
@@ -98,50 +116,61 @@ class Encoder:
 
     def apart(self, left: int, right: int) -> bool:
         """True if no merge crosses the seam of two tokens."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._apart(left, right)
-        return known
-
-    def _apart(self, left: int, right: int) -> bool:
         # Of equal merges the leftmost is made first.
+        merges, rights = self.merge, self.edge(right, 0)
         for a, a_until in self.edge(left, 1):
-            for b, b_until in self.edge(right, 0):
-                rank = self.merge.get((a, b), NEVER)
-                if rank < a_until and rank <= b_until and rank != NEVER:
+            a <<= PAIR
+            for b, b_until in rights:
+                rank = merges.get(a | b)
+                if rank is not None and rank < a_until and rank <= b_until:
                     return False
         return True
 
-    def piece(self, raw: bytes) -> list[int]:
-        last = [-1] * (len(raw) + 1)
-        size = [0] * (len(raw) + 1)
+    def piece(self, raw: bytes) -> array:
+        last, size, pairs = [-1] * (len(raw) + 1), [0] * (len(raw) + 1), self.pairs
         for at, (token, length) in self.automaton.iter(raw.decode("latin-1")):
             at += 1
             if last[at] >= 0:
                 continue
             before = at - length
-            if before == 0 or (last[before] >= 0 and self.apart(last[before], token)):
-                last[at], size[at] = token, length
-        out, at = [], len(raw)
+            if before:
+                left = last[before]
+                if left < 0:
+                    continue
+                pair = left << PAIR | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= KEPT_PAIRS:
+                        pairs.clear()
+                    fits = pairs[pair] = self.apart(left, token)
+                if not fits:
+                    continue
+            last[at], size[at] = token, length
+        out, at = array("i"), len(raw)
         while at:
             out.append(last[at])
             at -= size[at]
-        return out[::-1]
+        out.reverse()
+        return out
 
 
 class Pieces(dict):
-    """Piece of text to its ids as packed int32, worked out on first sight."""
+    """Piece of text to its ids as packed int32, worked out on first sight.
+
+    When it is full it becomes the older of two generations, from which pieces that come again
+    are taken over; what did not come again meanwhile is forgotten."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.piece(piece.encode()), np.int32).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encoder.piece(piece.encode()).tobytes()
         if len(piece) <= KEPT_PIECE:
             if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -150,7 +179,7 @@ class Pieces(dict):
 def packed_encoder(vocabulary: Vocabulary):
     """A function from a text to its ids as packed int32."""
     known = Pieces(Encoder(vocabulary))
-    cut, later = regex.compile(PIECE), re.compile(f"[{SETTLED}-\U0010ffff]")
+    cut, later = settled_pattern(), re.compile(f"[{SETTLED}-\U0010ffff]")
     library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     special = vocabulary.special
     split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -177,9 +206,10 @@ def _lists(packed: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Append the token ids of each text as an array column."""
+    """Append the token ids of each text as an array column. An own column of that name stays;
+    the new one has an underscore before its name then."""
     vocabulary = Vocabulary(path)
-    name = fresh(docs, "encoded")
+    name, ids = fresh(docs, "encoded"), fresh(docs, ids)
 
     def start():
         encoder = packed_encoder(vocabulary)
@@ -190,8 +220,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Append the text of each array of ids; bytes that are not UTF-8 become U+FFFD."""
+    """Append the text of each array of ids; bytes that are not UTF-8 become U+FFFD. An own column
+    of that name stays; the new one has an underscore before its name then."""
     bound_batches(df)
+    text = fresh(df, text)
     tokens = Vocabulary(path).tokens
     out = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
     at = df.columns.index(ids)
