@@ -37,3 +37,13 @@ def test_a_long_text_leaves_out_no_shorter_ones(spark, make):
     docs = make([(i, "very long " * 200 if i == first else f"short {i}", "s") for i in ids])
     found = [t for t, _ in language.training_texts(docs, size=1_500)]
     assert sorted(found) == sorted(f"short {i}".encode() for i in ids if i != first)
+
+
+def test_features_of_many_words_are_those_of_each():
+    text = "the straße ñandú 中文字 x 123 ١٢ 😀😀 Ωmega " + "".join(chr(0x4E00 + i) for i in range(150)) + " y" * 3
+    words = list(dict.fromkeys(language.words_of(text.encode())))
+    assert any(b"-" in w for w in words) and any(len(w) > 3 for w in words)
+    owner, ids = language.all_feature_ids(words, {words[0], words[3]})
+    for i, word in enumerate(words):
+        assert sorted(ids[owner == i].tolist()) == sorted(language.feature_ids(word, {words[0], words[3]}))
+    assert [len(x) for x in language.all_feature_ids([], set())] == [0, 0]

@@ -43,7 +43,8 @@ LEXICON = 4_000
 BITS = 15
 LONGEST, UNIT = 64, 16
 SEQUENCE, EPOCHS, RATE, DECAY = 64, 30, 0.15, 1e-4
-KNOWN_WORDS = 200_000
+# Words are remembered in two generations of this many.
+KNOWN_WORDS = 250_000
 UNKNOWN = "und"
 
 
@@ -85,6 +86,74 @@ def feature_ids(raw: bytes, lexicon: set[bytes]) -> list[int]:
     return [zlib.crc32(n.encode()) & mask for n in names]
 
 
+class Crc:
+    """CRC-32 of many stretches of one text at once, taken on sign by sign."""
+
+    def __init__(self, text: str):
+        table = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+        self.table = table
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[self.size]
+        self.bytes = [lead | code >> (6 * (self.size - 1)).astype(np.uint32)]
+        for k in range(1, 4):
+            shift = (6 * np.maximum(self.size - 1 - k, 0)).astype(np.uint32)
+            self.bytes.append(0x80 | (code >> shift) & 0x3F)
+
+    def byte(self, state: np.ndarray, value) -> np.ndarray:
+        return self.table[(state ^ value) & 0xFF] ^ (state >> np.uint32(8))
+
+    def sign(self, state: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """States after the signs at some places."""
+        state, size = self.byte(state, self.bytes[0][at]), self.size[at]
+        for k in range(1, int(size.max()) if len(size) else 0):
+            more = np.flatnonzero(size > k)
+            state[more] = self.byte(state[more], self.bytes[k][at[more]])
+        return state
+
+
+def all_feature_ids(words: list[bytes], lexicon: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, feature) of the features of many words, the same as word by word."""
+    mask = (1 << BITS) - 1
+    cut = [i for i, w in enumerate(words) if b"-" in w]
+    found = [(np.full(len(ids), i), np.array(ids, np.int64)) for i in cut for ids in [feature_ids(words[i], lexicon)]]
+    plain = [i for i, w in enumerate(words) if b"-" not in w] if cut else range(len(words))
+    texts = [words[i].decode("utf-8", "replace") for i in plain]
+    number = np.array(plain, np.int64)
+    length = np.array([len(t) for t in texts], np.int64)
+    crc, end = Crc("".join(texts)), np.cumsum(length)
+    begin, owner = end - length, np.repeat(np.arange(len(texts)), length)
+    start = np.uint32(0xFFFFFFFF)
+
+    def add(of: np.ndarray, state: np.ndarray) -> None:
+        found.append((number[of], (~state & np.uint32(mask)).astype(np.int64)))
+
+    at = np.arange(int(end[-1]) if len(texts) else 0)
+    state = np.full(len(at), start)
+    for n in (1, 2, 3):
+        state = crc.sign(state, at + n - 1)
+        add(owner[at], state)
+        inside = at + n < end[owner[at]]
+        at, state = at[inside], state[inside]
+    of = np.arange(len(texts))
+    state = crc.byte(np.full(len(of), start), ord("^"))
+    for n in (1, 2, 3, 4):
+        state, of = state[length[of] >= n], of[length[of] >= n]
+        state = crc.sign(state, begin[of] + n - 1)
+        add(of, state)
+        tail = np.full(len(of), start)
+        for k in range(n, 0, -1):
+            tail = crc.sign(tail, end[of] - k)
+        add(of, crc.byte(tail, ord("$")))
+    kinds = np.array([zlib.crc32(b"#a") & mask, zlib.crc32(b"#0") & mask])
+    found.append((number, kinds[np.array([t.isdigit() for t in texts], np.int64)]))
+    known = [i for i in plain if words[i] in lexicon]
+    found.append((np.array(known, np.int64), np.array([zlib.crc32(b"=" + words[i]) & mask for i in known], np.int64)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 @dataclass
 class Field:
     """A trained model: feature weights, transition weights and the lexicon."""
@@ -236,20 +305,30 @@ class Labeller:
         self.model = model
         self.rows: dict[bytes, int] = {}
         self.scores = np.empty((0, len(model.languages)))
+        self.older = self.rows, self.scores
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.rows) > KNOWN_WORDS:
+            # Words that come again are taken over from the older generation.
+            self.older = self.rows, self.scores
             self.rows, self.scores = {}, self.scores[:0]
-        rows = self.rows
+        rows, (older, scores) = self.rows, self.older
         new = [w for w in dict.fromkeys(words) if w not in rows]
         if new:
-            more = [word_scores([feature_ids(w, self.model.lexicon) for w in new[i:i + 50_000]], self.model.weights)
-                    for i in range(0, len(new), 50_000)]
+            kept, cold = [w for w in new if w in older], [w for w in new if w not in older]
+            more = [scores[[older[w] for w in kept]]] if kept else []
+            more += [self.scores_of_new(cold[i:i + 50_000]) for i in range(0, len(cold), 50_000)]
             self.scores = np.concatenate([self.scores, *more])
-            for word in new:
+            for word in [*kept, *cold]:
                 rows[word] = len(rows)
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
+    def scores_of_new(self, words: list[bytes]) -> np.ndarray:
+        owner, ids = all_feature_ids(words, self.model.lexicon)
+        weights = self.model.weights
+        sums = np.stack([np.bincount(owner, weights[ids, k], len(words)) for k in range(weights.shape[1])], axis=1)
+        return sums / np.sqrt(np.bincount(owner, minlength=len(words)))[:, None]
+
     def label(self, texts: list[bytes | None]) -> list[tuple[str, float, list[dict]]]:
         split = [words_of(t) if has_letter(t) else [] for t in texts]
         lengths = np.array([len(w) for w in split])
