@@ -89,19 +89,22 @@ def _pretty(value: Column, kind: T.DataType, margin: str) -> Column:
 def json_lines(rows: DataFrame, key: str) -> DataFrame:
     """(section, key, line): one JSON document, a list with a record per line of section 1.
 
-    The key, which orders the records, is unique. No records give an empty list."""
+    The key orders the records, those without one first; records with the same last key are one
+    line. No records give an empty list."""
     members = [F.concat(F.lit(f"    {json.dumps(f.name, ensure_ascii=False)}: "),
                         _pretty(F.col(f"`{f.name}`"), f.dataType, "    ")) for f in rows.schema]
     record = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *members), F.lit("\n  }"))
     at = F.col(key).cast("bigint")
-    last = rows.agg(F.max(at).alias("m")).scalar()
-    body = rows.select(F.lit(1).alias("section"), at.alias("key"), record.alias("line")).withColumn("_last", last)
-    body = body.select("section", "key", F.concat("line", F.when(F.col("key") < F.col("_last"), ",").otherwise("")).alias("line"))
-    one = rows.sparkSession.range(1).withColumn("_last", last)
+    seen = rows.agg(F.struct(F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))).scalar()
+    lines = rows.select(F.lit(1).alias("section"), at.alias("key"), record.alias("line")).withColumn("_seen", seen)
+    ends = F.col("key").eqNullSafe(F.col("_seen.last"))
+    body = lines.where(~ends).select("section", "key", F.concat("line", F.lit(",")).alias("line"))
+    tail = lines.where(ends).groupBy("section", "key").agg(F.array_join(F.sort_array(F.collect_list("line")), ",\n").alias("line"))
+    one = rows.sparkSession.range(1).withColumn("_seen", seen)
     none = F.lit(None).cast("bigint").alias("key")
-    head = one.select(F.lit(0).alias("section"), none, F.when(F.col("_last").isNull(), "[]").otherwise("[").alias("line"))
-    foot = one.where(F.col("_last").isNotNull()).select(F.lit(2).alias("section"), none, F.lit("]").alias("line"))
-    return head.unionByName(body).unionByName(foot)
+    head = one.select(F.lit(0).alias("section"), none, F.when(F.col("_seen.n") == 0, "[]").otherwise("[").alias("line"))
+    foot = one.where(F.col("_seen.n") > 0).select(F.lit(2).alias("section"), none, F.lit("]").alias("line"))
+    return head.unionByName(body).unionByName(tail).unionByName(foot)
 
 
 def export_lines(rows: DataFrame, key: str, fmt: str) -> DataFrame:

@@ -229,15 +229,22 @@ def qos_by_user(packets: DataFrame) -> DataFrame:
 
 def stream_totals(samples: DataFrame, stream: str, order: list[str], size: str, bits: int = 8,
                   slices: int | None = None) -> DataFrame:
-    """Bytes of each sample batch, the running total per stream and its text."""
-    cut_rows = cut(samples.withColumn("step_bytes", _step(size, bits)), [stream], order, slices)
-    rows = running(cut_rows, [stream], order, sums={"total_bytes": F.col("step_bytes")})
-    return rows.withColumns({"is_first": F.col("total_bytes") == F.col("step_bytes"),
-                             "total_text": friendly(F.col("total_bytes"), "B", 1024)})
+    """Bytes of each sample batch, the running total per stream and its text.
 
+    Bits are counted and divided once: samples need not fill whole bytes."""
+    cut_rows = cut(samples.withColumn("_bits", _bits(size, bits)), [stream], order, slices)
+    rows = running(cut_rows, [stream], order, sums={"_total": F.col("_bits")})
+    rows = rows.withColumns({"step_bytes": _bytes("_bits"), "total_bytes": _bytes("_total"),
+                             "is_first": F.col("_total") == F.col("_bits")})
+    return rows.withColumn("total_text", friendly(F.col("total_bytes"), "B", 1024)).drop("_bits", "_total")
 
-def _step(size: str, bits: int) -> Column:
-    return F.floor(F.col(size) * bits / 8).cast("bigint")
+
+def _bits(size: str, bits: int) -> Column:
+    return (F.col(size) * bits).cast("bigint")
+
+
+def _bytes(bits: str) -> Column:
+    return F.col(bits) / F.lit(8.0)
 
 
 def rate_windows(samples: DataFrame, stream: str, order: list[str], ts_ms: str, size: str, bits: int = 8,
@@ -249,24 +256,21 @@ def rate_windows(samples: DataFrame, stream: str, order: list[str], ts_ms: str,
     window, with the current batch; otherwise the old rate is kept, also across
     restarts.
     """
-    steps = samples.withColumns({"step_bytes": _step(size, bits)})
-    rows = running(cut(steps, [stream], order, slices), [stream], order,
-                   sums={"total_bytes": F.col("step_bytes")})
+    steps = samples.withColumn("_bits", _bits(size, bits))
+    rows = running(cut(steps, [stream], order, slices), [stream], order, sums={"_total": F.col("_bits")})
     # Chains and running values read their rows twice, so those are written once.
-    rows = checkpointed(rows.withColumns({"_before": F.col("total_bytes") - F.col("step_bytes"),
-                                          "_opens": F.col("step_bytes") > 0}))
+    rows = checkpointed(rows.withColumns({"_before": F.col("_total") - F.col("_bits"), "_opens": F.col("_bits") > 0}))
     rows = checkpointed(chain(rows, [stream], order, ts_ms, window_ms, ["_before"], opens="_opens"))
     age = F.col(ts_ms) - F.col("anchor")
-    elapsed = F.when(age > window_ms, 0).otherwise(F.coalesce(age, F.lit(0)))
-    rows = rows.withColumns({
-        "window_start_ms": F.col("anchor"),
-        "window_bytes": F.col("total_bytes") - F.coalesce(F.col("anchor__before"), F.col("_before")),
-        "elapsed_ms": elapsed,
-    })
-    fresh = F.when(F.col("elapsed_ms") * 2 > window_ms,
-                   F.col("window_bytes") * 8 / (F.col("elapsed_ms") / 1000) / bits)
+    # An empty batch may end a window, but it begins none.
+    over = F.coalesce(age > window_ms, F.lit(False))
+    held = F.when(over, 0).otherwise(F.col("_total") - F.coalesce(F.col("anchor__before"), F.col("_before")))
+    rows = rows.withColumns({"window_start_ms": F.when(~over, F.col("anchor")), "_held": held,
+                             "elapsed_ms": F.when(over, 0).otherwise(F.coalesce(age, F.lit(0)))})
+    fresh = F.when(F.col("elapsed_ms") * 2 > window_ms, F.col("_held") / (F.col("elapsed_ms") / 1000) / bits)
     rows = running(rows, [stream], order, lasts={"rate": fresh})
-    rows = rows.drop("_before", "_opens", "anchor", "anchor_before", "anchor__before", "is_anchor")
+    rows = rows.withColumns({"step_bytes": _bytes("_bits"), "total_bytes": _bytes("_total"), "window_bytes": _bytes("_held")})
+    rows = rows.drop("_bits", "_total", "_held", "_before", "_opens", "anchor", "anchor_before", "anchor__before", "is_anchor")
     return rows.withColumn("rate_text", friendly(F.col("rate"), "HZ", 1000))
 
 
@@ -277,12 +281,13 @@ def thin_log(samples: DataFrame, stream: str, order: list[str], size: str, sampl
 
     Without a sample rate (no stream properties) every batch is logged.
     """
-    steps = samples.withColumn("step_bytes", _step(size, bits))
-    rows = running(cut(steps, [stream], order, slices), [stream], order,
-                   sums={"total_bytes": F.col("step_bytes")})
+    steps = samples.withColumn("_bits", _bits(size, bits))
+    rows = running(cut(steps, [stream], order, slices), [stream], order, sums={"_total": F.col("_bits")})
+    whole = {"step_bytes": _bytes("_bits"), "total_bytes": _bytes("_total")}
     if sample_rate is None:
-        return rows.withColumn("should_log", F.lit(True))
-    budget = interval_seconds * sample_rate * bits * channels // 8
-    rows = checkpointed(rows.withColumn("_first", F.col("total_bytes") == F.col("step_bytes")))
-    rows = chain(rows, [stream], order, "total_bytes", budget, force="_first")
-    return rows.withColumn("should_log", F.col("is_anchor")).drop("_first", "anchor", "anchor_before", "is_anchor")
+        return rows.withColumns(whole | {"should_log": F.lit(True)}).drop("_bits", "_total")
+    budget = interval_seconds * sample_rate * bits * channels
+    rows = checkpointed(rows.withColumn("_first", F.col("_total") == F.col("_bits")))
+    rows = chain(rows, [stream], order, "_total", budget, force="_first")
+    rows = rows.withColumns(whole | {"should_log": F.col("is_anchor")})
+    return rows.drop("_bits", "_total", "_first", "anchor", "anchor_before", "is_anchor")

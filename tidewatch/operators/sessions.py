@@ -13,6 +13,8 @@ from tidewatch.operators.scripts import match_script  # noqa: F401
 from tidewatch.session import checkpointed
 
 CRLF = "\r\n"
+# A header of more characters than this is refused.
+HEAD_LIMIT, HEAD_TOO_LONG = 65_536, "header too long"
 
 
 def pair_pipes(chunks: DataFrame, closes: DataFrame) -> DataFrame:
@@ -89,37 +91,46 @@ def stream_until(chunks: DataFrame, conn: str, order: list[str], measures: dict[
                        F.when(~finished, F.lit(f"socketWhile timeout, totalTimeWaited: {timeout_ms}")).alias("reason"))
 
 
-def content_length_frames(chunks: DataFrame, conn: str, seq: str, text: str, slices: int | None = None) -> DataFrame:
+def content_length_frames(chunks: DataFrame, conn: str, seq: str, text: str, slices: int | None = None,
+                          head_limit: int = HEAD_LIMIT) -> DataFrame:
     """Reassemble one message per connection: header, blank line, counted body.
 
     A message is complete once its body is as long as the header says. Only the
     chunks of the message are joined together, never the rest of a connection, so
-    a value is as large as the message it holds and no larger.
+    a value is as large as the message it holds and no larger. A blank line is looked for in
+    the first ``head_limit`` characters only; a longer header is refused.
     """
     cut_rows = cut(chunks.select(conn, seq, text), [conn], [seq], slices)
     near = F.concat(F.right(F.array_join("_near", ""), F.lit(3)), F.col(text))
     marks = running(cut_rows, [conn], [seq], sums={"_chars": F.length(text)}, previous={"_near": (F.right(text, F.lit(3)), 3)})
-    marks = checkpointed(marks.select(conn, seq, "_chars", F.contains(near, F.lit(CRLF + CRLF)).alias("_blank")))
-    heads = marks.groupBy(conn).agg(F.min(F.when(F.col("_blank"), F.col(seq))).alias("_head"), F.count(F.lit(1)).alias("_rows"))
+    marks = checkpointed(marks.select(conn, seq, "_chars", F.coalesce(F.length(text), F.lit(0)).alias("_own"),
+                                      F.contains(near, F.lit(CRLF + CRLF)).alias("_blank")))
+    # The blank line of a header within the limit has begun in a chunk that starts within it, or
+    # ends in the next one.
+    within = F.col("_blank") & (F.col("_chars") - F.col("_own") <= head_limit + 3)
+    heads = marks.groupBy(conn).agg(F.min(F.when(within, F.col(seq))).alias("_head"), F.count(F.lit(1)).alias("_rows"),
+                                    F.max("_chars").alias("_all"))
     joined = lambda df: df.groupBy(conn).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(seq, text))), lambda c: c[text]), "").alias("_text"))
     chunk_rows = cut_rows.select(conn, seq, text)
     head_text = joined(attach(chunk_rows, heads, [conn], "_rows", [seq]).where(F.col(seq) <= F.col("_head")))
     head = F.element_at(F.split("_text", CRLF + CRLF, 2), 1)
     length = F.regexp_extract(F.lower(head), "content-length: *([0-9]+)", 1)
-    sizes = heads.select(conn, "_rows")
+    sizes = heads.select(conn, "_rows", "_all")
     # Both tables below hold one row per connection and are read several times.
-    heads = checkpointed(head_text.select(conn, F.length(head).alias("_body_at"),
+    heads = checkpointed(head_text.where(F.length(head) <= head_limit).select(conn, F.length(head).alias("_body_at"),
                                           length.try_cast("bigint").alias("content_length")))
     needed = F.col("_body_at") + 4 + F.col("content_length")
-    ends = checkpointed(attach(marks.select(conn, seq, "_chars"), sizes.join(heads, conn), [conn], "_rows", [seq])
+    ends = checkpointed(attach(marks.select(conn, seq, "_chars"), sizes.drop("_all").join(heads, conn), [conn], "_rows", [seq])
             .where(F.col("_chars") >= needed).groupBy(conn).agg(F.min(seq).alias("done_seq")))
-    whole = joined(attach(chunk_rows, sizes.join(ends, conn), [conn], "_rows", [seq])
+    whole = joined(attach(chunk_rows, sizes.drop("_all").join(ends, conn), [conn], "_rows", [seq])
                    .where(F.col(seq) <= F.col("done_seq")))
-    found = sizes.select(conn).join(heads, conn, "left").join(ends, conn, "left").join(whole, conn, "left")
+    found = sizes.select(conn, "_all").join(heads, conn, "left").join(ends, conn, "left").join(whole, conn, "left")
     body = F.substring("_text", F.col("_body_at") + 5, F.col("content_length"))
     complete = F.col("done_seq").isNotNull()
-    reason = first_match([(complete, F.lit(None).cast("string")), (F.col("_body_at").isNull(), F.lit("no blank line")),
+    long = F.col("_all") > head_limit + len(CRLF + CRLF)
+    reason = first_match([(complete, F.lit(None).cast("string")), (F.col("_body_at").isNull() & long, F.lit(HEAD_TOO_LONG)),
+                          (F.col("_body_at").isNull(), F.lit("no blank line")),
                           (F.col("content_length").isNull(), F.lit("no content length"))], F.lit("body incomplete"))
     return found.select(conn, complete.alias("success"), F.when(complete, 200).alias("status"), "content_length",
                         "done_seq", F.when(complete, body).alias("body"), reason.alias("reason"))

@@ -20,7 +20,8 @@ LINE = m.MonitorConfig(
             "context": {"len": 4, "prefix": "<", "postfix": ">"},
             "invokeString": {"len": -12, "prefix": "|", "postfix": "|"},
             "action": {"len": 16}, "device": {"len": 9}, "outcome": True, "misc": True})
-SAMPLE_BITS, DAY_MS = 16, 86_400_000
+# A sample is one and a half bytes.
+SAMPLE_BITS, DAY_MS = 12, 86_400_000
 
 
 def derived(spark, folder):
@@ -182,14 +183,14 @@ def samples(spark, folder):
 SAMPLES = """samples AS (
   SELECT event_type, event_id, epoch_us(ts) AS ts_us, epoch_us(ts) // 1000 AS ts_ms,
     CAST(round(value * 100) AS BIGINT) AS n_samples,
-    CAST(round(value * 100) AS BIGINT) * 16 // 8 AS step_bytes,
+    CAST(round(value * 100) AS BIGINT) * 12 / 8 AS step_bytes,
     row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth
   FROM events)"""
 
 
 @query("running_stream_totals", f"""
-WITH {SAMPLES}, t AS (SELECT *, CAST(sum(step_bytes) OVER (PARTITION BY event_type ORDER BY ts_us, event_id
-    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes FROM samples)
+WITH {SAMPLES}, t AS (SELECT *, sum(step_bytes) OVER (PARTITION BY event_type ORDER BY ts_us, event_id
+    ROWS UNBOUNDED PRECEDING) AS total_bytes FROM samples)
 SELECT event_id, event_type, step_bytes, total_bytes, total_bytes = step_bytes AS is_first,
   {v.friendly('total_bytes', 'B', 1024)} AS total_text FROM t""")
 def running_stream_totals(spark, folder):
@@ -208,7 +209,7 @@ WITH RECURSIVE {SAMPLES}, fold AS (
     f.total + s.step_bytes,
     CASE WHEN s.ts_ms - f.start_ms > {DAY_MS} THEN 0 ELSE s.ts_ms - f.start_ms END,
     CASE WHEN s.ts_ms - f.start_ms <= {DAY_MS} AND (s.ts_ms - f.start_ms) * 2 > {DAY_MS}
-      THEN CAST((f.acc + s.step_bytes) * 8 AS DOUBLE) / (CAST(s.ts_ms - f.start_ms AS DOUBLE) / 1000) / 16
+      THEN (f.acc + s.step_bytes) * 8 / (CAST(s.ts_ms - f.start_ms AS DOUBLE) / 1000) / 12
       ELSE f.rate END
   FROM fold f JOIN samples s ON s.event_type = f.event_type AND s.nth = f.nth + 1)
 SELECT event_id, event_type, start_ms AS window_start_ms, acc AS window_bytes, elapsed AS elapsed_ms,
@@ -222,12 +223,12 @@ def rate_reset_window(spark, folder):
 
 @query("log_thinning", f"""
 WITH RECURSIVE {SAMPLES}, fold AS (
-  SELECT event_type, nth, event_id, step_bytes AS total, true AS should_log, CAST(0 AS BIGINT) AS buffered
+  SELECT event_type, nth, event_id, step_bytes AS total, true AS should_log, CAST(0 AS DOUBLE) AS buffered
   FROM samples WHERE nth = 1
   UNION ALL
   SELECT s.event_type, s.nth, s.event_id, f.total + s.step_bytes,
-    f.total = 0 OR f.buffered + s.step_bytes > 5 * 4000 * 16 * 2 // 8,
-    CASE WHEN f.total = 0 OR f.buffered + s.step_bytes > 5 * 4000 * 16 * 2 // 8 THEN 0
+    f.total = 0 OR f.buffered + s.step_bytes > 5 * 4000 * 12 * 2 / 8,
+    CASE WHEN f.total = 0 OR f.buffered + s.step_bytes > 5 * 4000 * 12 * 2 / 8 THEN 0
       ELSE f.buffered + s.step_bytes END
   FROM fold f JOIN samples s ON s.event_type = f.event_type AND s.nth = f.nth + 1)
 SELECT event_id, event_type, total AS total_bytes, should_log FROM fold""")

@@ -66,9 +66,11 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         for batch in rows:
-            columns = [cells(batch[f.name], f.dataType) for f in self.schema]
+            # By place: the engine renames columns that begin with an underscore. The event time in ms is last.
+            places = [*range(len(self.schema) - 1), -1]
+            columns = [cells(batch.iloc[:, i], f.dataType) for i, f in zip(places, self.schema)]
             self.waiting.appendList(list(zip(*columns)))
-            self._wake(min(columns[self.schema.names.index(EVENT_MS)]))
+            self._wake(min(columns[-1]))
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
