@@ -184,7 +184,7 @@ def test_repeats_against_all_windows(spark, make, seed):
 
 def test_repeats_in_odd_documents(odd, make):
     got = sorted((tuple(r) for r in substrings.repeat_report(odd).collect()), key=str)
-    want = [(None if w[0] == substrings.NO_ID else w[0], *w[1:]) for w in substrings.brute_force([r[:2] for r in ODD])]
+    want = [(None if w[0] == substrings.NULL_ID else w[0], *w[1:]) for w in substrings.brute_force([r[:2] for r in ODD])]
     assert got == sorted(want, key=str)
     assert substrings.repeat_report(make([])).count() == 0
 
@@ -239,3 +239,15 @@ def test_few_and_no_rows_to_shard(make, odd):
     assert sharding.shard_documents(make([])).count() == 0
     assert sorted((r.shard, r.slot) for r in sharding.shard_documents(make([(1, "a", "s"), (2, "b", "s")])).collect()) == [(0, 0), (12, 0)]
     assert sharding.shard_documents(odd).agg(F.countDistinct("shard", "slot")).first()[0] == 14
+
+
+def test_texts_without_ids_are_told_apart(spark, make):
+    """Two texts without an id under one tag; one repeats a document, the other repeats nothing."""
+    texts = spark.range(250_000).select(F.concat_ws(" ", *[
+        F.concat(F.lit(f"w{i}x"), F.col("id").cast("string")) for i in range(16)]).alias("text"))
+    tags = texts.select("text", substrings.text_tag("text").alias("tag"))
+    pair = tags.groupBy("tag").agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()["t"][:2]
+    rows = [(1, pair[0], "a"), (None, pair[0], "a"), (None, pair[1], "b"), (None, pair[1], "c")]
+    got = sorted((tuple(r) for r in substrings.repeat_report(make(rows)).collect()), key=str)
+    want = sorted(substrings.brute_force([r[:2] for r in rows]), key=str)
+    assert got == want and sorted(r[2] for r in got) == [0, 0, 0, 16]

@@ -38,7 +38,9 @@ with_tasks(__name__)
 
 WINDOW = 13
 ROUNDS = 8
-NO_ID = (1 << 63) - 1
+# Null ids count as one id, above all others, but rows without an id are told apart by a hash of
+# their text: ids from NULL_ID on stand for null.
+NULL_ID = (1 << 63) - (1 << 31)
 FAR = 1 << 40
 # Words of context from which a symbol names a window well.
 CONTEXT = 6
@@ -170,6 +172,7 @@ def runs_of(texts: list[bytes | None], window: int = WINDOW):
 
 def settle(ids: np.ndarray, doc: np.ndarray, name: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """True for runs that a smaller id of the same batch has too."""
+    ids = np.minimum(ids, NULL_ID)
     order = np.lexsort((ids[doc], whole, name))
     n, w, i = name[order], whole[order], ids[doc][order]
     head = np.ones(len(order), bool)
@@ -180,6 +183,18 @@ def settle(ids: np.ndarray, doc: np.ndarray, name: np.ndarray, whole: np.ndarray
     return out
 
 
+def row_id(id_column: str, text: str) -> F.Column:
+    """The id, or for null a number from NULL_ID on that hangs on the text."""
+    spread = F.xxhash64(F.lit(1), F.col(text)).bitwiseAND(F.lit(TAG))
+    known = F.least(F.col(id_column).cast("bigint"), F.lit(NULL_ID - 1))
+    return F.when(F.col(id_column).isNull(), F.lit(NULL_ID) + spread).otherwise(known)
+
+
+def rank(ids: str) -> F.Column:
+    """The id by which rows are compared."""
+    return F.least(F.col(ids), F.lit(NULL_ID))
+
+
 def text_tag(text: str) -> F.Column:
     return F.xxhash64(text).bitwiseAND(F.lit(TAG))
 
@@ -216,9 +231,9 @@ def judged_runs(runs: DataFrame) -> DataFrame:
     smallest ids differ; the smallest id's run takes part, as the others are held against it."""
     by_name = Window.partitionBy("name")
     # One shuffle by name serves both windows.
-    told = runs.repartition("name").withColumn("least", F.min("id").over(Window.partitionBy("name", "whole")))
+    told = runs.repartition("name").withColumn("least", F.min(rank("id")).over(Window.partitionBy("name", "whole")))
     told = told.withColumns({"smallest": F.min("least").over(by_name), "largest": F.max("least").over(by_name)})
-    repeated = (F.col("spot") % 2 == 1) | (F.col("id") > F.col("least"))
+    repeated = (F.col("spot") % 2 == 1) | (rank("id") > F.col("least"))
     undecided = ~repeated & (F.col("smallest") < F.col("largest"))
     place = F.shiftright(F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)), 1)
     return (told.where(repeated | undecided)
@@ -303,8 +318,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """A row per document: id, n_words, n_removed and the kept words joined by spaces.
 
     A word is removed if a window over it also starts in a document with a smaller id."""
-    rows = docs.select(F.coalesce(F.col(id_column), F.lit(NO_ID)).cast("bigint").alias("id"),
-                       text_tag(text).alias("tag"), F.col(text).alias("text"))
+    rows = docs.select(row_id(id_column, text).alias("id"), text_tag(text).alias("tag"), F.col(text).alias("text"))
     judged = judged_runs(all_runs(rows, window))
     joined = rows.join(judged, ["id", "tag"], "left").select("id", "tag", "text", "repeated", "open")
     first = checkpointed(first_pass(joined, window))
@@ -312,11 +326,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     left = first.where(F.col("text").isNotNull()).select("id", "tag", "text", "spots", "windows")
 
     windows = left.select("id", "tag", F.explode("windows").alias("w")).select("id", "tag", "w.start", "w.h1", "w.h2")
-    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    hits = (windows.join(least.drop("most"), ["h1", "h2"]).where("id > least")
+    least = windows.groupBy("h1", "h2").agg(F.min(rank("id")).alias("least"), F.max(rank("id")).alias("most")).where("least < most")
+    hits = (windows.join(least.drop("most"), ["h1", "h2"]).where(rank("id") > F.col("least"))
             .groupBy("id", "tag").agg(F.collect_set("start").alias("starts")))
     closed = last_pass(left.join(hits, ["id", "tag"], "left").select("id", "text", "spots", "starts"), window)
-    return done.union(closed).select(F.nullif("id", F.lit(NO_ID)).alias(id_column), "n_words", "n_removed", "kept")
+    return done.union(closed).select(F.when(F.col("id") < NULL_ID, F.col("id")).alias(id_column), "n_words", "n_removed", "kept")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -327,7 +341,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
 def brute_force(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple]:
     """(id, words, words removed, digest) from a table of all windows; for tests."""
-    split = [(NO_ID if i is None else i, (t or "").encode().split()) for i, t in rows]
+    split = [(NULL_ID if i is None else i, (t or "").encode().split()) for i, t in rows]
     least: dict[tuple, int] = {}
     for i, words in split:
         for s in range(len(words) - window + 1):
