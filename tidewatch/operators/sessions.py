@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.automata import compiled
 from tidewatch.functions.ordered import SLICE, chain, cut, running
 from tidewatch.functions.skew import attach
 from tidewatch.functions.text import blank, replace_first
 from tidewatch.operators.requests import first_match
-from tidewatch.operators.scripts import match_script  # noqa: F401
+from tidewatch.operators.scripts import final_states, match_script, runs_of  # noqa: F401
 from tidewatch.session import checkpointed
 
 CRLF = "\r\n"
@@ -69,13 +72,26 @@ def session_lines(entries: DataFrame, session: str, handler: str, slices: int |
 
 
 def stream_until(chunks: DataFrame, conn: str, order: list[str], measures: dict[str, Column], done: Column,
-                 arrived_ms: str, timeout_ms: int = 5000, slices: int | None = None) -> DataFrame:
+                 arrived_ms: str, timeout_ms: int = 5000, slices: int | None = None, text: str | None = None,
+                 scan: str | re.Pattern | None = None, after: dict[str, Column] | None = None) -> DataFrame:
     """Accumulate a connection until a test holds, or until it is idle too long.
 
     ``measures`` are added up over the chunks (``size`` bytes are always counted) and
     ``done`` is a test on the totals so far. A gap of ``timeout_ms`` before the chunk
     that would finish fails the connection; so does data that ends too early.
+
+    With ``scan``, the accumulated ``text`` is searched for a text or a pattern by an automaton
+    that carries over from chunk to chunk. The test may then use ``scanned``, true from the chunk
+    on with which it is found, and ``after``, measures of the chunks after that one: the scan
+    hands over to them.
     """
+    if scan is not None:
+        ends = final_states(runs_of(chunks, conn, order[0], text, compiled([scan]), slices), conn)
+        found = chunks.groupBy(conn).agg(F.count(F.lit(1)).alias("_rows")).join(ends.select(conn, F.col("hit").alias("_hit")), conn)
+        chunks = attach(chunks, found, [conn], "_rows", order)
+        since = lambda test: F.coalesce(test, F.lit(False))
+        chunks = chunks.withColumns({"scanned": since(F.col(order[0]) >= F.col("_hit")), "_past": since(F.col(order[0]) > F.col("_hit"))})
+        measures = measures | {n: F.when(F.col("_past"), c).otherwise(0) for n, c in (after or {}).items()}
     cut_rows = cut(chunks, [conn], order, slices)
     rows = running(cut_rows, [conn], order, sums=measures | {"bytes": F.col("size")},
                    previous={"_prior": (F.col(arrived_ms), 1)})

@@ -59,12 +59,19 @@ def session_elapsed(spark, folder):
     return s.session_lines(entries, "user_id", "web").select("event_id", "session_id", "elapsed_ms", "line")
 
 
+# The scan waits for a long word; then bytes and full stops are counted, from the next chunk on.
+LONG_WORD = re.compile("[^ ]{14}")
+
+
 @query("stream_until", f"""
 WITH {v.CHUNK}, c AS (SELECT conn, seq, octet_length(encode(payload)) AS size, length(payload) - length(replace(payload, '.', '')) AS stops,
+    string_agg(payload, '') OVER (PARTITION BY conn ORDER BY seq) AS sent,
     seq * 1000 + CASE WHEN conn % 3 = 0 AND seq >= 2 THEN 6000 ELSE 0 END AS arrived FROM chunk),
-r AS (SELECT conn, seq, CAST(sum(size) OVER w AS BIGINT) AS bytes, sum(stops) OVER w AS stops, arrived - lag(arrived) OVER w AS gap FROM c
+h AS (SELECT conn, min(seq) FILTER (regexp_matches(sent, '{LONG_WORD.pattern}')) AS hit FROM c GROUP BY conn),
+r AS (SELECT conn, seq, hit, CAST(sum(size) OVER w AS BIGINT) AS bytes, sum(CASE WHEN seq > hit THEN stops ELSE 0 END) OVER w AS stops,
+    sum(CASE WHEN seq > hit THEN size ELSE 0 END) OVER w AS later, arrived - lag(arrived) OVER w AS gap FROM c JOIN h USING (conn)
   WINDOW w AS (PARTITION BY conn ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-d AS (SELECT conn, min(seq) FILTER (stops >= 6 AND bytes >= 500) AS done, min(seq) FILTER (gap >= 5000) AS idle FROM r GROUP BY conn),
+d AS (SELECT conn, min(seq) FILTER (seq >= hit AND stops >= 3 AND later >= 200) AS done, min(seq) FILTER (gap >= 5000) AS idle FROM r GROUP BY conn),
 f AS (SELECT *, done IS NOT NULL AND (idle IS NULL OR done < idle) AS success FROM d)
 SELECT f.conn, success, CASE WHEN success THEN done END AS seq, CASE WHEN success THEN bytes END AS bytes,
   CASE WHEN NOT success THEN 'socketWhile timeout, totalTimeWaited: 5000' END AS reason
@@ -72,11 +79,12 @@ FROM f LEFT JOIN r ON r.conn = f.conn AND r.seq = f.done""")
 def stream_until(spark, folder):
     late = F.when((F.col("conn") % 3 == 0) & (F.col("seq") >= 2), 6000).otherwise(0)
     log = chunks(spark, folder).select(
-        "conn", "seq", F.octet_length("payload").cast("bigint").alias("size"),
+        "conn", "seq", "payload", F.octet_length("payload").cast("bigint").alias("size"),
         (F.length("payload") - F.length(F.replace("payload", F.lit("."), F.lit("")))).alias("full_stops"),
         (F.col("seq") * 1000 + late).alias("at"))
-    return s.stream_until(log, "conn", ["seq"], {"stops": F.col("full_stops")},
-                          (F.col("stops") >= 6) & (F.col("bytes") >= 500), "at")
+    test = F.col("scanned") & (F.col("stops") >= 3) & (F.col("later") >= 200)
+    return s.stream_until(log, "conn", ["seq"], {}, test, "at", text="payload", scan=LONG_WORD,
+                          after={"stops": F.col("full_stops"), "later": F.col("size")})
 
 
 @query("content_length_frames", f"""
