@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import cut, running
+from tidewatch.functions.patterns import with_first_pattern
 from tidewatch.functions.text import SPELLED_OUT, blank, contains_any, nth_part, present, replace_first
 
 # Answers every gateway gives by itself.
@@ -240,15 +241,21 @@ def _intercepts(call: Column, rules: list[Intercept]) -> tuple[Column, list[Inte
 
 def intercept(calls: DataFrame, call: str, rules: list[Intercept]) -> DataFrame:
     """Add ``rule``, ``forced_success`` and ``forced_reason``: what the first matching rule
-    forces on a call. Each pattern is tried once per row; the number of the rule is a
-    column of its own, from which the others are looked up."""
+    forces on a call. Each pattern is tried once per row, and of a long list only those whose
+    texts the call holds; the number of the rule is a column of its own, from which the others
+    are looked up."""
     tested, rules = _intercepts(F.col(call), rules)
-    number = F.when(tested, first_pattern(F.col(call), [r.pattern for r in rules]) + 1)
+    patterns = [r.pattern for r in rules]
+    if len(rules) > SPELLED_OUT:
+        calls = with_first_pattern(calls, call, patterns, "_first", first_pattern)
+        number = F.when(tested, F.col("_first") + 1)
+    else:
+        number = F.when(tested, first_pattern(F.col(call), patterns) + 1)
     rows = calls.withColumn("_rule", F.when(number > 0, number))
     table = F.lit([r.id for r in rules]), F.lit([r.success for r in rules]), F.array(
         *[F.lit(None if r.success else r.reason).cast("string") for r in rules])
     looked = [F.get(t, F.col("_rule") - 1) if rules else F.lit(None) for t in table]
-    return rows.withColumns(dict(zip(("rule", "forced_success", "forced_reason"), looked))).drop("_rule")
+    return rows.withColumns(dict(zip(("rule", "forced_success", "forced_reason"), looked))).drop("_rule", "_first")
 
 
 @dataclass
