@@ -49,7 +49,7 @@ def test_chains_of_copies_need_several_pivots(make, monkeypatch):
             texts.append(" ".join(words))
     want = by_hand(texts)
     docs = make([(i, t, "s") for i, t in enumerate(texts)])
-    for pivots in (near_copies.PIVOTS, 0):
+    for pivots in (3, 0):
         monkeypatch.setattr(near_copies, "PIVOTS", pivots)
         got = {r.id: r.root for r in near_copies.groups(docs).collect()}
         assert len(set(zip(want, (got[i] for i in range(len(texts)))))) == len(set(want)) == len(set(got.values()))
