@@ -55,6 +55,37 @@ def test_chains_of_copies_need_several_pivots(make, monkeypatch):
         assert len(set(zip(want, (got[i] for i in range(len(texts)))))) == len(set(want)) == len(set(got.values()))
 
 
+def test_a_bucket_of_sets_with_words_of_their_own_makes_no_square(make, monkeypatch):
+    """All sets share band keys and none are alike: the pairs compared grow with the sets."""
+    core = " ".join(f"core{i}" for i in range(134))
+    docs = make([(i, " ".join([core, *[f"own{i}x{k}" for k in range(20)]]), "s") for i in range(80)])
+    plain, counts = near_copies.confirmed, []
+
+    def counted(pairs, bodies):
+        counts.append(pairs.count())
+        return plain(pairs, bodies)
+
+    monkeypatch.setattr(near_copies, "confirmed", counted)
+    assert len({r.root for r in near_copies.groups(docs).collect()}) == 80
+    assert sum(counts) < 80 * 79 // 4
+
+
+def test_rare_shingles_lose_no_similar_pair(spark):
+    rng, sets = random.Random(21), []
+    for base in range(12):
+        words = [base * 1_000 + i for i in range(rng.choice([4, 9, 40, 150]))]
+        for _ in range(8):
+            kept = [w for w in words if rng.random() > 0.08] + [rng.randrange(100_000, 100_400) for _ in range(rng.randrange(1 + len(words) // 12))]
+            sets.append(sorted({*kept, 7}))
+    nodes = spark.createDataFrame([(i, len(s), i, 1, True) for i, s in enumerate(sets)],
+                                  "node long, n long, root long, size long, apart boolean")
+    bodies = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    got = {(min(r.node, r.pivot), max(r.node, r.pivot)) for r in near_copies.rare_pairs(nodes, bodies).collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+            if 9 * len({*sets[i]} & {*sets[j]}) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(want) > 50 and want <= got and len(got) < len(sets) * (len(sets) - 1) // 4
+
+
 def test_similar_sizes_are_in_neighbouring_steps(spark):
     rows = spark.range(1, 3_000).selectExpr("id AS a", "id * 5 div 4 AS b").select(
         near_copies.size_step("a").alias("a"), near_copies.size_step("b").alias("b"))

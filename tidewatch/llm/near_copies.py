@@ -1,18 +1,18 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A pair at 0.8 differs in about 15 percent of its SimHash bits, a radius no covering scheme
-reaches with few tables. Candidates are found by MinHash instead: each of ``BANDS`` keys of
-a set is made of ``ROWS`` minima, and a pair of similarity s shares a key with probability
-1 - (1 - s^ROWS)^BANDS, which is 1 - 3e-6 at 0.8. Every link is confirmed by the exact
-similarity of the two sets, by a join.
-
-Equal sets are one row before the search. Sets that share a key are a bucket. First each
-set is compared with one set of each of its buckets. What is apart from a bucket's largest
-group then may be compared with further members of that group, one at a time; each time, what is
-found alike joins it. What is apart after that is compared with all sets of the bucket
-whose sizes allow it, but for those it is linked with already, directly or not. So the pairs of
-a bucket that is one group grow with its size and not with the square of it, and no candidate
-is left out.
+Equal sets are one row before the search, which has two steps; every link is confirmed by
+the exact similarity of the two sets, by a join.
+
+1. MinHash, as a pair at 0.8 differs in about 15 percent of its SimHash bits, a radius no covering
+   scheme reaches with few tables. Each of ``BANDS`` keys of a set is made of ``ROWS`` minima, and a
+   pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, which is 1 - 3e-6 at
+   0.8. Sets that share a key are a bucket. Each set is compared with one set of each of its
+   buckets: the one whose buckets are the fullest, which is near the middle of a group of copies.
+2. What is apart from a bucket's largest group then (``PIVOTS`` further members of which may be
+   tried first) is looked up by its rarest shingles. Shingles are ordered by the number of sets
+   that hold them. Two similar sets have a shingle in common so early in both of their orders that
+   what follows is long enough (a prefix filter). Sets that differ in shingles of their own share
+   none so early, so a bucket's pairs are not written down, and no similar pair is left out.
 
 Words are told apart after lower-casing A-Z. Fewer than five words make one shingle; texts
 without words (or null) are equal to each other. A null id is larger than every other id.
@@ -40,6 +40,8 @@ ROWS, BANDS = 5, 32
 # Pivots of a bucket's largest group that are tried, after the bucket's own, on what is apart from it.
 # Each costs a join of shingles; with three, a table with one very large group took too much disk.
 PIVOTS = 0
+# Classes of size within the ratio that sizes of similar sets may have.
+FINE = 4
 CHUNK = 1 << 15
 NO_ID = (1 << 63) - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -157,22 +159,62 @@ def ordered(x: str, y: str, low: str, high: str) -> list[F.Column]:
     return [F.least(x, y).alias(low), F.greatest(x, y).alias(high)]
 
 
-def size_step(n: str) -> F.Column:
-    """Steps of the ratio that sizes of similar sets may have: theirs are equal or neighbours."""
-    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(WHOLE / PART)) + 1e-9).cast("int")
+def size_step(n: str, parts: int = 1) -> F.Column:
+    """Steps of the ratio that sizes of similar sets may have: theirs are equal or neighbours. With
+    ``parts``, each step is cut into as many."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(WHOLE / PART)) * parts + 1e-9).cast("int")
+
+
+def rare_shingles(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``nodes`` (node, n, ...) with a row for each shingle that a set as large as theirs may have in
+    common first, rare shingles before frequent ones; ``after`` counts it and those that follow and
+    stand in other sets too. Sets with too few such shingles have no row."""
+    held = bodies.join(nodes.select("node"), "node").select("node", F.explode("shingles").alias("shingle"))
+    sharers = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
+    # One set's shingles at a time, so no longer than one text.
+    order = held.join(sharers, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sharers", "shingle"))).alias("order"))
+    count = F.size("order").cast("bigint")
+    early = F.slice("order", F.lit(1), F.greatest(count - F.ceil(F.col("n") * PART / WHOLE) + 1, F.lit(0)).cast("int"))
+    rows = nodes.join(order, "node").select(*nodes.columns, count.alias("count"), F.posexplode(early).alias("nth", "s"))
+    return rows.select(*nodes.columns, F.col("s.shingle").alias("shingle"), (F.col("count") - F.col("nth")).alias("after"))
+
+
+def long_enough(common: F.Column, other: F.Column) -> F.Column:
+    """Whether so many common shingles are enough for sets of ``n`` and ``other``."""
+    return common * (PART + WHOLE) >= PART * (F.col("n") + other)
+
+
+def rare_pairs(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs (node, n, pivot, np) of different groups that may be similar by their rarest shingles.
+
+    ``nodes`` has node, n, root and size of its group and whether it is apart from some larger group."""
+    rows = checkpointed(rare_shingles(nodes, bodies).withColumn("own", size_step("n", FINE)))
+    # A row for each class of sizes for which what follows a shingle is long enough.
+    steps = F.sequence(F.col("own") - FINE - 1, F.col("own") + FINE + 1)
+    fits = F.filter(steps, lambda q: long_enough(F.col("after"), F.pow(F.lit(WHOLE / PART), q / FINE) * (1 - 1e-6)))
+    rows = rows.withColumn("other", F.explode(fits))
+    x = rows.where("apart").select("shingle", "own", "other", "node", "n", F.col("after").alias("ax"),
+                                   F.col("root").alias("rx"), F.col("size").alias("gx"))
+    y = rows.select("shingle", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("pivot"),
+                    F.col("n").alias("np"), F.col("after").alias("ay"), F.col("root").alias("ry"), F.col("size").alias("gy"))
+    return (x.join(y, ["shingle", "own", "other"])
+            .where((F.struct("gx", "rx") < F.struct("gy", "ry")) & long_enough(F.least("ax", "ay"), F.col("np")))
+            .select("node", "n", "pivot", "np"))
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar sets that share a band key.
 
-    ``sets`` has node, n, keys and (id, h1, h2) of one of its documents; ``docs`` has id, h1, h2
-    and t. Only texts of sets that are in a bucket are turned into shingles again."""
+    ``sets`` has node, n, keys and (id, h1, h2) of one of its documents; ``docs`` has id, h1,
+    h2 and t. Only texts of sets that are compared are turned into shingles again."""
     spread = sets.select("node", "n", F.explode("keys").alias("key"))
-    # The first by a hash of both, so that a group has another pivot in each of its buckets.
-    first = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "n"))
-    buckets = (spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), first.alias("pivot"))
-               .where("size > 1").select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("np")))
-    members = checkpointed(spread.join(buckets, "key").where("node <> pivot"))
+    full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("full")).where("full > 1")
+    shared = checkpointed(spread.join(full, "key"))
+    weight = shared.groupBy("node").agg(F.sum("full").alias("weight"))
+    middle = F.max_by(F.struct("node", "n"), F.struct("weight", F.xxhash64("key", "node"), "node"))
+    buckets = shared.join(weight, "node").groupBy("key").agg(middle.alias("pivot")).select(
+        "key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("np"))
+    members = checkpointed(shared.drop("full").join(buckets, "key").where("node <> pivot"))
     ends = members.select("node").union(members.select("pivot")).distinct()
     wanted = checkpointed(sets.join(ends, "node").select("node", "id", "h1", "h2"))
     here = Window.partitionBy("id", "h1", "h2").orderBy("node")
@@ -189,14 +231,14 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     found = checkpointed(compared(members))
     for nth in range(PIVOTS + 1):
         roots = components(found)
-        placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        placed = checkpointed(placed.join(apart.select("key"), "key", "left_semi"))
-        if placed.isEmpty():
+        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        placed = members.join(roots.join(sizes, "root"), "node", "left").select(
+            "key", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+        apart = (placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("size", "root")).alias("most"))
+                 .where("r0 <> r1").select("key", F.col("most.root").alias("main")))
+        others = checkpointed(placed.join(apart, "key"))
+        if others.isEmpty():
             return found
-        most = (placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-                .groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main")))
-        others = placed.join(most, "key")
         if nth == PIVOTS:
             break
         # Another pivot of the largest group, with which only sets outside that group are compared.
@@ -204,11 +246,8 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
         pivots = others.where("root = main").groupBy("key").agg(F.min(turn).alias("p")).select(
             "key", F.col("p.node").alias("pivot"), F.col("p.n").alias("np"))
         found = checkpointed(found.union(compared(others.where("root <> main").join(pivots, "key"))))
-    x = others.where("root <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"),
-                                            F.explode(F.array(*[size_step("n") + i for i in (-1, 0, 1)])).alias("step"))
-    y = placed.select("key", F.col("node").alias("pivot"), F.col("n").alias("np"), F.col("root").alias("ry"), size_step("n").alias("step"))
-    rest = x.join(y, ["key", "step"]).where("rx <> ry").select(F.col("x").alias("node"), F.col("nx").alias("n"), "pivot", "np")
-    return found.union(compared(rest))
+    nodes = checkpointed(others.groupBy("node", "n", "root", "size").agg(F.bool_or(F.expr("root <> main")).alias("apart")))
+    return found.union(compared(rare_pairs(nodes, bodies)))
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +261,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     rows = checkpointed(named.select("id", "h1", "h2", *[F.col(name)[f].alias(f) for f in FOUND.names]))
     one = F.min(F.struct("id", "h1", "h2")).alias("doc")
     mark = tables_written()
-    sets = rows.groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), one)
+    sets = rows.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "keys")], one)
     sets = checkpointed(sets.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "keys", "doc.*"))
     roots = components(links(sets, plain))
     until = tables_written()
