@@ -32,7 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of texts that are alike by 0.8 or more in their
-    five-word shingles. The settings of op1 (three words, two bits) bind only its query."""
+    five-word shingles. SimHash fingerprints of these shingles, linked by op1's covering hashing, come
+    first, MinHash reaches what differs in more than two bits; the exact similarity decides."""
     return near_copies.keep_one(docs)
 
 

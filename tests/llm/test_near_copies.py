@@ -86,6 +86,22 @@ def test_rare_shingles_lose_no_similar_pair(spark):
     assert len(want) > 50 and want <= got and len(got) < len(sets) * (len(sets) - 1) // 4
 
 
+def test_fingerprints_link_without_band_keys(make, monkeypatch):
+    """The SimHash step by itself: sets within 2 bits and alike are linked, others not."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda sets: [[] for _ in sets])
+    words = [f"long{i}" for i in range(3_000)]
+    texts = [" ".join([*words[:at], f"other{at}", *words[at + 1:]]) for at in range(0, 3_000, 250)]
+    texts += [" ".join(f"far{i}x{k}" for k in range(40)) for i in range(4)]
+    bits = [near_copies.majority([near_copies.shingle_set(t.encode())]) for t in texts]
+    want = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if ((bits[i] ^ bits[j]) & ((1 << 64) - 1)).bit_count() <= 2 and near_copies.similar(texts[i].encode(), texts[j].encode()):
+            want = [want[i] if g == want[j] else g for g in want]
+    got = {r.id: r.root for r in near_copies.groups(make([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert len(set(want)) < len(texts) - 3
+    assert len(set(zip(want, (got[i] for i in range(len(texts)))))) == len(set(want)) == len(set(got.values()))
+
+
 def test_similar_sizes_are_in_neighbouring_steps(spark):
     rows = spark.range(1, 3_000).selectExpr("id AS a", "id * 5 div 4 AS b").select(
         near_copies.size_step("a").alias("a"), near_copies.size_step("b").alias("b"))

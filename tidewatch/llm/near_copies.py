@@ -1,14 +1,17 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one row before the search, which has two steps; every link is confirmed by
+Equal sets are one row before the search, which has three steps; every link is confirmed by
 the exact similarity of the two sets, by a join.
 
-1. MinHash, as a pair at 0.8 differs in about 15 percent of its SimHash bits, a radius no covering
+1. SimHash: a set's fingerprint of 64 bits is the majority of its shingles' hashes. Covering
+   hashing (``simhash.links``) finds all fingerprints within 2 bits. Equal ones are compared with
+   the first of them. What is linked here is not compared again.
+2. MinHash, as a pair at 0.8 differs in about 15 percent of its SimHash bits, a radius no covering
    scheme reaches with few tables. Each of ``BANDS`` keys of a set is made of ``ROWS`` minima, and a
    pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, which is 1 - 3e-6 at
    0.8. Sets that share a key are a bucket. Each set is compared with one set of each of its
    buckets: the one whose buckets are the fullest, which is near the middle of a group of copies.
-2. What is apart from a bucket's largest group then (``PIVOTS`` further members of which may be
+3. What is apart from a bucket's largest group then (``PIVOTS`` further members of which may be
    tried first) is looked up by its rarest shingles. Shingles are ordered by the number of sets
    that hold them. Two similar sets have a shingle in common so early in both of their orders that
    what follows is long enough (a prefix filter). Sets that differ in shingles of their own share
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.components import components
+from tidewatch.llm.simhash import links as fingerprint_links
+from tidewatch.llm.simhash import majority
 from tidewatch.llm.texts import add_result, fresh
 from tidewatch.session import checkpointed, drop_checkpoints, tables_written, with_tasks
 
@@ -108,12 +113,13 @@ def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
 
 
 FOUND = T.StructType([T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
-                      T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+                      T.StructField("n", T.LongType()), T.StructField("bits", T.LongType()),
+                      T.StructField("keys", T.ArrayType(T.LongType()))])
 BODY = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
 def add_sets(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
-    """All rows with a struct column: two hashes of the shingle set, its size and its band keys."""
+    """All rows with a struct column: two hashes of the shingle set, its size, its fingerprint and its band keys."""
     name = fresh(docs, "shingle_set")
 
     def start():
@@ -122,6 +128,7 @@ def add_sets(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
             digests = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets],
                                np.uint64).reshape(-1, 2).view(np.int64)
             return [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([majority(s[at:at + CHUNK] for at in range(0, len(s), CHUNK)) for s in sets], pa.int64()),
                     pa.array(band_keys(sets), pa.list_(pa.int64()))]
         return compute
 
@@ -165,6 +172,16 @@ def size_step(n: str, parts: int = 1) -> F.Column:
     return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(WHOLE / PART)) * parts + 1e-9).cast("int")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (node, n, pivot, np) that connect all sets whose fingerprints are within 2 bits."""
+    prints = checkpointed(sets.groupBy("bits").agg(F.min(F.struct("node", "n")).alias("first"))
+                          .select("bits", F.col("first.node").alias("pivot"), F.col("first.n").alias("np")))
+    equal = sets.join(prints, "bits").where("node <> pivot").select("node", "n", "pivot", "np")
+    left = prints.select(F.col("bits").alias("a"), F.col("pivot").alias("node"), F.col("np").alias("n"))
+    near = fingerprint_links(prints.select("bits")).join(left, "a").join(prints.withColumnRenamed("bits", "b"), "b")
+    return equal.union(near.select("node", "n", "pivot", "np"))
+
+
 def rare_shingles(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     """``nodes`` (node, n, ...) with a row for each shingle that a set as large as theirs may have in
     common first, rare shingles before frequent ones; ``after`` counts it and those that follow and
@@ -203,10 +220,11 @@ def rare_pairs(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all similar sets that share a band key.
+    """Links (a, b) that connect all similar sets that share a band key or have like fingerprints.
 
-    ``sets`` has node, n, keys and (id, h1, h2) of one of its documents; ``docs`` has id, h1,
+    ``sets`` has node, n, bits, keys and (id, h1, h2) of one of its documents; ``docs`` has id, h1,
     h2 and t. Only texts of sets that are compared are turned into shingles again."""
+    near = checkpointed(fingerprint_pairs(sets))
     spread = sets.select("node", "n", F.explode("keys").alias("key"))
     full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("full")).where("full > 1")
     shared = checkpointed(spread.join(full, "key"))
@@ -215,7 +233,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     buckets = shared.join(weight, "node").groupBy("key").agg(middle.alias("pivot")).select(
         "key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("np"))
     members = checkpointed(shared.drop("full").join(buckets, "key").where("node <> pivot"))
-    ends = members.select("node").union(members.select("pivot")).distinct()
+    ends = members.select("node").union(members.select("pivot")).union(near.select("node")).union(near.select("pivot")).distinct()
     wanted = checkpointed(sets.join(ends, "node").select("node", "id", "h1", "h2"))
     here = Window.partitionBy("id", "h1", "h2").orderBy("node")
     texts = docs.join(wanted, ["id", "h1", "h2"]).withColumn("nth", F.row_number().over(here)).where("nth = 1")
@@ -224,11 +242,17 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     # Sets are no more alike than their sizes are.
     alike = F.least("na", "nb") * WHOLE >= F.greatest("na", "nb") * PART
 
-    def compared(x: DataFrame) -> DataFrame:
-        """Similar ones of pairs (node, n, pivot, np), which may come from several buckets."""
-        return confirmed(x.select(*ordered("node", "pivot", "a", "b"), *ordered("n", "np", "na", "nb")).where(alike).distinct(), bodies)
-
-    found = checkpointed(compared(members))
+    def compared(x: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """Similar ones of pairs (node, n, pivot, np), which may come from several buckets, but for
+        those with one root already."""
+        pairs = x.select(*ordered("node", "pivot", "a", "b"), *ordered("n", "np", "na", "nb")).where(alike).distinct()
+        if roots is not None:
+            pairs = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "na", "nb")
+        return confirmed(pairs, bodies)
+
+    found = checkpointed(compared(near))
+    found = checkpointed(found.union(compared(members, components(found))))
     for nth in range(PIVOTS + 1):
         roots = components(found)
         sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
@@ -261,8 +285,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     rows = checkpointed(named.select("id", "h1", "h2", *[F.col(name)[f].alias(f) for f in FOUND.names]))
     one = F.min(F.struct("id", "h1", "h2")).alias("doc")
     mark = tables_written()
-    sets = rows.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "keys")], one)
-    sets = checkpointed(sets.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "keys", "doc.*"))
+    sets = rows.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "bits", "keys")], one)
+    sets = checkpointed(sets.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "bits", "keys", "doc.*"))
     roots = components(links(sets, plain))
     until = tables_written()
     placed = checkpointed(sets.select("node", "s1", "s2").join(roots, "node", "left").select(

@@ -19,6 +19,7 @@ zero, which is linked like any other. A null id is larger than every other id.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -47,17 +48,21 @@ def shingles(words: list[bytes], width: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*[words[i:] for i in range(width)])))
 
 
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """A signed number with the bits that more than half of the hashes, given in parts, have set."""
+    counts, total = np.zeros(64, np.int64), 0
+    for part in hashes:
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts, total = counts + bits.sum(axis=0, dtype=np.int64), total + len(part)
+    value = np.packbits(2 * counts > total, bitorder="little")
+    return int(value.view(np.int64)[0])
+
+
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """64 bits as a signed number."""
     found = shingles((text or b"").lower().split(), width)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(found), CHUNK):
-        part = found[at:at + CHUNK]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    value = np.packbits(2 * counts > len(found), bitorder="little")
-    return int(value.view(np.int64)[0])
+    parts = (found[at:at + CHUNK] for at in range(0, len(found), CHUNK))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part)) for part in parts)
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> tuple[DataFrame, str]:
