@@ -84,6 +84,20 @@ def test_models_in_several_passes(spark):
     assert sorted(map(str, whitening.whiten(table, model_bytes=1).collect())) == one and len(one) == 100
 
 
+def test_identity_error_does_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 3))
+    rows = [(3, r.tolist()) for r in x] + [(1, [None])] * 3
+    found = set()
+    for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        for parts in (1, 5, 8):
+            table = spark.createDataFrame(order, "d int, whitened array<double>").coalesce(parts)
+            found.add(tuple(sorted((r.d, r.identity_error) for r in whitening.identity_errors(table, 4).collect())))
+    assert len(found) == 1
+    (one, nothing), (three, error) = found.pop()
+    assert (one, nothing, three) == (1, None, 3) and abs(error - np.abs(np.cov(x.T, bias=True) - np.eye(3)).max()) < 1e-14
+
+
 def test_repeated_rows_null_ids_and_flat_dimensions(spark):
     """Repeats count in the fit; a dimension without spread has no whitened value."""
     rows = [(None, [1.0, 5.0])] * 3 + [(1, [2.0, 5.0])] * 2

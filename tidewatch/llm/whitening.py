@@ -253,15 +253,27 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     return result
 
 
+def exact_sum(value: F.Column) -> F.Column:
+    """The sum of numbers in steps of 2**-50 as two sums of whole numbers, so that the order in which
+    rows and partial sums come makes no difference. Holds for 2**33 rows."""
+    scaled = value * float(1 << 20)
+    whole = F.rint(scaled)
+    rest = F.rint((scaled - whole) * float(1 << 30))
+    return (F.sum(whole.cast("bigint")) + F.sum(rest.cast("bigint")) / float(1 << 30)) / float(1 << 20)
+
+
 def identity_errors(rows: DataFrame, components: int) -> DataFrame:
     """Per length, the largest entry by which the whitened rows' covariance misses the identity.
 
     It is measured on the rows: one row per length, as many as the pass has models."""
     names = [f"w{i}" for i in range(components)]
     flat = rows.select("d", *[F.get("whitened", F.lit(i)).alias(w) for i, w in enumerate(names)])
-    measured = [F.covar_pop(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    missed = [F.abs(F.col(f"{a}_{b}") - (1.0 if a == b else 0.0)) for i, a in enumerate(names) for b in names[i:]]
-    return flat.groupBy("d").agg(*measured).select("d", F.array_max(F.array(*missed)).alias("identity_error"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    # A component is null in all rows of a length or in none.
+    means = [(exact_sum(F.col(a)) / F.count(a)).alias(a) for a in names]
+    products = [(exact_sum(F.col(a) * F.col(b)) / F.count(F.col(a) * F.col(b))).alias(f"{a}_{b}") for a, b in pairs]
+    missed = [F.abs(F.col(f"{a}_{b}") - F.col(a) * F.col(b) - (1.0 if a == b else 0.0)) for a, b in pairs]
+    return flat.groupBy("d").agg(*means, *products).select("d", F.array_max(F.array(*missed)).alias("identity_error"))
 
 
 def whiten_report(vectors: DataFrame) -> DataFrame:
