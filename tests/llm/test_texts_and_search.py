@@ -162,6 +162,18 @@ def test_encode_keeps_other_columns(make, library):
     assert back == {1: "some text", 2: ""}
 
 
+def test_round_trip_is_one_python_step(make, odd):
+    """A second step in a row would be a second worker for each task, with its own memory."""
+    for keep_ids in (False, True):
+        plan = bpe.round_trip(odd, VOCABULARY, keep_ids)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    docs = make([(1, "One two \u4e2d", "a"), (2, None, "b"), (3, "", "c")]).selectExpr("*", "'mine' AS ids", "'own' AS decoded")
+    both = bpe.encode(docs, VOCABULARY, decoded="decoded")
+    apart = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY, ids="_ids")
+    assert both.columns == apart.columns and sorted(both.collect()) == sorted(apart.collect())
+    assert {(r.ids, r.decoded, r._decoded) for r in both.collect()} == {("mine", "own", "One two \u4e2d"), ("mine", "own", "")}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.characters(max_codepoint=0x557), max_size=60))
 def test_settled_pattern_cuts_alike(text):

@@ -205,18 +205,41 @@ def _lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Append the token ids of each text as an array column. An own column of that name stays;
-    the new one has an underscore before its name then."""
+def text_decoder(tokens: dict[int, bytes]):
+    """A function from an array of ids to their text; bytes that are not UTF-8 become U+FFFD."""
+    table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    return lambda ids: b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Append the token ids of each text as an array column and, with ``decoded``, a column of that name
+    with the text that the ids decode to, as :func:`decode` gives it. An own column of such a name stays;
+    the new one has an underscore before its name then.
+
+    Two Python steps in a row run in two workers for each task at a time, and both stay in memory;
+    with ``decoded`` it is one step and one worker."""
     vocabulary = Vocabulary(path)
     name, ids = fresh(docs, "encoded"), fresh(docs, ids)
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
+    if decoded is not None:
+        fields.append(T.StructField("decoded", T.StringType()))
 
     def start():
         encoder = packed_encoder(vocabulary)
-        return lambda texts: [_lists([encoder(t.decode()) if t else b"" for t in texts])]
+        back = None if decoded is None else text_decoder(vocabulary.tokens)
+
+        def compute(texts):
+            packed = [encoder(t.decode()) if t else b"" for t in texts]
+            if back is None:
+                return [_lists(packed)]
+            return [_lists(packed), pa.array([back(np.frombuffer(p, np.int32)) for p in packed], pa.string())]
+
+        return compute
 
-    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return add_result(docs, text, kind, name, start).withColumn(ids, F.col(name)["ids"]).drop(name)
+    found = add_result(docs, text, T.StructType(fields), name, start).withColumn(ids, F.col(name)["ids"])
+    if decoded is not None:
+        found = found.withColumn(fresh(docs.withColumn(ids, F.lit(0)), decoded), F.col(name)["decoded"])
+    return found.drop(name)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -229,11 +252,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     at = df.columns.index(ids)
 
     def run(batches):
-        table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        back = text_decoder(tokens)
         for batch in batches:
-            column = batch.column(at)
-            texts = [b"".join(map(table.__getitem__, cell.values.to_numpy().tolist())).decode("utf-8", "replace")
-                     if cell.is_valid else None for cell in column]
+            texts = [back(cell.values.to_numpy()) if cell.is_valid else None for cell in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, text])
 
@@ -243,7 +264,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """A row per document: number of tokens, digests of the ids and of the text they decode
     to, and the ids if asked for."""
-    both = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    both = encode(docs.select("doc_id", "text"), path, decoded="decoded").drop("text")
     joined = F.array_join("ids", ",")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), *["ids"] * keep_ids,
                        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
